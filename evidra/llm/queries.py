@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PLACES = {
     "op3_best_fit_packing": "packing",
+    "op6_fingerprints": "fingerprints",
     "op8_token_counts": "token_counts",
     "op10_byte_bpe": "bpe",
 }
