@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACES = {
+    "op2_near_duplicates": "near_duplicates",
     "op3_best_fit_packing": "packing",
     "op6_fingerprints": "fingerprints",
     "op8_token_counts": "token_counts",
