@@ -11,6 +11,7 @@ _PLACES = {
     "op2_near_duplicates": "near_duplicates",
     "op3_best_fit_packing": "packing",
     "op6_fingerprints": "fingerprints",
+    "op7_quality_classifier": "quality",
     "op8_token_counts": "token_counts",
     "op10_byte_bpe": "bpe",
 }
