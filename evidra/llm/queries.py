@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PLACES = {
     "op2_near_duplicates": "near_duplicates",
     "op3_best_fit_packing": "packing",
+    "op5_toxicity": "toxicity",
     "op6_fingerprints": "fingerprints",
     "op7_quality_classifier": "quality",
     "op8_token_counts": "token_counts",
