@@ -1,14 +1,15 @@
 """Toxic spans by a linear-chain conditional random field, and scores of documents from its marginals.
 
-Labels mark documents; tokens get theirs from them. Of all features (a word, or its first 4, 5 or 6 bytes), those frequent in
-toxic and absent from clean documents are candidates; a greedy cover keeps the ones that explain most toxic documents not
+Labels mark documents; tokens get theirs from them. Of all features (a word, or its first 4 to 9 bytes), those ``LEAST_RATIO``
+times as frequent in toxic as in clean documents are candidates; a greedy cover keeps the ones that explain most toxic documents not
 explained so far, so words that only go along (a copied text's) are left. Tokens with a kept feature are the labelled
-toxic tokens. A two-state chain over hashed features is fitted to windows of such tokens by its likelihood.
+toxic tokens, if in a toxic document. A two-state chain over hashed features is fitted to windows around such tokens, and
+around the same words in clean documents, by its likelihood.
 
 Scoring runs forward and backward over every token of the whole text. A chain of two states has one ratio a token, each step
 is a linear-fractional map of it, and maps compose; so all documents of a chunk advance in equal blocks. The
-marginals give spans (code points of offending words) and three numbers for the document's score: the expected
-number of toxic tokens, the largest marginal, and their share.
+marginals give spans (code points of offending words) and the evidence for the document's score: the expected
+number of toxic tokens in all and beyond the surest one, the surest one's marginal and odds, and their share.
 
 Null and empty texts have no tokens and get the score of no evidence. Without labels of both classes all scores are 0. Repeated rows
 get equal scores; an empty table gives no rows. Id, language and source are no inputs.
@@ -24,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import joined_bytes, lower_ascii, rows_in_chunks, runs, slice_hashes, table
+from evidra.llm.common import checkpointed, joined_bytes, lower_ascii, rows_in_chunks, runs, slice_hashes, table
 from evidra.llm.labelled import held_out, labelled_sample
 
 #: Rows of each class that the model is fitted on at most; hash buckets of features; tokens in a training window; windows a document.
 SAMPLE, BUCKETS, WINDOW, WINDOWS = 4000, 1 << 17, 24, 6
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Candidates that the cover looks at, at most, by support; a kept feature explains at least so many documents more.
-CANDIDATES, LEAST_SUPPORT = 5000, 4
+CANDIDATES, LEAST_SUPPORT, LEAST_RATIO = 5000, 4, 8
 BLOCK = 64
+#: Columns of evidence, the last one constant.
+EVIDENCE = 6
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +65,7 @@ class Chain:
     features: np.ndarray
     bias: float
     moves: np.ndarray  # log potentials [from, to], with clean-clean 0
-    aggregate: np.ndarray  # for log1p(expected number), largest marginal, share; then the constant
+    aggregate: np.ndarray  # weights of the columns of evidence()
 
     def odds(self, hashes: np.ndarray) -> np.ndarray:
         return self.bias + self.features[buckets(hashes)].sum(1)
@@ -113,7 +116,7 @@ class Chain:
     def evidence(self, p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         expected, count, most = np.bincount(text, weights=p, minlength=n), np.bincount(text, minlength=n), np.zeros(n)
         np.maximum.at(most, text, p)
-        return np.stack((np.log1p(expected), most, expected / np.maximum(count, 1), np.ones(n)), 1)
+        return np.stack((np.log1p(expected), most, expected / np.maximum(count, 1), np.minimum(8, -np.log1p(-np.minimum(most, 1 - 1e-9))) / 4, np.log1p(expected - most), np.ones(n)), 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.aggregate, -30, 30)))
@@ -163,13 +166,13 @@ def fit_chain(hashes: np.ndarray, tags: np.ndarray, epochs: int = 10, rate: floa
 
 
 def fit_aggregate(evidence: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 0.5) -> np.ndarray:
-    """Logistic regression, classes weighted equally."""
+    """Logistic regression, as if one in five documents were toxic."""
     share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    a, square = np.array([1.0, 1.0, 0.0, -1.0]), np.full(4, 1e-3)
+    weight = np.where(y == 1, 0.2 / share, 0.8 / (1 - share)) / len(y)
+    a, square = np.zeros(EVIDENCE), np.full(EVIDENCE, 1e-3)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(evidence @ a, -30, 30)))
-        g = evidence.T @ ((p - y) * weight) + 1e-4 * a * np.array([1, 1, 1, 0])
+        g = evidence.T @ ((p - y) * weight) + 1e-5 * a
         square += g * g
         a -= rate * g / np.sqrt(square)
     return a
@@ -199,15 +202,15 @@ def _holding(candidates: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Ite
     return run
 
 
-def cover(toxic: list[set[int]]) -> list[int]:
-    """Features that explain the most documents not explained by those before."""
+def cover(toxic: list[set[int]], worth: dict[int, float]) -> list[int]:
+    """Features that explain the most documents not explained by those before, each document counting by the feature's worth."""
     left, kept = [x for x in toxic if x], []
     while left:
         count: dict[int, int] = {}
         for x in left:
             for f in x:
                 count[f] = count.get(f, 0) + 1
-        best = min(count, key=lambda f: (-count[f], f))
+        best = min(count, key=lambda f: (-count[f] * worth[f], f))
         if count[best] < LEAST_SUPPORT and kept:
             return kept
         kept.append(best)
@@ -216,17 +219,18 @@ def cover(toxic: list[set[int]]) -> list[int]:
 
 
 def _windows(lexicon: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Up to WINDOWS windows of each text: around tagged tokens of toxic texts, else spread evenly."""
+    """Up to WINDOWS windows of each text around tokens with a kept feature (toxic in toxic texts), else spread evenly."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in rows_in_chunks(batches, "_text"):
             hashes, text, _, _ = tokens(texts)
             y = rows.column(1).to_pylist()
-            hit = np.isin(hashes, lexicon).any(1) & (np.array(y)[text] == 1) if len(text) else np.zeros(0, bool)
+            like = np.isin(hashes, lexicon).any(1)
+            hit = like & (np.array(y)[text] == 1) if len(text) else like
             at = np.searchsorted(text, np.arange(len(texts) + 1))
             grams, tags = [], []
             for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                spots = a + np.flatnonzero(hit[a:b])
+                spots = a + np.flatnonzero(like[a:b])
                 if len(spots) > WINDOWS:
                     spots = spots[np.linspace(0, len(spots) - 1, WINDOWS).astype(int)]
                 begins = np.maximum(a, spots - WINDOW // 2) if len(spots) else np.unique(np.linspace(a, max(a, b - WINDOW), WINDOWS).astype(int))
@@ -246,7 +250,7 @@ def _evidence(chain: Chain) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
         for rows, texts in rows_in_chunks(batches, "_text"):
             hashes, text, _, _ = tokens(texts)
             e = chain.evidence(chain.marginals(hashes, text), text, len(texts))
-            yield pa.RecordBatch.from_arrays([*(pa.array(e[:, k]) for k in range(3)), rows.column(1)], ["a", "b", "c", "y"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, e.size + 1, EVIDENCE).astype(np.int32)), pa.array(e.ravel())), rows.column(1)], ["evidence", "y"])
 
     return run
 
@@ -254,26 +258,28 @@ def _evidence(chain: Chain) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, fold: int = 1, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on a bounded sample of labelled rows. Counts are Spark aggregations; only candidate features, windows of tokens and
     three numbers a document (all bounded by the sample) come to the driver."""
-    sample = labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col)
-    none = Chain(np.zeros(BUCKETS), -30.0, np.zeros((2, 2)), np.array([0.0, 0, 0, -30]))
+    sample = checkpointed(labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col))
+    none = Chain(np.zeros(BUCKETS), -30.0, np.zeros((2, 2)), np.array([0.0] * (EVIDENCE - 1) + [-30.0]))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return none
     counted = sample.mapInArrow(_each_feature, "feature long, y int").groupBy("feature").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
-    rare = max(1, sizes[0] // 2000)
-    candidates = counted.where((F.col("toxic") >= min(LEAST_SUPPORT, max(1, sizes[1] // 8))) & (F.col("n") - F.col("toxic") <= F.least(F.lit(rare), F.col("toxic") / 20))).orderBy(F.desc("toxic"), "feature").limit(CANDIDATES).select("feature").collect()
+    ratio = (F.col("toxic") / sizes[1]) / ((F.col("n") - F.col("toxic") + 0.5) / (sizes[0] + 0.5))
+    support = min(LEAST_SUPPORT, max(1, sizes[1] // 8))
+    candidates = counted.where(F.col("toxic") >= support).withColumn("worth", F.log(ratio)).where(F.col("worth") >= float(np.log(LEAST_RATIO))).orderBy(F.desc(F.col("toxic") * F.col("worth")), "feature").limit(CANDIDATES).select("feature", "worth").collect()
     if not candidates:
         return none
-    names = np.array([r[0] for r in candidates], np.int64).view(np.uint64)
+    worth = {r[0]: r[1] for r in candidates}
+    names = np.array(list(worth), np.int64).view(np.uint64)
     holding = sample.where("y = 1").mapInArrow(_holding(names), "features array<long>").collect()
-    lexicon = np.array(cover([set(r[0]) for r in holding]), np.int64).view(np.uint64)
+    lexicon = np.array(cover([set(r[0]) for r in holding], worth), np.int64).view(np.uint64)
     windows = sample.mapInArrow(_windows(lexicon), "grams binary, tags binary").toPandas().sort_values(["grams", "tags"])
     width = 1 + len(PREFIXES)
     grams = np.frombuffer(b"".join(windows["grams"]), np.uint64).reshape(-1, WINDOW, width)
     tags = np.frombuffer(b"".join(windows["tags"]), np.int64).reshape(-1, WINDOW)
     chain = Chain(*fit_chain(grams, tags), none.aggregate)
-    seen = sample.mapInArrow(_evidence(chain), "a double, b double, c double, y int").toPandas().sort_values(["y", "a", "b", "c"])
-    chain.aggregate = fit_aggregate(np.column_stack((seen[["a", "b", "c"]].to_numpy(), np.ones(len(seen)))), seen["y"].to_numpy(float))
+    seen = sample.mapInArrow(_evidence(chain), "evidence array<double>, y int").toPandas()
+    chain.aggregate = fit_aggregate(np.array(seen["evidence"].tolist()), seen["y"].to_numpy(float))
     return chain
 
 
