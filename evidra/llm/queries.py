@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PLACES = {
     "op2_near_duplicates": "near_duplicates",
     "op3_best_fit_packing": "packing",
+    "op4_license_scan": "licenses",
     "op5_toxicity": "toxicity",
     "op6_fingerprints": "fingerprints",
     "op7_quality_classifier": "quality",
@@ -23,4 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from evidra.llm import licenses
+
+    return {"op4_license_scan": licenses.SQL}
