@@ -15,6 +15,7 @@ _PLACES = {
     "op6_fingerprints": "fingerprints",
     "op7_quality_classifier": "quality",
     "op8_token_counts": "token_counts",
+    "op9_site_style": "site_style",
     "op10_byte_bpe": "bpe",
 }
 
