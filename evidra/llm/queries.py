@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACES = {
+    "op1_top_k": "topk",
     "op2_near_duplicates": "near_duplicates",
     "op3_best_fit_packing": "packing",
     "op4_license_scan": "licenses",
@@ -25,6 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from evidra.llm import licenses
+    from evidra.llm import licenses, topk
 
-    return {"op4_license_scan": licenses.SQL}
+    return {"op1_top_k": topk.SQL, "op4_license_scan": licenses.SQL}
