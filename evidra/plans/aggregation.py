@@ -44,7 +44,7 @@ def _(t):
     return A.aggregate(A.exclude_subtotals(rows.unionByName(totals)), [M("sum", "p_retailprice", "total")], ("p_brand",))
 
 
-@query("agg_all", "fx_ledger", f"SELECT {SUM('amount')} AS s, {SUM('amount')} / count(amount) AS a, min(sale_date) AS lo, max(sale_date) AS hi, count(*) AS n, count(DISTINCT team) AS d FROM fx_ledger")
+@query("agg_all", "fx_ledger", f"SELECT {SUM('amount')} AS s, {SUM('amount')} / count(amount) AS a, min(sale_date) AS lo, max(sale_date) AS hi, count(*) AS n, count(DISTINCT team) AS d FROM fx_ledger", dates="lo hi")
 def _(t):
     return A.aggregate(A.where(t("fx_ledger"), []), [M("sum", "amount", "s"), M("avg", "amount", "a"), M("min", "sale_date", "lo"), M("max", "sale_date", "hi"), M("count", None, "n"), M("count_distinct", "team", "d")])
 
@@ -99,7 +99,7 @@ def _(t):
     return A.double_count_guard(_axes(t), F.col("x.stock"))
 
 
-@query("effective_period", "fx_ledger", "SELECT yr, CAST(greatest(lo, DATE '1995-03-01') AS DATE) AS first_day, CAST(least(hi, DATE '1997-05-31') AS DATE) AS last_day, CAST(datediff('day', greatest(lo, DATE '1995-03-01'), least(hi, DATE '1997-05-31')) AS BIGINT) AS span FROM (SELECT yr, min(sale_date) AS lo, max(sale_date) AS hi FROM fx_ledger GROUP BY yr) g")
+@query("effective_period", "fx_ledger", "SELECT yr, CAST(greatest(lo, DATE '1995-03-01') AS DATE) AS first_day, CAST(least(hi, DATE '1997-05-31') AS DATE) AS last_day, CAST(datediff('day', greatest(lo, DATE '1995-03-01'), least(hi, DATE '1997-05-31')) AS BIGINT) AS span FROM (SELECT yr, min(sale_date) AS lo, max(sale_date) AS hi FROM fx_ledger GROUP BY yr) g", dates="first_day last_day")
 def _(t):
     g = t("fx_ledger").groupBy("yr").agg(F.min("sale_date").alias("lo"), F.max("sale_date").alias("hi"))
     day = lambda d: F.lit(d).cast("date")
@@ -107,7 +107,7 @@ def _(t):
     return g.select("yr", first.alias("first_day"), last.alias("last_day"), span.alias("span"))
 
 
-@query("merge_periods", "fx_ledger", "SELECT team, array_to_string(list_sort(list(DISTINCT CAST(month(sale_date) AS INT))), ',') AS months, min(sale_date) AS start, max(sale_date) AS end FROM fx_ledger GROUP BY team")
+@query("merge_periods", "fx_ledger", "SELECT team, array_to_string(list_sort(list(DISTINCT CAST(month(sale_date) AS INT))), ',') AS months, min(sale_date) AS start, max(sale_date) AS end FROM fx_ledger GROUP BY team", dates="start end")
 def _(t):
     months = t("fx_ledger").groupBy("team", "yr").agg(F.collect_set(F.month("sale_date")).alias("months"), F.min("sale_date").alias("start"), F.max("sale_date").alias("end"))
     return A.merge_periods(months, "team")

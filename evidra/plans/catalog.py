@@ -43,7 +43,7 @@ def _(t):
     return t("fx_files").select("path", B.family_stem(F.col("name")).alias("stem"))
 
 
-@query("data_date", "fx_files", f"SELECT path, CAST({BASE} AS DATE) AS data_date FROM fx_files")
+@query("data_date", "fx_files", f"SELECT path, CAST({BASE} AS DATE) AS data_date FROM fx_files", dates="data_date")
 def _(t):
     return t("fx_files").select("path", B.data_date(F.split("preamble", "\n"), F.col("mtime")).alias("data_date"))
 
@@ -124,7 +124,7 @@ def _(t):
     return B.known_columns(_columns(t))
 
 
-@query("time_axis", "fx_ledger", "SELECT team, min(sale_date) AS start, max(sale_date) AS end, array_to_string(list_sort(list(DISTINCT strftime(sale_date, '%Y-%m'))), ',') AS months FROM fx_ledger GROUP BY team")
+@query("time_axis", "fx_ledger", "SELECT team, min(sale_date) AS start, max(sale_date) AS end, array_to_string(list_sort(list(DISTINCT strftime(sale_date, '%Y-%m'))), ',') AS months FROM fx_ledger GROUP BY team", dates="start end")
 def _(t):
     return B.time_axis(t("fx_ledger"), "team", "sale_date")
 

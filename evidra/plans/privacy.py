@@ -47,6 +47,6 @@ def _(t):
     return t("events").select("event_id", P.egress_guard(F.concat(F.lit("{"), key, F.lit('"v":['), items, F.lit('],"t":"'), pad, F.lit('"}'))).alias("verdict"))
 
 
-@query("audit_recent", "", "SELECT event_id AS id, ts AS at, substr(props, 1, 20000) AS sent FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+@query("audit_recent", "", "SELECT event_id AS id, ts AS at, substr(props, 1, 20000) AS sent FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", dates="at")
 def _(t):
     return P.audit_recent(P.audit_log(t("events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("props").alias("sent"))))

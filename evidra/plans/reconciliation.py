@@ -86,7 +86,7 @@ def _(t):
 LATE = f"SELECT team, count(*) AS late_count, {SUM('amount')} AS late_sum, min(sale_date) AS first_day, max(sale_date) AS last_day FROM fx_ledger WHERE sale_date > DATE '{CUT}' AND sale_date <= DATE '1997-09-30' GROUP BY"
 
 
-@query("trace_difference", "fx_ledger", f"{LATE} ROLLUP (team)")
+@query("trace_difference", "fx_ledger", f"{LATE} ROLLUP (team)", dates="first_day last_day")
 def _(t):
     return R.trace_difference(_quarter(t), "sale_date", F.lit(CUT).cast("date"), "team", "amount")
 

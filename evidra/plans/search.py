@@ -125,7 +125,7 @@ PERIODS = ("3분기 매출", "2023년 상반기", "9월 실적", "2022년 전체
 RANGES = {0: ("3분기", None, 7, 9), 1: ("상반기", 2023, 1, 6), 2: ("9월", None, 9, 9), 3: ("연간", 2022, 1, 12), 5: ("하반기", None, 7, 12), 6: ("4분기", 2021, 10, 12)}
 
 
-@query("parse_period", "", "SELECT n_nationkey, text, year, make_date(year, lo, 1) AS start, last_day(make_date(year, hi, 1)) AS end, defaulted AS year_defaulted FROM (SELECT n_nationkey, l AS text, CAST(coalesce(y, 2024) AS BIGINT) AS year, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, y IS NULL AS defaulted FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{l}', {y or 'NULL'}, {a}, {b})" for k, (l, y, a, b) in RANGES.items()) + ") AS v(k, l, y, lo, hi) ON n_nationkey % 7 = k) x")
+@query("parse_period", "", "SELECT n_nationkey, text, year, make_date(year, lo, 1) AS start, last_day(make_date(year, hi, 1)) AS end, defaulted AS year_defaulted FROM (SELECT n_nationkey, l AS text, CAST(coalesce(y, 2024) AS BIGINT) AS year, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, y IS NULL AS defaulted FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{l}', {y or 'NULL'}, {a}, {b})" for k, (l, y, a, b) in RANGES.items()) + ") AS v(k, l, y, lo, hi) ON n_nationkey % 7 = k) x", dates="start end")
 def _(t):
     asked = t("nation").select("n_nationkey", F.element_at(F.array(*map(F.lit, PERIODS)), (F.col("n_nationkey") % 7 + 1).cast("int")).alias("q"))
     return asked.select("n_nationkey", T.parse_period(F.col("q"), F.lit(2024)).alias("p")).where("p is not null").select("n_nationkey", "p.*")

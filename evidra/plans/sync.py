@@ -58,7 +58,7 @@ def _(t):
     return Y.glossary_candidates(Y.new_columns(_named(t), known), types.where("name like '%A%'"), types.where("name like 'S%'"), _named(t))
 
 
-@query("upsert_latest", "", "SELECT user_id, arg_max(value, [epoch_us(ts), event_id]) AS value, min(ts) AS created_at FROM (SELECT user_id, ts, event_id, value FROM events) e GROUP BY user_id")
+@query("upsert_latest", "", "SELECT user_id, arg_max(value, [epoch_us(ts), event_id]) AS value, min(ts) AS created_at FROM (SELECT user_id, ts, event_id, value FROM events) e GROUP BY user_id", dates="created_at")
 def _(t):
     rows = t("events").select("user_id", F.struct("ts", "event_id").alias("at"), "value")
     return Y.upsert_latest(rows, "user_id", "at", ["value"]).select("user_id", "value", F.col("created_at.ts").alias("created_at"))
