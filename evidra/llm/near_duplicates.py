@@ -4,8 +4,11 @@
 2. No link may be lost, and no pairs are listed. Where a link of similarity t needs sizes a >= b, the sets differ in at most
    (a + b)(1 - t)/(1 + t) shingles. A set is cut by hash into more parts than that, so two linked sets have an equal part.
    Sizes fall into intervals of ratio t (a link spans at most two); a set is keyed for its own interval and for the next.
-   Documents with an equal part are ordered by size, and neighbours of near enough sizes are tied: whatever links there are
-   in between stay within one tied component. Only components with several classes go on: all others have no link.
+   Of the documents with an equal part, those whose sketches are near are tied: a sketch has a code for the smallest hash in each
+   of 128 bins, and of two linked sets more than half of the codes would have to differ by chance (9 standard deviations; for
+   small sets it can't be). In groups of up to ``ALL_PAIRS`` documents all sketches are compared, in larger ones each with leaders
+   so chosen that linked documents share one, and in still larger ones neighbours by size are tied as they are. So whatever
+   links there are lie within a tied component; only components with several classes go on: all others have no link.
 3. Within a candidate component, classes are sorted by size and cut into chunks of bounded size. Chunk nodes hold the OR of
    their token bitmaps and their size range; pairs of nodes whose largest possible overlap is too small are dropped.
    For each pair left, one task builds the lower tree levels and descends both sides at once, pruning node pairs by the same
@@ -32,6 +35,10 @@ from evidra.llm.components import components
 
 #: Shingles in a chunk of a candidate component; classes in a leaf, children of a node, and bits of a bitmap.
 CHUNK_SHINGLES, LEAF, FAN, BITS = 1_500_000, 16, 8, 1024
+#: Bins of a sketch; sizes of groups up to which all pairs, or all leaders, are compared; shares of differing codes: of linked
+#: sets at most, of a leader's followers at most, and of followers of one leader that may be linked.
+BINS, ALL_PAIRS, WITH_LEADERS = 128, 64, 20_000
+FAR, FOLLOWS, TIED = 0.5, 0.3, 0.7
 _WORD = np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,6 +108,47 @@ def set_digest(grams: np.ndarray) -> str:
     return f"{len(grams)}-{int(a):x}-{int(b):x}"
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BINS codes for each set: 0 for an empty bin, else 1 to 15 from the smallest hash in it."""
+    low = np.full(len(sets) * BINS, np.iinfo(np.uint64).max, np.uint64)
+    if len(sets):
+        own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        mixed = mix64(np.concatenate(sets) ^ np.uint64(0xC2B2AE3D27D4EB4F))
+        np.minimum.at(low, own * BINS + (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(8))
+    codes = (mix64(low) % np.uint64(15)).astype(np.uint8) + 1
+    codes[low == np.iinfo(np.uint64).max] = 0
+    return codes.reshape(-1, BINS)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of codes that differ, of bins that either has."""
+    return ((a != b).sum(-1)) / np.maximum(1, ((a | b) > 0).sum(-1))
+
+
+def tie_group(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Ties that connect all linked documents of one group, which is sorted by size."""
+    n = len(ids)
+    if n > WITH_LEADERS:
+        near = np.flatnonzero(100 * sizes[:-1] >= percent * sizes[1:])
+        return list(zip(ids[near + 1].tolist(), ids[near].tolist()))
+    if n <= ALL_PAIRS:
+        near = (apart(codes[:, None], codes[None]) <= FAR) & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes))
+        label = np.arange(n)
+        while True:
+            low = np.where(near, label, n).min(1)
+            if (low == label).all():
+                return [(a, b) for a, b in zip(ids.tolist(), ids[label].tolist()) if a != b]
+            label = low
+    leaders: list[int] = []
+    out = []
+    for i in range(n):
+        d = apart(codes[leaders], codes[i]) if leaders else np.zeros(0)
+        out += [(int(ids[i]), int(ids[leaders[k]])) for k in np.flatnonzero(d <= TIED)]
+        if not (d <= FOLLOWS).any():
+            leaders.append(i)
+    return [(a, b) for a, b in out if a != b]
+
+
 def linked(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
@@ -214,12 +262,43 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
 
 def _digested(n_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row: _id, n_shingles, digest of its set."""
+    """Per row: _id, n_shingles, digest and sketch of its set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in rows_in_chunks(batches, "_text"):
             sets = shingle_sets(texts, n_words)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.string())], ["_id", "n_shingles", "digest"])
+            codes = pa.array([c.tobytes() for c in sketches(sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.string()), codes], ["_id", "n_shingles", "digest", "sketch"])
+
+    return run
+
+
+def _tied(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ties of rows (part, _id, size, sketch) that come sorted by part and size; the last group of a batch waits for the next."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ids, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.zeros((0, BINS), np.uint8)
+
+        def ties(until: int) -> pa.RecordBatch:
+            heads = np.flatnonzero(np.concatenate(([True], part[1:until] != part[: until - 1]))) if until else np.zeros(0, np.int64)
+            ends = np.append(heads[1:], until)
+            two = heads[ends - heads == 2]  # most groups
+            near = two[(apart(codes[two], codes[two + 1]) <= FAR) & (100 * sizes[two] >= percent * sizes[two + 1]) & (ids[two] != ids[two + 1])]
+            more = [x for a, b in zip(heads.tolist(), ends.tolist()) if b - a > 2 for x in tie_group(ids[a:b], sizes[a:b], codes[a:b], percent)]
+            a, b = ids[near].tolist() + [x for x, _ in more], ids[near + 1].tolist() + [y for _, y in more]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            part, ids, sizes = (np.concatenate((x, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for x, k in ((part, 0), (ids, 1), (sizes, 2)))
+            codes = np.concatenate((codes, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)))
+            last = int(np.searchsorted(part, part[-1])) if len(part) else 0
+            keep = last
+            if len(part) - last > WITH_LEADERS:  # a group too large to wait: tied as it comes, its last row stays for what follows
+                last, keep = len(part), len(part) - 1
+            yield ties(last)
+            part, ids, sizes, codes = part[keep:], ids[keep:], sizes[keep:], codes[keep:]
+        yield ties(len(part))
 
     return run
 
@@ -276,16 +355,13 @@ def _chunk_links(percent: int) -> Callable[..., pd.DataFrame]:
     return links
 
 
-def candidate_ties(texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Ties (a, b) of documents (columns _id long, _text) such that every link lies within a tied component. One shuffle of
-    a few numbers for every part."""
+def candidate_ties(texts: DataFrame, sketched: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Ties (a, b) of documents (columns _id long, _text; their sketches by _id) such that every link lies within a tied
+    component. One shuffle of a few numbers for every part; what isn't alone with its part goes on with its sketch."""
     parts = texts.mapInArrow(_keyed(n_words, percent), "part long, _id long, size int")
-    by_size = Window.partitionBy("part").orderBy("size", "_id")
-    return (
-        parts.select("_id", "size", F.lag("_id").over(by_size).alias("before"), F.lag("size").over(by_size).alias("smaller"))
-        .where(f"before is not null and before <> _id and 100 * smaller >= {percent} * size")
-        .select(F.col("_id").alias("a"), F.col("before").alias("b")).distinct()
-    )
+    shared = parts.withColumn("n", F.count("*").over(Window.partitionBy("part"))).where("n > 1").drop("n")
+    with_sketch = shared.join(sketched, "_id").select("part", "_id", "size", "sketch")
+    return with_sketch.repartition("part").sortWithinPartitions("part", "size", "_id").mapInArrow(_tied(percent), "a long, b long").distinct()
 
 
 def chunk_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -308,12 +384,13 @@ def chunk_pairs(members: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` (a long), n_shingles, class_id (smallest id with the same set), component_id: one row per row of ``docs``."""
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
-    rows = checkpointed(texts.mapInArrow(_digested(n_words), "_id long, n_shingles long, digest string"))
+    rows = checkpointed(texts.mapInArrow(_digested(n_words), "_id long, n_shingles long, digest string, sketch binary"))
     known = rows.where("_id is not null and n_shingles > 0")
     # One class for equal sets; minima are taken before the shuffle, so copies cost little.
     classes = checkpointed(known.groupBy("digest").agg(F.min("_id").alias("class_id"), F.max("_id").alias("far"), F.max("n_shingles").alias("size")))
     copies = known.join(classes.where("class_id < far"), "digest").select(F.col("_id").alias("a"), F.col("class_id").alias("b"))
-    group = components(candidate_ties(texts, n_words, percent).unionByName(copies))
+    sketched = known.groupBy("_id").agg(F.min("sketch").alias("sketch"))
+    group = components(candidate_ties(texts, sketched, n_words, percent).unionByName(copies))
     members = classes.join(group, F.col("class_id") == F.col("id")).select("root", F.col("class_id").alias("_id"), "size")
     several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     places = chunk_pairs(members.join(several, "root"), percent)
