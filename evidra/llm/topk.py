@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import checkpointed, table
 
-#: Vectors in a block, in a range of blocks that one task holds, and queries in a chunk.
-BLOCK, RANGE, CHUNK = 64, 16_384, 2048
+#: Vectors in a block, in a range of blocks that one task holds at most and at least, and queries in a chunk.
+BLOCK, RANGE, LEAST_RANGE, CHUNK = 64, 65_536, 4096, 8192
 
 
 def scaled(vector: F.Column) -> F.Column:
@@ -109,7 +109,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     base, asked = prepared(vectors), prepared(queries)
     n, m = base.count(), asked.count()
-    ranges, chunks = max(1, -(-n // RANGE)), max(1, -(-m // CHUNK))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    ranges, chunks = max(1, -(-n // RANGE), min(cores, -(-n // LEAST_RANGE))), max(1, -(-m // CHUNK))
     strongest = F.array_max(F.transform("v", lambda x, i: F.struct(F.abs(x).alias("size"), i.alias("at"), (x > 0).alias("positive"))))
     signature = (strongest["at"] * 2 + strongest["positive"].cast("int")).alias("signature")
     # Ranges of (signature, id): like vectors share blocks, and any one signature's vectors spread over ranges by id.
