@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.joins import contains_join
+
 # Departments and the label of the rest, suffixes of versions, marks of copies, labels of base dates.
 DEPARTMENTS = ("영업팀", "경영지원팀", "회계팀", "물류팀", "구매팀", "공용")
 UNCLASSIFIED = "미분류"
@@ -94,9 +96,9 @@ def tie_primary(ties: DataFrame) -> DataFrame:
 
 def catalog_search(columns: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, table_id) where the table has every wanted column: columns (table_id, name); requests (request_id, wants), a
-    want ``A|B`` meaning either. A want is met by an equal name or one that contains it; the small request side is exploded."""
+    want ``A|B`` meaning either. A want is met by an equal name or one that contains it."""
     each = requests.select("request_id", F.size("wants").alias("n"), F.posexplode("wants").alias("k", "want")).select("request_id", "n", "k", F.explode(F.split("want", r"\|")).alias("alternative"))
-    met = columns.join(F.broadcast(each), F.col("name").contains(F.trim("alternative")))
+    met = contains_join(columns, "name", each.withColumn("alternative", F.trim("alternative")), "alternative")
     return met.groupBy("request_id", "table_id").agg(F.count_distinct("k").alias("met"), F.max("n").alias("n")).where("met = n").select("request_id", "table_id")
 
 

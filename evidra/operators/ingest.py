@@ -93,12 +93,12 @@ def preamble(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def body(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Cells below the header, without errors."""
-    return clean_cells(cells).where("kind <> 'e'").join(F.broadcast(headers), "sheet").where("row_no > header_row").drop("header_row")
+    return clean_cells(cells).where("kind <> 'e'").join(headers, "sheet").where("row_no > header_row").drop("header_row")
 
 
 def kept_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Columns with a header or a cell below it; ``header`` is its text."""
-    at = clean_cells(cells).where("kind <> 'e'").join(F.broadcast(headers), "sheet").where("row_no >= header_row")
+    at = clean_cells(cells).where("kind <> 'e'").join(headers, "sheet").where("row_no >= header_row")
     text = F.coalesce("v_text", F.when(F.col("v_num") == F.floor("v_num"), F.col("v_num").cast("long").cast("string")).otherwise(F.col("v_num").cast("string")))
     return at.groupBy("sheet", "col_no").agg(F.max(F.when(F.col("row_no") == F.col("header_row"), text)).alias("header"))
 
@@ -185,7 +185,7 @@ def coerce(cells: DataFrame, types: DataFrame) -> DataFrame:
 def materialize_layout(typed: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
     """All sheets of one layout as one wide table: (sheet, row_no) and the named columns as text."""
     value = F.coalesce("v_str", F.col("v_int").cast("string"), F.col("v_dbl").cast("string"), F.col("v_day").cast("string"))
-    return typed.join(F.broadcast(names), ["sheet", "col_no"]).withColumn("value", value).groupBy("sheet", "row_no").pivot("name", columns).agg(F.first("value"))
+    return typed.join(names, ["sheet", "col_no"]).withColumn("value", value).groupBy("sheet", "row_no").pivot("name", columns).agg(F.first("value"))
 
 
 def scan_summary(files: DataFrame, most_rows: int = 3_000_000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.joins import contains_join
+
 # Lengths of indexed texts, entity columns and their kinds, words that name no file.
 SHORTEST, LONGEST = 2, 120
 ENTITY_COLUMNS = {"팀명": "팀", "담당팀": "팀", "거래처명": "거래처", "업체명": "거래처", "고객사": "거래처", "거래처": "거래처", "공급처": "거래처", "담당자": "담당자"}
@@ -25,10 +27,9 @@ def build_value_index(rows: DataFrame, table: str, row: str, columns: list[str])
 
 def search_value(index: DataFrame, terms: DataFrame, exact: bool, most: int) -> DataFrame:
     """Up to ``most`` hits of each term (term_id, term), in order of table and row: equal normal forms by an equi-join, else
-    literal substrings with the (small) terms broadcast."""
+    literal substrings."""
     asked = terms.withColumn("t", normalize_value(F.col("term")))
-    on = F.col("value_norm") == F.col("t") if exact else F.col("value_norm").contains(F.col("t"))
-    hits = index.join(F.broadcast(asked), on)
+    hits = index.join(asked, F.col("value_norm") == F.col("t")) if exact else contains_join(index, "value_norm", asked, "t")
     n = F.row_number().over(Window.partitionBy("term_id").orderBy("table_id", "row_no", "column"))
     return hits.withColumn("n", n).where(F.col("n") <= most).drop("n", "t")
 
@@ -43,7 +44,7 @@ def search_locations(hits: DataFrame) -> DataFrame:
 def similar_names(terms: DataFrame, hits: DataFrame) -> DataFrame:
     """For a term that lies within an earlier one that found nothing: what it hit, as similar names and not as evidence."""
     missed = terms.join(hits.select("term_id").distinct(), "term_id", "left_anti").select(F.col("term_id").alias("missed_id"), F.col("term").alias("missed"))
-    inner = terms.join(F.broadcast(missed), (F.col("missed_id") < F.col("term_id")) & F.col("missed").contains(F.col("term")) & (F.col("missed") != F.col("term")))
+    inner = contains_join(missed, "missed", terms, "term").where((F.col("missed_id") < F.col("term_id")) & (F.col("missed") != F.col("term")))
     names = inner.select("missed", "term_id").join(hits, "term_id").groupBy("missed").agg(F.array_sort(F.collect_set("value")).alias("v"))
     return names.select("missed", F.array_join(F.slice("v", 1, MOST_SIMILAR), ";").alias("similar"))
 
@@ -60,7 +61,7 @@ def row_snippet(names: list[str], most: int = 160) -> Column:
 def value_columns(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Columns in which a term is a value, at most five."""
     asked = terms.select("term_id", normalize_value(F.col("term")).alias("value_norm"))
-    found = index.join(F.broadcast(asked), "value_norm").groupBy("term_id").agg(F.array_sort(F.collect_set("column")).alias("c"))
+    found = index.join(asked, "value_norm").groupBy("term_id").agg(F.array_sort(F.collect_set("column")).alias("c"))
     return found.select("term_id", F.array_join(F.slice("c", 1, MOST_COLUMNS), ",").alias("columns"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.joins import contains_join
+
 # The glossary (term, its columns, its synonyms), and words that decide on scope.
 GLOSSARY = (
     ("매출실적", ("매출실적", "공급가액", "매출액", "금액"), ("실적", "매출", "매상", "판매액", "매출액")),
@@ -47,7 +49,8 @@ def match_terms(terms: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 
 def guess_columns(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Up to six columns (name) that hold a term or lie within it."""
-    both = columns.select("name").distinct().join(F.broadcast(terms), F.col("name").contains(F.col("term")) | F.col("term").contains(F.col("name")))
+    names = columns.select("name").distinct()
+    both = contains_join(names, "name", terms, "term").select("term_id", "name").unionByName(contains_join(terms, "term", names, "name").select("term_id", "name"))
     found = both.groupBy("term_id").agg(F.array_sort(F.collect_set("name")).alias("c"))
     return found.select("term_id", F.array_join(F.slice("c", 1, MOST_GUESSES), ",").alias("guesses"))
 
@@ -55,7 +58,7 @@ def guess_columns(terms: DataFrame, columns: DataFrame) -> DataFrame:
 def term_fallback(unmatched: DataFrame, index: DataFrame, names: DataFrame) -> DataFrame:
     """What an unregistered term is: a value of the data, part of a department's, file's or sheet's name (names: name), or unknown."""
     value = unmatched.join(index.select(F.col("value_norm").alias("v")), F.lower("term") == F.col("v"), "left_semi").select("term_id", F.lit(1).alias("is_value"))
-    part = names.join(F.broadcast(unmatched), F.col("name").contains(F.col("term"))).select("term_id").distinct().withColumn("is_name", F.lit(1))
+    part = contains_join(names, "name", unmatched, "term").select("term_id").distinct().withColumn("is_name", F.lit(1))
     return unmatched.join(value, "term_id", "left").join(part, "term_id", "left").select("term_id", "term", F.when(F.col("is_value") == 1, "value").when(F.col("is_name") == 1, "file").otherwise("unknown").alias("found_as"))
 
 

@@ -170,3 +170,12 @@ def test_masks_longest_first(spark):
 def test_payloads(spark):
     df = column(spark, ['{"raw": 1}', '{"a": [' + ",".join("1" * 61) + "]}", '{"a": "' + "x" * 120_001 + '"}', '{"a": [1, [2]]}'])
     assert values(df.select("i", P.egress_guard(F.col("v")))) == ["forbidden_field", "list_too_long", "too_large", "ok"]
+
+
+def test_contains_join_both_ways(spark):
+    from evidra.functions.joins import contains_join
+
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "a"), (3, ""), (4, None), (5, "xabcabc")], "id int, text string")
+    needles = spark.createDataFrame([("abc",), ("a",), ("ef",), ("abcdef",), ("",), (None,)], "needle string")
+    got = [{(r["id"], r["needle"]) for r in contains_join(texts, "text", needles, "needle", most).collect()} for most in (100, 0)]
+    assert got[0] == got[1] == {(1, "abc"), (1, "a"), (1, "ef"), (1, "abcdef"), (2, "a"), (5, "abc"), (5, "a")}
