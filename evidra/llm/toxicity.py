@@ -33,6 +33,8 @@ SAMPLE, BUCKETS, WINDOW, WINDOWS = 4000, 1 << 17, 24, 6
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Candidates that the cover looks at, at most, by support; a kept feature explains at least so many documents more.
 CANDIDATES, LEAST_SUPPORT, LEAST_RATIO = 5000, 4, 8
+#: Share of toxic documents that a feature needs to be kept beyond the cover, and share of its documents that another one has at most.
+OWN_SHARE, GOES_ALONG = 0.01, 0.8
 BLOCK = 64
 #: Columns of evidence, the last one constant.
 EVIDENCE = 6
@@ -203,18 +205,23 @@ def _holding(candidates: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Ite
 
 
 def cover(toxic: list[set[int]], worth: dict[int, float]) -> list[int]:
-    """Features that explain the most documents not explained by those before, each document counting by the feature's worth."""
-    left, kept = [x for x in toxic if x], []
+    """Features that explain the most documents not explained by those before, each document counting by the feature's worth; then
+    frequent ones that no kept feature mostly goes with (words that only go along with one, as in copies, aren't kept)."""
+    held: dict[int, set[int]] = {}
+    for i, x in enumerate(toxic):
+        for f in x:
+            held.setdefault(f, set()).add(i)
+    left, kept = {f: set(d) for f, d in held.items()}, []
     while left:
-        count: dict[int, int] = {}
-        for x in left:
-            for f in x:
-                count[f] = count.get(f, 0) + 1
-        best = min(count, key=lambda f: (-count[f] * worth[f], f))
-        if count[best] < LEAST_SUPPORT and kept:
-            return kept
+        best = min(left, key=lambda f: (-len(left[f]) * worth[f], f))
+        if len(left[best]) < LEAST_SUPPORT and kept:
+            break
         kept.append(best)
-        left = [x for x in left if best not in x]
+        done = left.pop(best)
+        left = {f: rest for f, d in left.items() if (rest := d - done)}
+    for f in sorted(held, key=lambda f: (-len(held[f]) * worth[f], f)):
+        if f not in kept and len(held[f]) >= max(LEAST_SUPPORT, OWN_SHARE * len(toxic)) and all(len(held[f] & held[k]) < GOES_ALONG * len(held[f]) for k in kept):
+            kept.append(f)
     return kept
 
 
@@ -258,7 +265,7 @@ def _evidence(chain: Chain) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, fold: int = 1, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on a bounded sample of labelled rows. Counts are Spark aggregations; only candidate features, windows of tokens and
     three numbers a document (all bounded by the sample) come to the driver."""
-    sample = checkpointed(labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col))
+    sample = checkpointed(labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col).dropDuplicates(["_text"]))
     none = Chain(np.zeros(BUCKETS), -30.0, np.zeros((2, 2)), np.array([0.0] * (EVIDENCE - 1) + [-30.0]))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
