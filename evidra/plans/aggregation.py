@@ -16,9 +16,9 @@ def _(t):
     return A.aggregate(A.where(t("fx_ledger"), [C("qty", ">=", "25"), C("flag", "!=", "N"), C("sale_date", "<", "1997-01-01")]), [M("count", None, "n"), M("sum", "amount", "total")], ("team",))
 
 
-@query("filter_in", "fx_ledger", f"SELECT flag, {SUM('amount')} AS total FROM fx_ledger WHERE team IN ('JAPAN', 'CHINA') GROUP BY flag")
+@query("filter_in", "fx_ledger", f"SELECT flag, {SUM('amount')} AS total FROM fx_ledger WHERE team IN ('NATION_3', 'NATION_17') GROUP BY flag")
 def _(t):
-    return A.aggregate(A.where(t("fx_ledger"), [C("team", "in", ("JAPAN", "CHINA"))]), [M("sum", "amount", "total")], ("flag",))
+    return A.aggregate(A.where(t("fx_ledger"), [C("team", "in", ("NATION_3", "NATION_17"))]), [M("sum", "amount", "total")], ("flag",))
 
 
 @query("filter_between", "fx_ledger", f"SELECT team, {SUM('amount')} AS total FROM fx_ledger WHERE sale_date BETWEEN DATE '1996-02-01' AND DATE '1996-04-30' GROUP BY team")
@@ -26,9 +26,9 @@ def _(t):
     return A.aggregate(A.where(t("fx_ledger"), [C("sale_date", "between", ("1996-02-01", "1996-04-30"))]), [M("sum", "amount", "total")], ("team",))
 
 
-@query("filter_contains", "fx_ledger", "SELECT team, count(*) AS n FROM fx_ledger WHERE contains(team, 'IN') GROUP BY team")
+@query("filter_contains", "fx_ledger", "SELECT team, count(*) AS n FROM fx_ledger WHERE contains(team, 'N_1') GROUP BY team")
 def _(t):
-    return A.aggregate(A.where(t("fx_ledger"), [C("team", "contains", "IN")]), [M("count", None, "n")], ("team",))
+    return A.aggregate(A.where(t("fx_ledger"), [C("team", "contains", "N_1")]), [M("count", None, "n")], ("team",))
 
 
 @query("filter_columns", "", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_discount > l_tax GROUP BY l_returnflag")

@@ -129,11 +129,11 @@ def _(t):
     return B.time_axis(t("fx_ledger"), "team", "sale_date")
 
 
-LAYOUT = "x AS (SELECT concat(team, '-', CAST(yr AS VARCHAR(9))) AS table_id, team AS path, CAST(yr AS BIGINT) % 2 AS signature, min(sale_date) AS s, max(sale_date) AS e FROM fx_ledger WHERE team < 'D' GROUP BY team, yr)"
+LAYOUT = "x AS (SELECT concat(team, '-', CAST(yr AS VARCHAR(9))) AS table_id, team AS path, CAST(yr AS BIGINT) % 2 AS signature, min(sale_date) AS s, max(sale_date) AS e FROM fx_ledger GROUP BY team, yr)"
 
 
 def _layout(t):
-    return t("fx_ledger").where("team < 'D'").groupBy("team", "yr").agg(F.min("sale_date").alias("start"), F.max("sale_date").alias("end")).select(F.concat_ws("-", "team", F.col("yr").cast("string")).alias("table_id"), F.col("team").alias("path"), (F.col("yr") % 2).alias("signature"), "start", "end", F.col("end").alias("data_date"))
+    return t("fx_ledger").groupBy("team", "yr").agg(F.min("sale_date").alias("start"), F.max("sale_date").alias("end")).select(F.concat_ws("-", "team", F.col("yr").cast("string")).alias("table_id"), F.col("team").alias("path"), (F.col("yr") % 2).alias("signature"), "start", "end", F.col("end").alias("data_date"))
 
 
 @query("same_layout", "fx_ledger", f"WITH {LAYOUT} SELECT a, b FROM (SELECT a.table_id AS a, b.table_id AS b, row_number() OVER (PARTITION BY a.table_id ORDER BY a.path = b.path DESC, b.e DESC, b.table_id) AS n FROM x a JOIN x b ON a.signature = b.signature AND a.table_id <> b.table_id WHERE a.path = b.path OR NOT (a.s <= b.e AND b.s <= a.e)) p WHERE n <= 40")

@@ -14,9 +14,9 @@ from evidra.plans.ingest import KEPT
 RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(x.replace("'", "''") for x in r) + f"', {'LMI'.index(r[2])}, {G.SIGNALS.index(r[1])})" for r in G.RULES) + ") AS v(rule, signal, severity, title, action, severity_rank, signal_rank))"
 
 
-@query("compress_rows", "fx_ledger", "WITH d AS (SELECT DISTINCT team, row_no FROM fx_ledger WHERE yr = 1996 AND row_no < 200), i AS (SELECT team, row_no, row_no - row_number() OVER (PARTITION BY team ORDER BY row_no) AS g FROM d), r AS (SELECT team, min(row_no) AS a, max(row_no) AS b FROM i GROUP BY team, g), n AS (SELECT team, CASE WHEN a = b THEN CAST(a AS VARCHAR(9)) ELSE concat(CAST(a AS VARCHAR(9)), '-', CAST(b AS VARCHAR(9))) END AS t, row_number() OVER (PARTITION BY team ORDER BY a) AS n FROM r) SELECT team, concat(string_agg(CASE WHEN n <= 6 THEN t END, ', ' ORDER BY n), CASE WHEN max(n) > 6 THEN concat(' 외 ', CAST(max(n) - 6 AS VARCHAR(9)), '곳') ELSE '' END) AS row_text FROM n GROUP BY team")
+@query("compress_rows", "fx_ledger", "WITH d AS (SELECT DISTINCT concat(team, '/', CAST(yr AS VARCHAR(9))) AS team, row_no FROM fx_ledger), i AS (SELECT team, row_no, row_no - row_number() OVER (PARTITION BY team ORDER BY row_no) AS g FROM d), r AS (SELECT team, min(row_no) AS a, max(row_no) AS b FROM i GROUP BY team, g), n AS (SELECT team, CASE WHEN a = b THEN CAST(a AS VARCHAR(9)) ELSE concat(CAST(a AS VARCHAR(9)), '-', CAST(b AS VARCHAR(9))) END AS t, row_number() OVER (PARTITION BY team ORDER BY a) AS n FROM r) SELECT team, concat(string_agg(CASE WHEN n <= 6 THEN t END, ', ' ORDER BY n), CASE WHEN max(n) > 6 THEN concat(' 외 ', CAST(max(n) - 6 AS VARCHAR(9)), '곳') ELSE '' END) AS row_text FROM n GROUP BY team")
 def _(t):
-    return Q.compress_rows(t("fx_ledger").where("yr = 1996 and row_no < 200"), ["team"])
+    return Q.compress_rows(t("fx_ledger").select(F.concat_ws("/", "team", F.col("yr").cast("string")).alias("team"), "row_no"), ["team"])
 
 
 NULLED = "CASE WHEN o_orderkey % {k} = 0 THEN NULL ELSE o_orderstatus END"
@@ -82,11 +82,11 @@ def _(t):
     return g.select("team", "yr", Q.period_coverage(F.col("lo"), F.col("hi"), F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y, F.lit(12), F.lit(31))).alias("rule"))
 
 
-@query("month_coverage", "fx_ledger", "SELECT team, CASE WHEN count(DISTINCT month(sale_date)) FILTER (WHERE month(sale_date) BETWEEN 7 AND 9) < 3 THEN 'P1' WHEN max(sale_date) < DATE '1998-09-30' THEN 'P2' END AS rule FROM fx_ledger WHERE yr = 1998 GROUP BY team")
+@query("month_coverage", "fx_ledger", "SELECT team, yr, flag, CASE WHEN count(DISTINCT month(sale_date)) FILTER (WHERE month(sale_date) BETWEEN 7 AND 9) < 3 THEN 'P1' WHEN max(sale_date) < DATE '2001-12-20' THEN 'P2' END AS rule FROM fx_ledger GROUP BY team, yr, flag")
 def _(t):
     label = F.concat(F.month("sale_date").cast("string"), F.lit("월"))
-    g = t("fx_ledger").where("yr = 1998").groupBy("team").agg(F.collect_set(label).alias("months"), F.max("sale_date").alias("base"))
-    return g.select("team", Q.month_coverage(F.col("months"), F.array(F.lit("7월"), F.lit("8월"), F.lit("9월")), F.col("base"), F.lit("1998-09-30").cast("date")).alias("rule"))
+    g = t("fx_ledger").groupBy("team", "yr", "flag").agg(F.collect_set(label).alias("months"), F.max("sale_date").alias("base"))
+    return g.select("team", "yr", "flag", Q.month_coverage(F.col("months"), F.array(F.lit("7월"), F.lit("8월"), F.lit("9월")), F.col("base"), F.lit("2001-12-20").cast("date")).alias("rule"))
 
 
 @query("version_audit", "fx_files", f"WITH {FACTS}, t AS (SELECT family FROM g WHERE fresh = 'ok' GROUP BY family HAVING count(DISTINCT sha256) > 1) SELECT path, CASE WHEN fresh = 'stale' THEN 'V1' WHEN fresh = 'copy' THEN 'V2' WHEN t.family IS NOT NULL AND size % 2 = 0 THEN 'V3F' WHEN t.family IS NOT NULL THEN 'V3' END AS rule FROM g LEFT JOIN t ON g.family = t.family")
@@ -94,9 +94,9 @@ def _(t):
     return catalog.files(t).select("path", Q.version_audit(F.col("fresh"), F.col("tie_with").isNotNull(), F.col("size") % 2 == 0).alias("rule"))
 
 
-@query("late_edit_audit", "fx_files", "SELECT path, CASE WHEN datediff('day', CAST(base_date AS DATE), CAST(mtime AS DATE)) > 2 THEN NULL END AS rule FROM fx_files")
+@query("late_edit_audit", "fx_files", "SELECT path, CASE WHEN datediff('day', CAST(base_date AS DATE), CAST(mtime AS DATE)) + doc_id % 30 > 14 THEN 'V4' END AS rule FROM fx_files")
 def _(t):
-    return t("fx_files").select("path", Q.late_edit_audit(F.col("mtime"), F.col("base_date")).alias("rule"))
+    return t("fx_files").select("path", Q.late_edit_audit(F.date_add("mtime", (F.col("doc_id") % 30).cast("int")), F.col("base_date")).alias("rule"))
 
 
 @query("informal_location_audit", "fx_files", "SELECT path, array_to_string(list_filter([CASE WHEN starts_with(path, 'backup/') THEN 'V5' END, CASE WHEN doc_id % 5 = 0 THEN 'V6' END], lambda r: r IS NOT NULL), ',') AS rules FROM fx_files")

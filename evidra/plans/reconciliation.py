@@ -105,10 +105,10 @@ def _(t):
     return R.number_check(answers, values)
 
 
-@query("period_claim", "fx_ledger", "SELECT team AS answer_id FROM (SELECT team, min(sale_date) AS lo, max(sale_date) AS hi FROM fx_ledger WHERE l_partkey % 40 = 0 AND yr = 1996 GROUP BY team) g WHERE lo < DATE '1996-01-20' OR hi > DATE '1996-12-20'")
+@query("period_claim", "", "SELECT o_custkey AS answer_id FROM (SELECT o_custkey, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY o_custkey) g WHERE CAST(lo AS DATE) < DATE '1995-06-01' OR CAST(hi AS DATE) > DATE '2001-03-01'")
 def _(t):
-    ranges = t("fx_ledger").where("l_partkey % 40 = 0 and yr = 1996").groupBy(F.col("team").alias("answer_id")).agg(F.min("sale_date").alias("low"), F.max("sale_date").alias("high"))
-    claims = t("nation").select(F.col("n_name").alias("answer_id"), F.lit("1996-01-20").cast("date").alias("start"), F.lit("1996-12-20").cast("date").alias("end"))
+    ranges = t("orders").groupBy(F.col("o_custkey").alias("answer_id")).agg(F.min("o_orderdate").cast("date").alias("low"), F.max("o_orderdate").cast("date").alias("high"))
+    claims = t("customer").select(F.col("c_custkey").alias("answer_id"), F.lit("1995-06-01").cast("date").alias("start"), F.lit("2001-03-01").cast("date").alias("end"))
     return R.period_claim(claims, ranges)
 
 

@@ -35,26 +35,31 @@ def _(t):
     return Y.check_stamps(t("fx_prev").select("path", F.left("sha256", F.lit(12)).alias("stamp")), t("fx_new"))
 
 
-NAMES = "CASE WHEN p_partkey % 5 = 0 THEN concat('_', p_type) WHEN p_partkey % 7 = 0 THEN '12월' WHEN p_partkey % 11 = 0 THEN '2024' ELSE p_type END"
+KIND = "concat(p_type, ' ', CAST(p_size AS VARCHAR(9)))"
+NAMES = f"CASE WHEN p_partkey % 5 = 0 THEN concat('_', p_type) WHEN p_partkey % 7 = 0 THEN '12월' WHEN p_partkey % 11 = 0 THEN '2024' ELSE {KIND} END"
+
+
+def kind_of():
+    return F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))
 
 
 def _named(t):
     k = F.col("p_partkey")
-    return t("part").select(F.when(k % 5 == 0, F.concat(F.lit("_"), "p_type")).when(k % 7 == 0, "12월").when(k % 11 == 0, "2024").otherwise(F.col("p_type")).alias("name"), F.col("p_brand").alias("path"))
+    return t("part").select(F.when(k % 5 == 0, F.concat(F.lit("_"), "p_type")).when(k % 7 == 0, "12월").when(k % 11 == 0, "2024").otherwise(kind_of()).alias("name"), F.col("p_brand").alias("path"))
 
 
-NEW = f"nw AS (SELECT DISTINCT name FROM (SELECT {NAMES} AS name FROM part) x WHERE length(name) BETWEEN 2 AND 30 AND NOT starts_with(name, '_') AND name NOT IN ('12월', '2024') AND name NOT IN (SELECT p_type FROM part WHERE p_partkey % 4 = 1))"
+NEW = f"nw AS (SELECT DISTINCT name FROM (SELECT {NAMES} AS name FROM part) x WHERE length(name) BETWEEN 2 AND 30 AND NOT starts_with(name, '_') AND name NOT IN ('12월', '2024') AND name NOT IN (SELECT {KIND} FROM part WHERE p_size % 4 = 1))"
 
 
 @query("new_columns", "", f"WITH {NEW} SELECT name FROM nw")
 def _(t):
-    return Y.new_columns(_named(t), t("part").where("p_partkey % 4 = 1").select(F.col("p_type").alias("name")).distinct())
+    return Y.new_columns(_named(t), t("part").where("p_size % 4 = 1").select(kind_of().alias("name")).distinct())
 
 
 @query("glossary_candidates", "", f"WITH {NEW} SELECT nw.name, array_to_string(list_sort(list(DISTINCT p_brand))[1:5], ';') AS files FROM nw JOIN (SELECT {NAMES} AS name, p_brand FROM part) p ON p.name = nw.name WHERE nw.name NOT LIKE '%A%' AND nw.name NOT LIKE 'S%' GROUP BY nw.name")
 def _(t):
-    known = t("part").where("p_partkey % 4 = 1").select(F.col("p_type").alias("name")).distinct()
-    types = t("part").select(F.col("p_type").alias("name")).distinct()
+    known = t("part").where("p_size % 4 = 1").select(kind_of().alias("name")).distinct()
+    types = t("part").select(kind_of().alias("name")).distinct()
     return Y.glossary_candidates(Y.new_columns(_named(t), known), types.where("name like '%A%'"), types.where("name like 'S%'"), _named(t))
 
 
