@@ -126,27 +126,31 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tie_group(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Ties that connect all linked documents of one group, which is sorted by size."""
+    """Ties that connect all linked documents of one group, which is sorted by size: each document's to the smallest id that
+    it is connected with here, so that groups of much the same documents give the same ties."""
     n = len(ids)
     if n > WITH_LEADERS:
-        near = np.flatnonzero(100 * sizes[:-1] >= percent * sizes[1:])
-        return list(zip(ids[near + 1].tolist(), ids[near].tolist()))
-    if n <= ALL_PAIRS:
+        label = np.concatenate(([0], np.cumsum(100 * sizes[:-1] < percent * sizes[1:])))
+    elif n <= ALL_PAIRS:
         near = (apart(codes[:, None], codes[None]) <= FAR) & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes))
-        label = np.arange(n)
-        while True:
-            low = np.where(near, label, n).min(1)
-            if (low == label).all():
-                return [(a, b) for a, b in zip(ids.tolist(), ids[label].tolist()) if a != b]
+        label, low = np.arange(n), np.where(near, np.arange(n), n).min(1)
+        while (low != label).any():
             label = low
-    leaders: list[int] = []
-    out = []
-    for i in range(n):
-        d = apart(codes[leaders], codes[i]) if leaders else np.zeros(0)
-        out += [(int(ids[i]), int(ids[leaders[k]])) for k in np.flatnonzero(d <= TIED)]
-        if not (d <= FOLLOWS).any():
-            leaders.append(i)
-    return [(a, b) for a, b in out if a != b]
+            low = np.where(near, label, n).min(1)
+    else:
+        leaders: list[int] = []
+        joined, label = Joined(n), np.empty(n, np.int64)
+        for i in range(n):
+            d = apart(codes[leaders], codes[i]) if leaders else np.zeros(0)
+            for k in np.flatnonzero(d <= TIED).tolist():
+                a, b = joined.root(leaders[k]), joined.root(i)
+                joined.up[max(a, b)] = min(a, b)
+            if not (d <= FOLLOWS).any():
+                leaders.append(i)
+        label = np.array([joined.root(i) for i in range(n)])
+    first = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(first, label, ids)
+    return [(a, b) for a, b in zip(ids.tolist(), first[label].tolist()) if a != b]
 
 
 def linked(shared: int, a: int, b: int, percent: int) -> bool:
