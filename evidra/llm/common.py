@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one vectorised step looks at; bounds a Python worker's memory whatever the batch holds.
@@ -46,11 +47,17 @@ def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[t
 
 
 def rows_in_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with about ``limit`` characters of ``column``, and its values with null as empty."""
+    """Slices of Arrow batches with about ``limit`` bytes of ``column``, and its values with null as empty. Only a slice at a time
+    becomes Python strings; a longer text makes a slice of its own."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        for a, b in text_chunks(texts, limit):
-            yield batch.slice(a, b - a), texts[a:b]
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        until, start = np.cumsum(size), 0
+        while start < len(size):
+            before = until[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(until, before + limit, "right")))
+            rows = batch.slice(start, end - start)
+            yield rows, [t or "" for t in rows.column(column).to_pylist()]
+            start = end
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
