@@ -150,3 +150,19 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+
+
+def test_held_out_is_crc32(spark):
+    from evidra.llm.labelled import held_out
+
+    rows = spark.range(500).select("id", held_out(F.col("id"), 3, 1).alias("h")).collect()
+    assert all(r["h"] == held(r["id"], 3, 1) for r in rows)
+
+
+def test_sample_is_bounded_and_skips_held_out(spark):
+    from evidra.llm.labelled import labelled_sample
+
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int"))
+    rows = labelled_sample(docs, labels, "toxic", 3, 1, 40).collect()
+    assert len(rows) == 80 and not any(held(r["_text"].split()[1], 3, 1) for r in rows)
