@@ -46,21 +46,19 @@ FROM {fx_files} WHERE doc_id % 5 <> 0""",
 SELECT p_brand AS sheet, p_partkey, p_name, p_size, p_retailprice, CAST(5 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, k) AS BIGINT) AS row_no
 FROM (SELECT *, 0 AS k FROM {part} UNION ALL SELECT *, 1 AS k FROM {part} WHERE p_partkey % 53 = 0) x""",
     "fx_cells": """
-SELECT sheet, row_no, CAST(col_no AS BIGINT) AS col_no, kind, v_text, v_num FROM (
-  SELECT DISTINCT p_brand AS sheet, CAST(1 AS BIGINT) AS row_no, 1 AS col_no, 's' AS kind, concat('Price list ', p_brand) AS v_text, CAST(NULL AS DOUBLE) AS v_num FROM {part}
-  UNION ALL SELECT DISTINCT p_brand, 2, 1, 's', '기준일: 2024-03-01', NULL FROM {part}
-  UNION ALL SELECT DISTINCT p_brand, 3, 1, 's', '(단위: 천원)', NULL FROM {part}
-  UNION ALL SELECT DISTINCT p_brand, 5, 1, 's', 'key', NULL FROM {part}
-  UNION ALL SELECT DISTINCT p_brand, 5, 2, 's', ' name ', NULL FROM {part}
-  UNION ALL SELECT DISTINCT p_brand, 5, 3, 's', 'size', NULL FROM {part}
-  UNION ALL SELECT DISTINCT p_brand, 5, 4, 's', 'price', NULL FROM {part}
-  UNION ALL SELECT sheet, row_no, 1, 'n', NULL, CAST(p_partkey AS DOUBLE) FROM {fx_part_rows}
-  UNION ALL SELECT sheet, row_no, 2, 's', p_name, NULL FROM {fx_part_rows}
-  UNION ALL SELECT sheet, row_no, 3, CASE WHEN sheet LIKE '%3' AND p_partkey % 10 = 3 THEN 's' ELSE 'n' END, CASE WHEN sheet LIKE '%3' AND p_partkey % 10 = 3 THEN 'n/a' END, CASE WHEN sheet LIKE '%3' AND p_partkey % 10 = 3 THEN NULL ELSE CAST(p_size AS DOUBLE) END FROM {fx_part_rows} WHERE p_partkey % 41 <> 0
-  UNION ALL SELECT sheet, row_no, 4, CASE WHEN p_partkey % 97 = 0 THEN 'e' ELSE 'n' END, CASE WHEN p_partkey % 97 = 0 THEN '#REF!' END, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_retailprice END FROM {fx_part_rows}
-  UNION ALL SELECT sheet, max(row_no) + 1, 1, 's', 'Total', NULL FROM {fx_part_rows} GROUP BY sheet
-  UNION ALL SELECT sheet, max(row_no) + 1, 4, 'n', NULL, CAST(sum(CAST(p_retailprice AS DECIMAL(18, 2))) AS DOUBLE) * CASE WHEN sheet LIKE '%2' THEN 1.1 ELSE 1.0 END FROM {fx_part_rows} GROUP BY sheet
-) c""",
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, kind, v_text, v_num FROM (
+  SELECT sheet, row_no, col_no, 's' AS kind, concat(head, CASE WHEN row_no = 1 THEN sheet ELSE '' END) AS v_text, CAST(NULL AS DOUBLE) AS v_num
+  FROM (SELECT DISTINCT p_brand AS sheet FROM {part}) b CROSS JOIN (VALUES (1, 1, 'Price list '), (2, 1, '기준일: 2024-03-01'), (3, 1, '(단위: 천원)'), (5, 1, 'key'), (5, 2, ' name '), (5, 3, 'size'), (5, 4, 'price')) AS h(row_no, col_no, head)
+  UNION ALL
+  SELECT sheet, row_no, col_no,
+    CASE WHEN col_no = 2 OR (col_no = 3 AND odd) THEN 's' WHEN col_no = 4 AND p_partkey % 97 = 0 THEN 'e' ELSE 'n' END,
+    CASE WHEN col_no = 2 THEN p_name WHEN col_no = 3 AND odd THEN 'n/a' WHEN col_no = 4 AND p_partkey % 97 = 0 THEN '#REF!' END,
+    CASE WHEN col_no = 1 THEN CAST(p_partkey AS DOUBLE) WHEN col_no = 3 AND NOT odd THEN CAST(p_size AS DOUBLE) WHEN col_no = 4 AND p_partkey % 97 <> 0 THEN p_retailprice END
+  FROM (SELECT *, sheet LIKE '%3' AND p_partkey % 10 = 3 AS odd FROM {fx_part_rows}) r CROSS JOIN (VALUES (1), (2), (3), (4)) AS c(col_no) WHERE col_no <> 3 OR p_partkey % 41 <> 0
+  UNION ALL
+  SELECT sheet, last_row, col_no, CASE WHEN col_no = 1 THEN 's' ELSE 'n' END, CASE WHEN col_no = 1 THEN 'Total' END, CASE WHEN col_no = 4 THEN total END
+  FROM (SELECT sheet, max(row_no) + 1 AS last_row, CAST(sum(CAST(p_retailprice AS DECIMAL(18, 2))) AS DOUBLE) * CASE WHEN sheet LIKE '%2' THEN 1.1 ELSE 1.0 END AS total FROM {fx_part_rows} GROUP BY sheet) g CROSS JOIN (VALUES (1), (4)) AS c(col_no)
+) x""",
     "fx_facts": """
 SELECT a.n AS a, b.n AS b, c.n AS c, a.n * 100 + b.n * 10 + c.n AS answer_id, a.n % 2 = 1 AS unregistered, a.n % 3 = 0 AS defaulted, b.n > 2 AS compared, b.n = 3 AS rank_changed, CAST(c.n AS DOUBLE) / 40 AS max_rel, c.n % 2 = 0 AS traced, b.n = 0 AS empty_result, c.n = 4 AS negative_sum, a.n = 4 AS bad_number, c.n < 4 AS has_source, c.n = 3 AS date_gap
 FROM (SELECT DISTINCT n_nationkey % 5 AS n FROM {nation}) a CROSS JOIN (SELECT DISTINCT n_nationkey % 5 AS n FROM {nation}) b CROSS JOIN (SELECT DISTINCT n_nationkey % 5 AS n FROM {nation}) c""",

@@ -46,9 +46,9 @@ def row_cap(cells: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 
 def _as_rows(cells: DataFrame, most: int) -> DataFrame:
     """The first rows of each sheet that aren't empty, each with its cells in order; ``n`` is the place among such rows."""
-    kept = clean_cells(cells).where("kind <> 'e'")
-    places = kept.select("sheet", "row_no").distinct().withColumn("n", F.row_number().over(Window.partitionBy("sheet").orderBy("row_no"))).where(F.col("n") <= most)
-    grouped = kept.join(places, ["sheet", "row_no"]).groupBy("sheet", "row_no", "n")
+    place = F.dense_rank().over(Window.partitionBy("sheet").orderBy("row_no"))
+    kept = clean_cells(cells).where("kind <> 'e'").withColumn("n", place).where(F.col("n") <= most)
+    grouped = kept.groupBy("sheet", "row_no", "n")
     return grouped.agg(F.array_sort(F.collect_list(F.struct("col_no", "kind", "v_text", "v_num"))).alias("cells"), F.count("*").alias("filled"), F.min("col_no").alias("left"), F.max("col_no").alias("right"))
 
 
