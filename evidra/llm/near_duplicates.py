@@ -125,11 +125,12 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a != b).sum(-1)) / np.maximum(1, ((a | b) > 0).sum(-1))
 
 
-def tie_group(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def tie_group(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, percent: int, by_size: bool = False) -> list[tuple[int, int]]:
     """Ties that connect all linked documents of one group, which is sorted by size: each document's to the smallest id that
-    it is connected with here, so that groups of much the same documents give the same ties."""
+    it is connected with here, so that groups of much the same documents give the same ties. ``by_size``: this is a portion of
+    a group too large for sketches."""
     n = len(ids)
-    if n > WITH_LEADERS:
+    if by_size or n > WITH_LEADERS:
         label = np.concatenate(([0], np.cumsum(100 * sizes[:-1] < percent * sizes[1:])))
     elif n <= ALL_PAIRS:
         near = (apart(codes[:, None], codes[None]) <= FAR) & (100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes))
@@ -278,18 +279,21 @@ def _digested(n_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
 
 
 def _tied(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ties of rows (part, _id, size, sketch) that come sorted by part and size; the last group of a batch waits for the next."""
+    """Ties of rows (part, _id, size, sketch) that come sorted by part and size; the last group of a batch waits for the next. A group
+    too large to wait is tied by size in portions, each of which begins with the last row of the one before."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         codes = np.zeros((0, BINS), np.uint8)
+        large: int | None = None  # the part of which a portion is tied already
 
         def ties(until: int) -> pa.RecordBatch:
             heads = np.flatnonzero(np.concatenate(([True], part[1:until] != part[: until - 1]))) if until else np.zeros(0, np.int64)
             ends = np.append(heads[1:], until)
-            two = heads[ends - heads == 2]  # most groups
+            rest = large is not None and until > 0 and int(part[0]) == large  # only the first group can go on from a portion
+            two = heads[(ends - heads == 2) & ~(rest & (heads == 0))]  # most groups
             near = two[(apart(codes[two], codes[two + 1]) <= FAR) & (100 * sizes[two] >= percent * sizes[two + 1]) & (ids[two] != ids[two + 1])]
-            more = [x for a, b in zip(heads.tolist(), ends.tolist()) if b - a > 2 for x in tie_group(ids[a:b], sizes[a:b], codes[a:b], percent)]
+            more = [x for a, b in zip(heads.tolist(), ends.tolist()) if b - a > 2 or (rest and a == 0 and b - a == 2) for x in tie_group(ids[a:b], sizes[a:b], codes[a:b], percent, rest and a == 0)]
             a, b = ids[near].tolist() + [x for x, _ in more], ids[near + 1].tolist() + [y for _, y in more]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -298,9 +302,12 @@ def _tied(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             codes = np.concatenate((codes, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)))
             last = int(np.searchsorted(part, part[-1])) if len(part) else 0
             keep = last
-            if len(part) - last > WITH_LEADERS:  # a group too large to wait: tied as it comes, its last row stays for what follows
+            waits = len(part) > 0 and len(part) - last <= WITH_LEADERS and int(part[-1]) != large
+            if len(part) and not waits:  # a group too large to wait: tied as it comes, its last row stays for what follows
                 last, keep = len(part), len(part) - 1
             yield ties(last)
+            if len(part):
+                large = None if waits else int(part[-1])
             part, ids, sizes, codes = part[keep:], ids[keep:], sizes[keep:], codes[keep:]
         yield ties(len(part))
 

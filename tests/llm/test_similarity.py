@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidra.llm import fingerprints as fp
@@ -90,6 +91,27 @@ def test_ties_keep_links_together(monkeypatch, pairs, leaders):
         assert root(i) == root(group)
 
 
+@pytest.mark.parametrize("rows", [30, 45, 70])
+def test_ties_of_a_large_part_go_on_over_batches(monkeypatch, rows):
+    monkeypatch.setattr(nd, "WITH_LEADERS", 40)
+    draw = np.random.default_rng(rows)
+    sets = [np.unique(draw.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(60)]
+    sets += [np.append(s[:97], draw.integers(0, 2**63, 3, dtype=np.uint64)) for s in sets]  # linked to those 60 rows before
+    sets += [np.unique(draw.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(4)]
+    sets += [sets[-1], sets[-2]]
+    part = [7] * 120 + [8] * 6  # the second part is small: only its equal sets are near
+    table = pa.table({"part": pa.array(part, pa.int64()), "_id": pa.array(range(126), pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array([c.tobytes() for c in nd.sketches(sets)], pa.binary())})
+    joined = nd.Joined(126)
+    for batch in nd._tied(80)(table.to_batches(max_chunksize=rows)):
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = joined.root(a), joined.root(b)
+            joined.up[max(a, b)] = min(a, b)
+    linked = [(i, j) for i in range(126) for j in range(i) if part[i] == part[j] and nd.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 80)]
+    assert len(linked) == 62
+    assert all(joined.root(i) == joined.root(j) for i, j in linked)
+    assert len({joined.root(i) for i in range(120, 126)}) == 4 and joined.root(120) != joined.root(0)
+
+
 def test_linked_sets_share_a_part():
     random.seed(2)
     for _ in range(300):
