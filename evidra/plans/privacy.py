@@ -22,9 +22,7 @@ def _(t):
 
 @query("mask_patterns", "fx_texts", f"WITH {KINDS} SELECT id, regexp_replace(text, '\\S+@example\\.com', concat('{{이메일_', CAST(n AS VARCHAR(9)), '}}')) AS masked FROM fx_texts JOIN nm ON kind = '이메일' AND id % 6 = 0 AND value = concat('user', CAST(id % 17 AS VARCHAR(9)), '@example.com')".replace("{{", "{").replace("}}", "}"))
 def _(t):
-    tail = F.concat(F.lit("mail user"), (F.col("id") % 17).cast("string"), F.lit("@example.com"))
-    masked = P.mask_patterns(t("fx_texts"))
-    return masked.where(F.col("id") % 6 == 0).where(F.col("text").endswith(tail) & (F.size("e") == 1)).select("id", "masked")
+    return P.mask_patterns(t("fx_texts")).select("id", "masked")
 
 
 @query("unmask_roundtrip", "fx_texts", "SELECT id, text AS back FROM fx_texts")

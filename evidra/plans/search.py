@@ -27,7 +27,7 @@ def _(t):
 
 @query("normalize_value", "", "SELECT doc_id, lower(regexp_replace(trim(concat('  ', substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40), '   X ')), '\\s+', ' ', 'g')) AS norm FROM documents")
 def _(t):
-    return t("documents").select("doc_id", S.normalize_value(F.concat(F.lit("  "), F.expr("substr(regexp_replace(text, '[^ -~]', ''), 1, 40)"), F.lit("   X "))).alias("norm"))
+    return t("documents").select("doc_id", S.normalize_value(F.concat(F.lit("  "), F.regexp_replace("text", "[^ -~]", ""), F.lit("   X "))).alias("norm"))
 
 
 def _found(on: str, most: int) -> str:
@@ -134,7 +134,7 @@ def _(t):
 @query("pre_lookup", "", "SELECT conv_id * 100 + turn AS id, CASE turn % 3 WHEN 0 THEN '기말재고,팀명' ELSE '매출실적' END AS words FROM conversations WHERE turn % 3 < 2")
 def _(t):
     extra = F.when(F.col("turn") % 3 == 0, " 팀명 기말재고 ").when(F.col("turn") % 3 == 1, " 매출실적 ").otherwise("")
-    return T.pre_lookup(t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.left("text", F.lit(200)), extra).alias("text")))
+    return T.pre_lookup(t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("text", extra).alias("text")))
 
 
 @query("standard_terms", "", "SELECT name, standard FROM (VALUES ('금액', '매출실적'), ('업체명', '거래처'), ('입고수량', '수량'), ('입고수량', '입고')) AS v(name, standard), (SELECT 1 AS one FROM region LIMIT 1) r")

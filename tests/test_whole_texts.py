@@ -24,6 +24,8 @@ TEXTS = {i: t + TAILS[i % 6].format(m=i % 17, t=1000 + i % 9000, n=10000 + i % 3
 def run(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("texts"))
     spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    turns = [(1, 2, f"{FILL}기말재고"), (1, 5, FILL)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{folder}/conversations.parquet")
     return lambda name: registry.queries()[name](spark, folder).collect()
 
 
@@ -53,3 +55,23 @@ def test_late_instructions_are_found_and_blocked(run):
 def test_late_figures_are_found(run):
     figures = {r["id"]: r["figures"] for r in run("extract_figures")}
     assert figures[3] == "12.5000;40.0000" and figures[5] == "3.0200;12.0000"
+
+
+def test_every_text_is_masked(run):
+    marks, want = dictionary(), {}
+    for i, text in TEXTS.items():
+        found = sorted({v for _, p in PATTERNS for v in re.findall(p, text)}, key=lambda v: (len(v), v), reverse=True)
+        for n, v in enumerate(found):
+            text = text.replace(v, f"\ue000{n}\ue001")
+        for n, v in enumerate(found):
+            text = text.replace(f"\ue000{n}\ue001", marks[v])
+        want[i] = text
+    assert {r["id"]: r["masked"] for r in run("mask_patterns")} == want
+
+
+def test_whole_values_are_normalised(run):
+    assert {r["doc_id"]: r["norm"] for r in run("normalize_value")} == {i: " ".join(re.sub("[^ -~]", "", f"  {t}   X ").split()).lower() for i, t in DOCS}
+
+
+def test_late_glossary_words_are_looked_up(run):
+    assert {r["id"]: r["words"] for r in run("pre_lookup")} == {102: "기말재고"}
