@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -20,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where none is set, a folder of our own on one machine
+    (``local`` masters, as in tests), and an error on a cluster: its executors share no temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -72,40 +77,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _random_words(n: int, seed: int) -> np.ndarray:
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 ^ seed))
-
-
-_BYTE_VALUE = _random_words(256, 11)
-_POWER_BASE = int(_random_words(1, 5)[0]) | 1
-_POWER_BACK = pow(_POWER_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        with np.errstate(over="ignore"):
-            done = 1
-            while done < size:  # doubling: powers up to 2k from those up to k
-                step = np.uint64(pow(base, done, 1 << 64))
-                have[done : 2 * done] = have[:done] * step
-                done *= 2
-        _powers[base] = have
-    return have[:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the low bytes of an eight-byte word: none to all eight.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte slices ``data[starts:ends]``: differences of one running polynomial sum, moved to exponent 0."""
+    """64-bit hashes of byte slices ``data[starts:ends]``: every eight bytes are mixed, then mixed again with their place in the slice,
+    and summed. There is no polynomial whose algebra a repetitive text could meet."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    size = (ends - starts).astype(np.int64)
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))  # the eight bytes at each place
+    blocks = np.maximum(1, (size + 7) >> 3)
     with np.errstate(over="ignore"):
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * _powers_of(_POWER_BASE, len(data)), out=run[1:])
-        value = (run[ends] - run[starts]) * _powers_of(_POWER_BACK, len(data) + 1)[starts]
-        return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if int(blocks.max()) == 1:
+            total = mix64(mix64((words[starts] & _LOW_BYTES[size]) + _STEP) + _STEP)
+        else:
+            first = np.cumsum(blocks) - blocks
+            own = np.repeat(np.arange(len(size)), blocks)
+            place = np.arange(len(own)) - first[own]
+            each = (words[starts[own] + 8 * place] & _LOW_BYTES[np.minimum(size[own] - 8 * place, 8)]) + _STEP
+            total = np.add.reduceat(mix64(mix64(each) + (place + 1).astype(np.uint64) * _STEP), first)
+        return mix64(total + size.astype(np.uint64) * _STEP)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
