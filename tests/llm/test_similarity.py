@@ -70,46 +70,87 @@ def test_small_chunks_and_groups(spark, monkeypatch):
     assert got == brute(docs, 5, 80)
 
 
-@pytest.mark.parametrize("pairs,leaders", [(64, 20_000), (2, 20_000), (2, 3)])
-def test_ties_keep_links_together(monkeypatch, pairs, leaders):
+class Groups:
+    def __init__(self, ties=()):
+        self.up = {}
+        for a, b in ties:
+            a, b = self.root(a), self.root(b)
+            self.up[max(a, b)] = min(a, b)
+
+    def root(self, i):
+        while self.up.get(i, i) != i:
+            i = self.up[i]
+        return i
+
+
+@pytest.mark.parametrize("pairs", [64, 2])
+def test_ties_keep_links_together(monkeypatch, pairs):
     monkeypatch.setattr(nd, "ALL_PAIRS", pairs)
-    monkeypatch.setattr(nd, "WITH_LEADERS", leaders)
     docs = [(i, t) for i, t in corpus() if len(t.split()) >= 5]
     sets = sorted(((i, s) for (i, _), s in zip(docs, nd.shingle_sets([t for _, t in docs], 5))), key=lambda x: (len(x[1]), x[0]))
     ids, sizes = np.array([i for i, _ in sets]), np.array([len(s) for _, s in sets])
-    up = {i: i for i in ids.tolist()}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for a, b in nd.tie_group(ids, sizes, nd.sketches([s for _, s in sets]), 80):
-        r, s = root(a), root(b)
-        up[max(r, s)] = min(r, s)
+    groups = Groups(nd.tie_group(ids, sizes, nd.sketches([s for _, s in sets]), np.zeros(len(ids), np.int64), 80))
     for i, (_, group) in brute(docs, 5, 80).items():
-        assert root(i) == root(group)
+        assert groups.root(i) == groups.root(group)
 
 
-@pytest.mark.parametrize("rows", [30, 45, 70])
-def test_ties_of_a_large_part_go_on_over_batches(monkeypatch, rows):
-    monkeypatch.setattr(nd, "WITH_LEADERS", 40)
+@pytest.mark.parametrize("pairs,rows", [(3, 5), (3, 30), (40, 45), (64, 70)])
+def test_ties_of_a_large_part_go_on_over_batches(monkeypatch, pairs, rows):
+    monkeypatch.setattr(nd, "ALL_PAIRS", pairs)
     draw = np.random.default_rng(rows)
-    sets = [np.unique(draw.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(60)]
-    sets += [np.append(s[:97], draw.integers(0, 2**63, 3, dtype=np.uint64)) for s in sets]  # linked to those 60 rows before
+    sets = [np.unique(draw.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(300)]
+    sets += [np.append(s[:97], draw.integers(0, 2**63, 3, dtype=np.uint64)) for s in sets]  # linked to those 300 rows before
     sets += [np.unique(draw.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(4)]
     sets += [sets[-1], sets[-2]]
-    part = [7] * 120 + [8] * 6  # the second part is small: only its equal sets are near
-    table = pa.table({"part": pa.array(part, pa.int64()), "_id": pa.array(range(126), pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array([c.tobytes() for c in nd.sketches(sets)], pa.binary())})
-    joined = nd.Joined(126)
-    for batch in nd._tied(80)(table.to_batches(max_chunksize=rows)):
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = joined.root(a), joined.root(b)
-            joined.up[max(a, b)] = min(a, b)
-    linked = [(i, j) for i in range(126) for j in range(i) if part[i] == part[j] and nd.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 80)]
-    assert len(linked) == 62
-    assert all(joined.root(i) == joined.root(j) for i, j in linked)
-    assert len({joined.root(i) for i in range(120, 126)}) == 4 and joined.root(120) != joined.root(0)
+    part = [7] * 600 + [8] * 6  # the second part is small: only its equal sets are near
+    n = len(sets)
+    table = pa.table({"part": pa.array(part, pa.int64()), "node": pa.array(range(n), pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()), "reach": pa.array([0] * n, pa.int16()), "sketch": pa.array([c.tobytes() for c in nd.sketches(sets)], pa.binary())})
+    groups = Groups(t for batch in nd._tied(80)(table.to_batches(max_chunksize=rows)) for t in zip(*(c.to_pylist() for c in batch.columns)))
+    assert all(groups.root(i) == groups.root(i + 300) for i in range(300))
+    assert len({groups.root(i) for i in range(300)}) > 250 and len({groups.root(i) for i in range(n - 6, n)}) == 4 and groups.root(n - 6) != groups.root(0)
+
+
+@pytest.mark.parametrize("percent,combined", [(80, 300), (80, 20_000), (90, 5000)])
+def test_followers_lose_no_link(monkeypatch, percent, combined):
+    """Tasks drop followers, groups keep leaders: what is linked stays tied, and most rows of large groups don't travel."""
+    monkeypatch.setattr(nd, "COMBINED", combined)
+    monkeypatch.setattr(nd, "ALL_PAIRS", 4)
+    random.seed(percent)
+    bases = [[random.choice(WORDS) + str(random.randint(0, 60)) for _ in range(n)] for n in (12, 60, 90, 150)]
+    docs = []
+    for i in range(240):  # chains of edits, and words put in or left out, so that sizes differ
+        words = bases[i % 4]
+        k = random.randrange(len(words))
+        words[k : k + random.randint(0, 2)] = [f"new{random.randint(0, 999)}" for _ in range(random.randint(0, 2))]
+        docs.append((i, " ".join(words)))
+    sets = nd.shingle_sets([t for _, t in docs], 5)
+    by_node = {nd.set_digest(s)[0]: s for s in sets}
+    rows = []
+    for k in range(0, 240, 60):  # four tasks
+        batch = pa.RecordBatch.from_pydict({"_id": [i for i, _ in docs[k : k + 60]], "_text": [t for _, t in docs[k : k + 60]]})
+        rows += [r for b in nd._keyed(5, percent)(batch.slice(a, 7) for a in range(0, 60, 7)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    rows.sort(key=lambda r: (r[0], r[2], r[1]))
+    codes = dict(zip(by_node, nd.sketches(list(by_node.values()))))
+    table = pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int16()), pa.array([codes[r[1]].tobytes() for r in rows], pa.binary())], ["part", "node", "size", "reach", "sketch"])
+    groups = Groups(t for b in nd._tied(percent)(table.to_batches(max_chunksize=37)) for t in zip(*(c.to_pylist() for c in b.columns)))
+    nodes, links = list(by_node), 0
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            x, y = by_node[a], by_node[b]
+            if nd.linked(len(np.intersect1d(x, y)), len(x), len(y), percent):
+                links += 1
+                assert groups.root(a) == groups.root(b)
+    assert links > 100 and len(rows) < 0.9 * sum(len(nd.part_keys(s, percent)) for s in by_node.values())
+
+
+def test_repetitive_texts_differ():
+    """Strings that collide under any polynomial modulo 2^64."""
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    one, two = ("".join(pair[b] for b in bits) for pair in ("ab", "ba"))
+    assert (fp.fingerprints([one])[0] != fp.fingerprints([two])[0]).any()
+    assert nd.shingle_sets([one], 3)[0].tolist() != nd.shingle_sets([two], 3)[0].tolist()
 
 
 def test_linked_sets_share_a_part():
@@ -125,7 +166,15 @@ def test_linked_sets_share_a_part():
                 break
             b = c
         assert set(nd.part_keys(np.unique(a), percent)) & set(nd.part_keys(np.unique(b), percent))
-        assert nd.apart(*nd.sketches([np.unique(a), np.unique(b)])) <= nd.FAR
+        x, y = nd.sketches([np.unique(a), np.unique(b)])
+        assert nd.differing(x, y) <= nd.FAR * max(nd.filled(x), nd.filled(y))
+
+
+def test_several_texts_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "x"), (1, "quite another text with its own words", "y"), (2, text + " more", "x"), (3, "quite another text with its own words", "x"), (3, None, "z")], "doc_id long, text string, node string")
+    got = {tuple(r) for r in nd.near_duplicates(docs, 3, 80, keep=("node",)).select("doc_id", "node", "component_id").collect()}
+    assert got == {(1, "x", 1), (2, "x", 1), (1, "y", 1), (3, "x", 1), (3, "z", 3)}
 
 
 def test_odd_documents(odd, none):
