@@ -69,9 +69,13 @@ AFTER = GO[:, FRESH].copy()
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or BLANK of every code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    """LETTER, NUMBER, OTHER or BLANK of every code point. Letters are what ``isalpha`` is true of; categories are asked of the rest
+    that has a numeric value."""
+    every = [chr(c) for c in range(0x110000)]
+    letter = np.fromiter(map(str.isalpha, every), bool, len(every))
+    numeric = np.flatnonzero(np.fromiter(map(str.isnumeric, every), bool, len(every)) & ~letter)
+    out = np.where(letter, np.uint8(LETTER), np.uint8(OTHER))
+    out[[c for c in numeric.tolist() if unicodedata.category(chr(c))[0] == "N"]] = NUMBER
     out[list(WHITE_SPACE)] = BLANK
     return out
 
@@ -136,6 +140,10 @@ class Encoder:
         pairs = sorted((ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs] + [NO_PAIR], np.int64)
+        every = np.arange(256)
+        self.byte_pairs = np.full((int(self.byte_ids.max()) + 1,) * 2, NO_PAIR, np.int32)
+        left, right = self.byte_ids[every[:, None]], self.byte_ids[every]
+        self.byte_pairs[left, right] = self._pair(*np.broadcast_arrays(left, right))
         self._forget()
 
     def _forget(self) -> None:
@@ -145,51 +153,65 @@ class Encoder:
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank (and id) of the token that two neighbours make."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.searchsorted(self.pair_keys, key)
-        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], NO_PAIR)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], NO_PAIR).astype(np.int32)
 
-    def merge_all(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece: in each round, every piece merges its leftmost pair of lowest rank."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and how many each piece has."""
+        place, counts, flat, todo = [], [], [], []
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
-                out[i] = np.array([whole], np.uint32)
+                place.append(i)
+                counts.append(1)
+                flat.append(whole)
             elif len(p) > WIDE:
-                out[i] = np.array(self.merge_long(p), np.uint32)
-        todo = sorted((i for i, x in enumerate(out) if not len(x)), key=lambda i: len(pieces[i]))
+                own = self.merge_long(p)
+                place.append(i)
+                counts.append(len(own))
+                flat.extend(own)
+            else:
+                todo.append(i)
+        found = [(np.array(place, np.int64), np.array(counts, np.int64), np.array(flat, np.uint32))]
+        todo.sort(key=lambda i: len(pieces[i]))
         for k in range(0, len(todo), 4096):
-            some = todo[k : k + 4096]
-            sizes = np.array([len(pieces[i]) for i in some])
-            wide = int(sizes.max(initial=2))
-            ids = np.full((len(some), wide), -1, np.int64)
-            ids[np.arange(wide) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)]
-            pair = self._pair(ids[:, :-1], ids[:, 1:])
-            rows = np.arange(len(some))
-            while len(rows):
-                low = pair.argmin(1)
-                rank = pair[np.arange(len(pair)), low]
-                done = rank == NO_PAIR
-                for r, own in zip(rows[done].tolist(), ids[done]):
-                    out[some[r]] = own[own >= 0].astype(np.uint32)
-                rows, low, rank = rows[~done], low[~done], rank[~done]
-                if not len(rows):
-                    break
-                ids, pair, line = ids[~done], pair[~done], np.arange(len(rows))
-                # Drop the right neighbour: what stands behind it moves one to the left.
-                from_ = np.minimum(np.arange(ids.shape[1]) + (np.arange(ids.shape[1]) > low[:, None]), ids.shape[1] - 1)
-                last = ids.shape[1] - 1
-                ids = np.take_along_axis(ids, from_, 1)
-                ids[:, last] = -1
-                ids[line, low] = rank
-                pair = np.take_along_axis(pair, np.minimum(from_[:, :-1], last - 1), 1)
-                pair[:, last - 1] = NO_PAIR
-                right = np.where(low < last, ids[line, np.minimum(low + 1, last)], -1)
-                spot = np.minimum(low, last - 1)
-                pair[line, spot] = np.where(low < last, self._pair(rank, right), pair[line, spot])
-                has = low > 0
-                pair[line[has], low[has] - 1] = self._pair(ids[line[has], low[has] - 1], rank[has])
-        return out
+            some = np.array(todo[k : k + 4096])
+            found += [(some[rows], n, ids) for rows, n, ids in self._merge_block([pieces[i] for i in todo[k : k + 4096]])]
+        places, sizes, ids = (np.concatenate(x) for x in zip(*found))
+        begin, order = np.cumsum(sizes) - sizes, np.argsort(places)
+        sizes = sizes[order]
+        until = np.cumsum(sizes)
+        return ids[np.repeat(begin[order] - (until - sizes), sizes) + np.arange(len(ids))], sizes
+
+    def _merge_block(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, counts and ids of pieces as they are done. In each round, every piece merges its leftmost pair of lowest rank: the left
+        place takes the new id and the right one leaves the row's chain (places before and behind; the last column ends it)."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        wide = int(sizes.max())
+        ids = np.full((len(pieces), wide + 1), -1, np.int32)
+        ids[:, :wide][np.arange(wide) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        pair = np.full(ids.shape, NO_PAIR, np.int32)
+        pair[:, : wide - 1] = np.where(ids[:, 1:wide] >= 0, self.byte_pairs[ids[:, : wide - 1], ids[:, 1:wide]], NO_PAIR)
+        behind = np.tile(np.append(np.arange(1, wide + 1), wide).astype(np.int16), (len(pieces), 1))
+        before = np.tile(np.arange(-1, wide, dtype=np.int16), (len(pieces), 1))
+        rows = np.arange(len(pieces))
+        while len(rows):
+            low = pair.argmin(1)
+            rank = pair[np.arange(len(rows)), low]
+            live = rank < NO_PAIR
+            if live.mean() < 0.7:
+                done = ids[~live, :wide]
+                kept = done >= 0
+                yield rows[~live], kept.sum(1), done[kept].astype(np.uint32)
+                rows, ids, pair, behind, before, low, rank = (x[live] for x in (rows, ids, pair, behind, before, low, rank))
+                live = live[live]
+            r = np.flatnonzero(live)
+            at, new = low[r], rank[r]
+            right, left = behind[r, at], before[r, at]
+            end = behind[r, right]
+            ids[r, at], ids[r, right], pair[r, right] = new, -1, NO_PAIR
+            behind[r, at], before[r, end] = end, at
+            pair[r, at], pair[r, left] = self._pair(new, ids[r, end]), self._pair(ids[r, left], new)
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The same for one piece with a heap of pairs: n bytes take n log n steps."""
@@ -215,11 +237,11 @@ class Encoder:
         return out
 
     def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
-        new = self.merge_all(pieces)
-        ends = self.begin[-1] + np.cumsum([len(x) for x in new])
+        new, counts = self.merge_all(pieces)
+        ends = self.begin[-1] + np.cumsum(counts)
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.begin[-1] : ends[-1]] = np.concatenate(new)
+        self.flat[self.begin[-1] : ends[-1]] = new
         first = len(self.begin) - 1
         self.begin = np.concatenate((self.begin, ends))
         self.known.update(zip(hashes, range(first, first + len(hashes))))
@@ -251,9 +273,8 @@ class Encoder:
         until = np.concatenate(([0], np.cumsum(counts)))
         ids = self.flat[np.repeat(self.begin[place] - until[:-1], counts) + np.arange(until[-1])]
         if self.decode(ids) != raw:  # two pieces with one hash: merge each piece by itself
-            each = self.merge_all([raw[a:b] for a, b in zip(low.tolist(), high.tolist())])
-            until = np.concatenate(([0], np.cumsum([len(x) for x in each])))
-            ids = np.concatenate(each)
+            ids, counts = self.merge_all([raw[a:b] for a, b in zip(low.tolist(), high.tolist())])
+            until = np.concatenate(([0], np.cumsum(counts)))
         stop = np.cumsum(self.lengths[ids])
         return ids, until[np.searchsorted(starts, at)], stop - self.lengths[ids], stop
 

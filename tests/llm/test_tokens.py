@@ -119,13 +119,42 @@ def test_shards_meet_the_bound(spark, monkeypatch):
 
 
 def test_local_search_empties_bins():
-    sizes = [6, 6, 5, 5, 4, 4]  # best fit opens 4 bins of 10, three are enough
-    assert len(packing.pack_shard(sizes, 10)) == 3
+    assert len(packing.pack_shard([6, 6, 5, 5, 4, 4], 10)) == 3 and packing.pack_shard([], 10) == []
     random.seed(3)
     for _ in range(30):
         sizes = [random.randint(1, 99) for _ in range(60)]
         bins = packing.Bins(sizes, 100)
-        before = sum(f * f for f in bins.fill)
+        before, first = bins.used(), int((bins.fill**2).sum())
+        bins._search()
+        assert int((bins.fill**2).sum()) >= first and bins.used() <= before
         bins.improve()
-        assert sum(f * f for f in bins.fill) >= before and max(bins.fill) <= 100 and sorted(i for b in bins.items for i in b) == list(range(60))
-        assert [sum(sizes[i] for i in b) for b in bins.items] == bins.fill
+        assert bins.used() <= before and bins.fill.max() <= 100 and sorted(i for b in packing.pack_shard(sizes, 100) for i in b) == list(range(60))
+        assert [sum(s for s, b in zip(sizes, bins.own) if b == k) for k in range(len(bins.fill))] == bins.fill.tolist()
+
+
+def test_exchanges_beat_best_fit():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(300, 1400, 3000)
+    plain = packing.Bins(sizes.tolist(), 2048)
+    plain._place(np.argsort(-sizes, kind="stable"))  # best fit, longest first
+    searched = packing.Bins(sizes.tolist(), 2048)
+    searched.improve()
+    assert searched.used() < plain.used() and searched.steps > 100
+
+
+def test_sequences_of_the_table_meet_the_bound(spark):
+    """All documents of sf0.01 in as few sequences as any packing can have; exchanges take part."""
+    rows = packing.op3_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    full = sum(r["length"] == 2048 for r in rows)
+    short = [r["length"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])) if r["length"] < 2048]
+    assert check_packing(rows, 2048) == full + -(-sum(short) // 2048)
+    bins = packing.Bins(short, 2048)
+    bins.improve()
+    assert bins.steps > 0 and bins.used() == bins.least()
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 200)
+    df = spark.createDataFrame([(None, 0, 0, 700, 1)] * 1500 + [(1, 0, 0, 648, 2)] * 750, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(df.checkpoint() if spark.sparkContext.getCheckpointDir() else df, 2250).collect()
+    assert len(packed) == 2250 and check_packing(packed, 2048) <= 800
