@@ -38,6 +38,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, with so many underscores behind it that no column has this name (in any case of letters)."""
+    names = {x.lower() for x in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """The columns that aren't called like one of ``names``."""
+    return [c for c in columns if c.lower() not in {n.lower() for n in names}]
+
+
 def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of about ``limit`` characters; a longer text makes a range of its own."""
     start = size = 0

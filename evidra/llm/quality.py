@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import rows_in_chunks, runs, slice_hashes, spaced_words, table
+from evidra.llm.common import free_name, rows_in_chunks, runs, slice_hashes, spaced_words, table, without
 from evidra.llm.labelled import held_out, labelled_sample
 
 #: Rows of each class that the model is fitted on at most; hash buckets of words; rank of the interactions.
@@ -160,25 +160,32 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fit on the features of a bounded sample; features are made by Spark's tasks, and only these come to the driver."""
+    """Fit on the features of a bounded sample; features are made by Spark's tasks, and only these come to the driver, as Arrow
+    columns (no row objects)."""
     sample = labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col)
-    rows = sample.mapInArrow(_featured, "y int, stats array<double>, buckets array<int>, amounts array<float>").toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["y"].iloc[i], *rows["stats"].iloc[i]))]  # tasks end in any order
-    stats = np.array(rows["stats"].tolist()).reshape(-1, len(STATS))
-    return fit(stats, list(zip(rows["buckets"], rows["amounts"])), rows["y"].to_numpy(float))
+    rows = sample.mapInArrow(_featured, "y int, stats array<double>, buckets array<int>, amounts array<float>").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return fit(np.zeros((0, len(STATS))), [], np.zeros(0))
+    y, (stats, buckets, amounts) = rows["y"].to_numpy(), (rows[name].combine_chunks() for name in ("stats", "buckets", "amounts"))
+    stats = stats.flatten().to_numpy().reshape(-1, len(STATS))
+    order = np.lexsort((*stats.T[::-1], y))  # tasks end in any order
+    at, bucket, amount = buckets.offsets.to_numpy(), buckets.values.to_numpy(), amounts.values.to_numpy()
+    return fit(stats[order], [(bucket[at[i] : at[i + 1]], amount[at[i] : at[i + 1]]) for i in order.tolist()], y[order].astype(float))
 
 
 def score_documents(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of each text. No shuffle; the model (about 1 MB) goes with the tasks."""
-    names = docs.columns
+    """All columns of ``docs`` and the score of each text; a column that is called like the score gives way to it. No shuffle; the
+    model (about 1 MB) goes with the tasks."""
+    kept, text = without(docs.columns, [out_col]), free_name([*docs.columns, out_col], "_text")
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in rows_in_chunks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.value.score(texts))], [*names, out_col])
+        for rows, texts in rows_in_chunks(batches, text):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(model.value.score(texts))], [*kept, out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {out_col} double")
+    rows = docs.select(*(docs[c] for c in kept), docs[text_col].alias(text))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    return rows.mapInArrow(run, f"{schema}`{out_col}` double")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

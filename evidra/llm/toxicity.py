@@ -3,16 +3,17 @@
 Labels mark documents; tokens get theirs from them. Of all features (a word, or its first 4 to 9 bytes), those ``LEAST_RATIO``
 times as frequent in toxic as in clean documents are candidates; a greedy cover keeps the ones that explain most toxic documents not
 explained so far, so words that only go along (a copied text's) are left. Tokens with a kept feature are the labelled
-toxic tokens, if in a toxic document. A two-state chain over hashed features is fitted to windows around such tokens, and
-around the same words in clean documents, by its likelihood.
+toxic tokens, if in a toxic document. A two-state chain over hashed features is fitted to all tokens of the sampled documents,
+in runs of ``WINDOW`` tokens, by its likelihood.
 
 Scoring runs forward and backward over every token of the whole text. A chain of two states has one ratio a token, each step
 is a linear-fractional map of it, and maps compose; so all documents of a chunk advance in equal blocks. The
 marginals give spans (code points of offending words) and the evidence for the document's score: the expected
 number of toxic tokens in all and beyond the surest one, the surest one's marginal and odds, and their share.
 
-Null and empty texts have no tokens and get the score of no evidence. Without labels of both classes all scores are 0. Repeated rows
-get equal scores; an empty table gives no rows. Id, language and source are no inputs.
+Null and empty texts have no tokens and get the score of no evidence. Without labels of both classes all scores are 0. Of equal sampled
+texts with both labels, the toxic one counts. Repeated rows get equal scores; an empty table gives no rows. Id, language and source
+are no inputs.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import checkpointed, joined_bytes, lower_ascii, rows_in_chunks, runs, slice_hashes, table
+from evidra.llm.common import checkpointed, free_name, joined_bytes, lower_ascii, rows_in_chunks, runs, slice_hashes, table, without
 from evidra.llm.labelled import held_out, labelled_sample
 
-#: Rows of each class that the model is fitted on at most; hash buckets of features; tokens in a training window; windows a document.
-SAMPLE, BUCKETS, WINDOW, WINDOWS = 4000, 1 << 17, 24, 6
+#: Rows of each class that the model is fitted on at most; hash buckets of features; tokens in a training run.
+SAMPLE, BUCKETS, WINDOW = 4000, 1 << 17, 32
 PREFIXES = (4, 5, 6, 7, 8, 9)
-#: Candidates that the cover looks at, at most, by support; a kept feature explains at least so many documents more.
-CANDIDATES, LEAST_SUPPORT, LEAST_RATIO = 5000, 4, 8
+#: A kept feature explains at least so many documents more; how many times as frequent it is in toxic documents.
+LEAST_SUPPORT, LEAST_RATIO = 4, 8
 #: Share of toxic documents that a feature needs to be kept beyond the cover, and share of its documents that another one has at most.
 OWN_SHARE, GOES_ALONG = 0.01, 0.8
 BLOCK = 64
@@ -124,35 +125,32 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.aggregate, -30, 30)))
 
 
-def fit_chain(hashes: np.ndarray, tags: np.ndarray, epochs: int = 10, rate: float = 0.2, decay: float = 1e-5, seed: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximise the likelihood of tagged windows (windows x WINDOW tokens; tag -1 beyond a window's end)."""
+def fit_chain(words: np.ndarray, places: np.ndarray, tags: np.ndarray, epochs: int = 10, rate: float = 0.4, decay: float = 1e-5, seed: int = 3, batch: int = 512) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximise the likelihood of tagged runs. ``words``: buckets of each word's features; ``places``: the words of each run (runs x
+    WINDOW); ``tags``: 1 toxic, 0 clean, -1 beyond a run's end."""
     random = np.random.default_rng(seed)
     w, moves, bias = np.zeros(BUCKETS), np.zeros((2, 2)), -3.0
     sw, sm, sb = np.full(BUCKETS, 1e-3), np.full((2, 2), 1e-3), 1e-3
-    places = buckets(hashes.reshape(-1, hashes.shape[-1])).reshape(hashes.shape)
     for _ in range(epochs):
         order = random.permutation(len(tags))
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
-            at, tag = places[some], tags[some]
-            live = tag >= 0
-            u = np.where(live, np.clip(bias + w[at].sum(2), -30, 30), 0.0)
-            potential = np.stack((np.zeros_like(u), u), 2)
-            length = u.shape[1]
-            alpha, beta = np.zeros_like(potential), np.zeros_like(potential)
-            alpha[:, 0] = potential[:, 0]
-            for t in range(1, length):
-                step = np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves, axis=1) + potential[:, t]
-                alpha[:, t] = np.where(live[:, t, None], step, alpha[:, t - 1])
-            for t in range(length - 2, -1, -1):
-                step = np.logaddexp.reduce(moves + (potential[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-                beta[:, t] = np.where(live[:, t + 1, None], step, beta[:, t + 1])
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
-            error = np.where(live, p - (tag == 1), 0) / len(some)
-            pairs = alpha[:, :-1, :, None] + moves + (potential[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-            both = live[:, 1:]
-            gm = (np.exp(pairs) * both[:, :, None, None]).sum((0, 1)) / len(some)
+        for k in range(0, len(order), batch):
+            some = order[k : k + batch]
+            at, tag = words[places[some]], tags[some]
+            live, a = tag >= 0, np.exp(moves)
+            odds = np.exp(np.where(live, np.clip(bias + w[at].sum(2), -30, 30), 0.0))
+            # Ratios (toxic to clean) of what is up to a token, and of what follows it; see Chain.marginals.
+            ahead, back = odds.copy(), np.ones_like(odds)
+            for t in range(1, WINDOW):
+                x = ahead[:, t - 1]
+                ahead[:, t] = np.where(live[:, t], odds[:, t] * (x * a[1, 1] + a[0, 1]) / (x * a[1, 0] + a[0, 0]), x)
+            for t in range(WINDOW - 2, -1, -1):
+                x = odds[:, t + 1] * back[:, t + 1]
+                back[:, t] = np.where(live[:, t + 1], (a[1, 0] + x * a[1, 1]) / (a[0, 0] + x * a[0, 1]), 1.0)
+            ratio = ahead * back
+            error = np.where(live, ratio / (1 + ratio) - (tag == 1), 0) / len(some)
+            both, x, y = live[:, 1:], ahead[:, :-1], odds[:, 1:] * back[:, 1:]
+            pairs = np.stack((np.full_like(x, a[0, 0]), a[0, 1] * y, a[1, 0] * x, a[1, 1] * x * y))
+            gm = ((pairs / pairs.sum(0)) * both).sum((1, 2)).reshape(2, 2) / len(some)
             np.subtract.at(gm, (tag[:, :-1][both], tag[:, 1:][both]), 1 / len(some))
             gm[0, 0] = 0
             g = np.bincount(at.ravel(), weights=np.repeat(error.ravel(), at.shape[2]), minlength=BUCKETS) + decay * w
@@ -204,54 +202,68 @@ def _holding(candidates: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Ite
     return run
 
 
-def cover(toxic: list[set[int]], worth: dict[int, float]) -> list[int]:
-    """Features that explain the most documents not explained by those before, each document counting by the feature's worth; then
-    frequent ones that no kept feature mostly goes with (words that only go along with one, as in copies, aren't kept)."""
-    held: dict[int, set[int]] = {}
-    for i, x in enumerate(toxic):
-        for f in x:
-            held.setdefault(f, set()).add(i)
-    left, kept = {f: set(d) for f, d in held.items()}, []
-    while left:
-        best = min(left, key=lambda f: (-len(left[f]) * worth[f], f))
-        if len(left[best]) < LEAST_SUPPORT and kept:
+def cover(features: np.ndarray, docs: np.ndarray, n_docs: int, worth: np.ndarray) -> np.ndarray:
+    """Features (by number) that explain the most documents not explained by those before, each document counting by the feature's
+    worth; then frequent ones that no kept feature mostly goes with (words that only go along with one, as in copies, aren't kept).
+    ``features`` and ``docs``: which document holds which feature, each pair once."""
+    support = np.bincount(features, minlength=len(worth))
+    along, open_docs, kept = np.zeros(len(worth), bool), np.ones(n_docs, bool), []
+
+    def keep(f: int) -> np.ndarray:
+        held = np.zeros(n_docs, bool)
+        held[docs[features == f]] = True
+        along[np.bincount(features[held[docs]], minlength=len(worth)) >= GOES_ALONG * support] = True
+        along[f] = True
+        kept.append(f)
+        return held
+
+    while True:
+        rest = np.bincount(features[open_docs[docs]], minlength=len(worth))
+        best = int(np.argmax(rest * worth))
+        if rest[best] < (LEAST_SUPPORT if kept else 1):
             break
-        kept.append(best)
-        done = left.pop(best)
-        left = {f: rest for f, d in left.items() if (rest := d - done)}
-    for f in sorted(held, key=lambda f: (-len(held[f]) * worth[f], f)):
-        if f not in kept and len(held[f]) >= max(LEAST_SUPPORT, OWN_SHARE * len(toxic)) and all(len(held[f] & held[k]) < GOES_ALONG * len(held[f]) for k in kept):
-            kept.append(f)
-    return kept
+        open_docs &= ~keep(best)
+    for f in np.argsort(-support * worth, kind="stable").tolist():
+        if not along[f] and support[f] >= max(LEAST_SUPPORT, OWN_SHARE * n_docs):
+            keep(f)
+    return np.array(kept, np.int64)
 
 
-def _windows(lexicon: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Up to WINDOWS windows of each text around tokens with a kept feature (toxic in toxic texts), else spread evenly."""
+def _tagged(lexicon: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text, the hash of every word, and whether it has a kept feature in a toxic text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in rows_in_chunks(batches, "_text"):
             hashes, text, _, _ = tokens(texts)
-            y = rows.column(1).to_pylist()
-            like = np.isin(hashes, lexicon).any(1)
-            hit = like & (np.array(y)[text] == 1) if len(text) else like
-            at = np.searchsorted(text, np.arange(len(texts) + 1))
-            grams, tags = [], []
-            for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                spots = a + np.flatnonzero(like[a:b])
-                if len(spots) > WINDOWS:
-                    spots = spots[np.linspace(0, len(spots) - 1, WINDOWS).astype(int)]
-                begins = np.maximum(a, spots - WINDOW // 2) if len(spots) else np.unique(np.linspace(a, max(a, b - WINDOW), WINDOWS).astype(int))
-                for k in begins.tolist() if b > a else []:
-                    end = min(b, k + WINDOW)
-                    h, t = np.zeros((WINDOW, hashes.shape[1]), np.uint64), np.full(WINDOW, -1, np.int64)
-                    h[: end - k], t[: end - k] = hashes[k:end], hit[k:end]
-                    grams.append(h.tobytes())
-                    tags.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(tags, pa.binary())], ["grams", "tags"])
+            tags = np.isin(hashes, lexicon).any(1) & (rows.column(1).to_numpy(zero_copy_only=False)[text] == 1)
+            at = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(hashes[:, 0].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(tags.astype(np.int8)))], ["words", "tags"])
 
     return run
 
 
+def _vocabulary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of each word's features."""
+    for _, texts in rows_in_chunks(batches, "_text"):
+        hashes = tokens(texts)[0]
+        hashes = hashes[np.unique(hashes[:, 0], return_index=True)[1]]
+        at = pa.array(np.arange(0, hashes.size + 1, hashes.shape[1]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0].copy().view(np.int64)), pa.ListArray.from_arrays(at, pa.array(buckets(hashes).ravel().astype(np.int32)))], ["word", "places"])
+
+
+def training_runs(words: np.ndarray, tags: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (``at``: where each begins, plus the end) cut into consecutive runs of WINDOW tokens, the last one filled with tag -1."""
+    n = np.diff(at)
+    runs_each = -(-n // WINDOW)
+    first = np.cumsum(runs_each) - runs_each
+    text = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(words)) - (at[:-1] - at[0])[text]
+    row = first[text] + inside // WINDOW
+    places, marks = np.zeros((int(runs_each.sum()), WINDOW), np.int32), np.full((int(runs_each.sum()), WINDOW), -1, np.int8)
+    places[row, inside % WINDOW], marks[row, inside % WINDOW] = words, tags
+    return places, marks
+
+
 def _evidence(chain: Chain) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in rows_in_chunks(batches, "_text"):
@@ -263,9 +275,9 @@ def _evidence(chain: Chain) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, fold: int = 1, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit on a bounded sample of labelled rows. Counts are Spark aggregations; only candidate features, windows of tokens and
-    three numbers a document (all bounded by the sample) come to the driver."""
-    sample = checkpointed(labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col).dropDuplicates(["_text"]))
+    """Fit on a bounded sample of labelled rows. Counts are Spark aggregations; candidate features, the sample's words as numbers and
+    a few figures a document come to the driver, as Arrow columns (no row objects)."""
+    sample = checkpointed(labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col).groupBy("_text").agg(F.max("y").alias("y")))
     none = Chain(np.zeros(BUCKETS), -30.0, np.zeros((2, 2)), np.array([0.0] * (EVIDENCE - 1) + [-30.0]))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -273,40 +285,43 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     counted = sample.mapInArrow(_each_feature, "feature long, y int").groupBy("feature").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     ratio = (F.col("toxic") / sizes[1]) / ((F.col("n") - F.col("toxic") + 0.5) / (sizes[0] + 0.5))
     support = min(LEAST_SUPPORT, max(1, sizes[1] // 8))
-    candidates = counted.where(F.col("toxic") >= support).withColumn("worth", F.log(ratio)).where(F.col("worth") >= float(np.log(LEAST_RATIO))).orderBy(F.desc(F.col("toxic") * F.col("worth")), "feature").limit(CANDIDATES).select("feature", "worth").collect()
-    if not candidates:
+    candidates = counted.where(F.col("toxic") >= support).select("feature", F.log(ratio).alias("worth")).where(F.col("worth") >= float(np.log(LEAST_RATIO))).orderBy("feature").toArrow()
+    if not candidates.num_rows:
         return none
-    worth = {r[0]: r[1] for r in candidates}
-    names = np.array(list(worth), np.int64).view(np.uint64)
-    holding = sample.where("y = 1").mapInArrow(_holding(names), "features array<long>").collect()
-    lexicon = np.array(cover([set(r[0]) for r in holding], worth), np.int64).view(np.uint64)
-    windows = sample.mapInArrow(_windows(lexicon), "grams binary, tags binary").toPandas().sort_values(["grams", "tags"])
-    width = 1 + len(PREFIXES)
-    grams = np.frombuffer(b"".join(windows["grams"]), np.uint64).reshape(-1, WINDOW, width)
-    tags = np.frombuffer(b"".join(windows["tags"]), np.int64).reshape(-1, WINDOW)
-    chain = Chain(*fit_chain(grams, tags), none.aggregate)
-    seen = sample.mapInArrow(_evidence(chain), "evidence array<double>, y int").toPandas()
-    chain.aggregate = fit_aggregate(np.array(seen["evidence"].tolist()), seen["y"].to_numpy(float))
+    names, worth = candidates["feature"].to_numpy(), candidates["worth"].to_numpy()
+    holding = sample.where("y = 1").mapInArrow(_holding(names.view(np.uint64)), "features array<long>").toArrow()["features"].combine_chunks()
+    held = np.searchsorted(names, holding.flatten().to_numpy())
+    lexicon = names[cover(held, np.repeat(np.arange(len(holding)), np.diff(holding.offsets.to_numpy())), len(holding), worth)].view(np.uint64)
+    tagged = sample.mapInArrow(_tagged(lexicon), "words array<long>, tags array<tinyint>").orderBy(F.xxhash64("words"), F.size("words")).toArrow()  # tasks end in any order
+    words = sample.mapInArrow(_vocabulary, "word long, places array<int>").groupBy("word").agg(F.first("places").alias("places")).orderBy("word").toArrow()
+    known, places = words["word"].to_numpy(), words["places"].combine_chunks().flatten().to_numpy().reshape(-1, 1 + len(PREFIXES))
+    texts = tagged["words"].combine_chunks()
+    runs_of, marks = training_runs(np.searchsorted(known, texts.flatten().to_numpy()).astype(np.int32), tagged["tags"].combine_chunks().flatten().to_numpy(), texts.offsets.to_numpy())
+    chain = Chain(*fit_chain(places, runs_of, marks), none.aggregate)
+    seen = sample.mapInArrow(_evidence(chain), "evidence array<double>, y int").toArrow()
+    chain.aggregate = fit_aggregate(seen["evidence"].combine_chunks().flatten().to_numpy().reshape(-1, EVIDENCE), seen["y"].to_numpy().astype(float))
     return chain
 
 
-def score_documents(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """All columns of ``docs``, the score of each text and its offending spans (code points from, to; marginals of 0.5 and more)."""
-    names = docs.columns
+def score_documents(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "score", spans_col: str = "spans") -> DataFrame:
+    """All columns of ``docs``, the score of each text and its offending spans (code points from, to; marginals of 0.5 and more).
+    Columns that are called like these two give way to them."""
+    kept, text_name = without(docs.columns, [out_col, spans_col]), free_name([*docs.columns, out_col, spans_col], "_text")
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for rows, texts in rows_in_chunks(batches, text_col):
+        for rows, texts in rows_in_chunks(batches, text_name):
             hashes, text, begin, end = tokens(texts)
             p = model.value.marginals(hashes, text)
             spans: list[list[dict]] = [[] for _ in texts]
             for k in np.flatnonzero(p >= 0.5).tolist():
                 spans[text[k]].append({"start": int(begin[k]), "end": int(end[k])})
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.value.score(model.value.evidence(p, text, len(texts)))), pa.array(spans, kind)], [*names, out_col, "spans"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(model.value.score(model.value.evidence(p, text, len(texts)))), pa.array(spans, kind)], [*kept, out_col, spans_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {out_col} double, spans array<struct<start:int,end:int>>")
+    rows = docs.select(*(docs[c] for c in kept), docs[text_col].alias(text_name))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    return rows.mapInArrow(run, f"{schema}`{out_col}` double, `{spans_col}` array<struct<start:int,end:int>>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

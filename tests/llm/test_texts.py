@@ -55,9 +55,10 @@ def test_quality_held_out(spark, odd, none):
     got = {r["doc_id"]: r["score"] for r in quality.score_documents(df.select("doc_id", "text"), model).collect()}
     test = [r for r in rows if held(r[0], 4, 2)]
     assert np.mean([(got[r[0]] >= 0.7) == (r[2] == 1) for r in test]) > 0.97
-    scored = quality.score_documents(odd.drop("score"), model)
+    scored = quality.score_documents(odd, model)
+    assert sorted(scored.columns) == sorted(odd.columns)  # the score takes the place of a column with its name
     assert scored.count() == odd.count() and scored.where("score is null or score < 0 or score > 1").count() == 0
-    assert not quality.score_documents(none.drop("score"), model).collect()
+    assert not quality.score_documents(none, model).collect()
 
 
 def test_machine_uses_the_identity():
@@ -82,9 +83,10 @@ def test_toxicity_held_out(spark, odd, none):
     one = next(r for r in test if r[3])
     spans = [one[1][s["start"] : s["end"]].lower() for s in got[one[0]]["spans"]]
     assert spans and all(s.startswith(("grumbold", "snarkle", "vexatrum")) for s in spans)
-    scored = toxicity.score_documents(odd.drop("score"), chain)
+    scored = toxicity.score_documents(odd.withColumn("Spans", F.lit(1)), chain)
+    assert sorted(scored.columns) == sorted([*odd.columns, "spans"]) and scored.schema["score"].dataType.simpleString() == "double"
     assert scored.count() == odd.count() and scored.where("score is null").count() == 0
-    assert not toxicity.score_documents(none.drop("score"), chain).collect()
+    assert not toxicity.score_documents(none, chain).collect()
 
 
 def test_no_labels(spark):
@@ -148,6 +150,71 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() == out.count()
 
 
+def test_repeated_ids_dont_enlarge_the_sample(spark):
+    from evidra.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")] * 20, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)] * 3, "doc_id long, toxic int")
+    assert sorted(map(tuple, labelled_sample(docs, labels, "toxic", 3, 9, 40).collect())) == [("", 1), ("c", 0)]
+
+
+def test_training_runs_hold_every_token():
+    words, at = np.arange(100, dtype=np.int32), np.array([0, 0, 5, 69, 69, 100])
+    places, tags = toxicity.training_runs(words, (words % 2).astype(np.int8), at)
+    assert places[tags >= 0].tolist() == words.tolist() and len(tags) == 1 + 2 + 1 and (tags[0] >= 0).sum() == 5
+
+
+def test_training_maximises_the_likelihood():
+    """The gradient of one step against the likelihood by enumeration."""
+    rng = np.random.default_rng(4)
+    n, moves, u = 6, rng.normal(size=(2, 2)), rng.normal(size=6)
+    moves[0, 0] = 0
+    chain = toxicity.Chain(np.zeros(toxicity.BUCKETS), 0.0, moves, np.zeros(toxicity.EVIDENCE))
+    chain.odds = lambda hashes: u
+    marginal = chain.marginals(np.zeros((n, 1), np.uint64), np.zeros(n, np.int64))
+    score = lambda x: np.log(sum(np.exp(sum(x[i] * y for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))) for path in np.ndindex(*(2,) * n)))
+    for i in range(n):
+        assert marginal[i] == pytest.approx((score(u + 1e-5 * (np.arange(n) == i)) - score(u)) / 1e-5, rel=1e-3)
+
+
+def test_cover_leaves_words_that_go_along():
+    pairs = [(f, d) for d in range(10) for f in ((0, 2) if d < 6 else (1,))]  # 2 only goes along with 0
+    kept = toxicity.cover(np.array([f for f, _ in pairs]), np.array([d for _, d in pairs]), 10, np.array([3.0, 3.0, 2.9]))
+    assert sorted(kept.tolist()) == [0, 1]
+
+
+def odd_documents(spark, n=120):
+    """Good and bad documents with nulls, empty and very long texts, repeated ids and rows, and columns that stages use themselves."""
+    rows = [(i, t, g, x) for i, t, g, x in documents(n)]
+    long = " ".join(f"{w}{i}" for i, w in enumerate(["an", "er", "on", "th"] * 6000))
+    more = [(1000, None), (1001, ""), (1001, ""), (1002, " \n "), (1003, long), (1004, long + " end"), (1005, rows[1][1]), (1005, rows[2][1] + " own words of it"), (1006, rows[1][1]), (None, "a text without an id"), (None, None)]
+    texts = [(i, t) for i, t, _, _ in rows] + more
+    df = spark.createDataFrame([(i, t, "x", 0.5, ["s"], 7, "h", 1) for i, t in texts], "doc_id long, text string, source string, score double, spans array<string>, _row int, text_hash string, component_id int")
+    return df, spark.createDataFrame([(i, g, x) for i, _, g, x in rows], "doc_id long, quality int, toxic int")
+
+
+def test_stages_take_odd_documents(spark, tmp_path):
+    docs, labels = odd_documents(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    folder = str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.schema == docs.schema and out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, folder).collect()]
+    ids = [i for i, _ in left]
+    assert 1003 in ids and 1004 not in ids and 1006 not in ids and 1 in ids  # copies go
+    assert [t for i, t in left if i == 1005] == [next(r["text"] for r in docs.collect() if r["doc_id"] == 1005 and r["text"].endswith("own words of it"))] or 1005 not in ids
+    assert ids.count(None) == 2 and {1000, 1001, 1002} <= set(ids) and len(set(left)) == len([x for x in left if x[0] is not None]) + len({x for x in left if x[0] is None})
+
+
+def test_empty_pipeline(spark, tmp_path):
+    docs, labels = odd_documents(spark)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
 
