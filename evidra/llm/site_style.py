@@ -2,14 +2,21 @@
 
 The pages of a host are merged into one tree: a node is a path of elements (tag, class and id without digits), counted over the
 host's pages. Its importance is composite: for presentation, the entropy of the child sequences seen under it; for
-content, the entropy of its texts over the pages (a text that every page repeats carries nothing). Both are in 0 to 1; a host
-with a single page has none, so only roles decide there. Elements whose name or class says that they are no article (navigation,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are removed with all below. Other branches
-go when their importance is low and, per page, what is left is cut to the branch that holds the article.
-
-Text of each page: blocks in page order, joined by line breaks; character references decoded, white space within a block one
-space. Null and empty html give an empty text, as does a page without article. Unclosed and crossed tags are closed by the
-usual rules (a paragraph ends at the next block). Repeated rows give equal rows; no rows give none. Null urls share one host.
+content, the entropy of its texts over the pages (a text that every page repeats carries nothing). Both are in 0 to 1.
+What an element's tag, role or name says is a prior on that importance: ``ROLE`` for elements that are no article (navigation,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), ``WEAK`` for names that may be either (legal,
+related, print), 1 for all others. A branch goes with all below where prior times importance is less than ``LEAST``. So roles
+go whatever the tree says, weak names go if their text varies little, and any named or structural branch goes that hosts repeat.
+
+Pages that repeat each other say nothing about their branches: repetition counts only if the text around (of the article, or of the
+page outside of one) differs as usual. On hosts of fewer than ``LEAST_PAGES`` pages with a branch it is 1 (weak names go there if most
+of their text is links). Headings and unnamed paragraphs, items and cells are text: their path stands for all their likes, and they stay.
+
+Text of each page: that of its main and article elements, with what is in them, in page order; of pages without such, the branch
+that holds most of the text outside links. Blocks are joined by line breaks; character references decoded, white space within a
+block one space. Null and empty html give an empty text, as does a page without article. Unclosed and crossed tags are closed by
+the usual rules (a paragraph ends at the next block). Depth and length are not limited; all steps are linear in the page. Repeated rows
+give equal rows; no rows give none. Null urls share one host.
 """
 
 from __future__ import annotations
@@ -19,11 +26,13 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import rows_in_chunks, table
+from evidra.llm.common import checkpointed, rows_in_chunks, table
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,39 +42,43 @@ ENDS_PARAGRAPH = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"
 NOT_ARTICLE = frozenset("nav header footer aside form script style noscript iframe template svg math button select option textarea input label dialog menu head title object embed canvas audio video".split())
 NOISE_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|adslot|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login"
-    r"|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|related\w*|recommend\w*|trending|popular|share\w*|sharing|social\w*|follow|comments?|commentlist|comment-\w+|replies|reply|disqus|respond|discussion|feedback"
-    r"|header|masthead|topbar|toolbar|footer|foot|bottom|copyright|legal|disclaimer|pagination|pager|tags?|tagcloud|meta|byline|skip\w*|search\w*|hidden|print)(?:$|[-_ ])",
+    r"|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|aside|widget\w*|trending|share\w*|sharing|social\w*|comments?|commentlist|comment-\w+|replies|reply|disqus|respond"
+    r"|header|masthead|topbar|toolbar|footer|copyright|pagination|pager|tagcloud|skip\w*|hidden)(?:$|[-_ ])",
     re.I,
 )
+WEAK_NAMES = re.compile(r"(?:^|[-_ ])(?:side|related\w*|recommend\w*|popular|follow|discussion|feedback|foot|bottom|legal|disclaimer|tags?|meta|byline|search\w*|print)(?:$|[-_ ])", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE_NAMES = re.compile(r"(?:^|[-_ ])(?:article\w*|post|story|entry|content|main|body|text)(?:$|[-_ ])", re.I)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(hidden)\b", re.S)
 _SPACE = re.compile(r"\s+")
-#: A branch whose importance is lower goes, on hosts with so many pages at least.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
-#: Keys that each host's pages are dealt over, so that a hot host doesn't land in one task.
-KEYS_A_HOST = 32
-#: Elements below a longer path share it.
-LONGEST_PATH = 400
-#: Levels of the merged tree; deeper elements count with the branch above them.
-DEEPEST = 12
+# Elements that are text by themselves, and those that say where the article is.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN = frozenset("p li td th tr tbody thead tfoot dt dd caption figcaption summary legend br hr pre".split())
+CONTAINERS = frozenset(("article", "main"))
+#: Priors of roles and of weak names; a branch goes where prior times importance is less.
+ROLE, WEAK, LEAST = 0.2, 0.5, 0.25
+#: Pages of a host that must have a branch; entropy of the text around from which repetition counts.
+LEAST_PAGES, VARIED = 4, 0.5
+#: Rows of branches (host, path) up to which they are broadcast to the pages.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(eq=False)
 class Node:
     tag: str
     name: str
-    path: str
+    path: int  # hash of the names from the root
     parent: Node | None
-    noise: bool = False
+    noise: bool = False  # by role, or within such
+    weak: bool = False  # by name
     items: list = field(default_factory=list)  # nodes and texts in page order
 
 
 def parse(html: str) -> Node:
     """The page's element tree, as forgiving as browsers are about unclosed tags."""
-    root = Node("", "", "", None)
+    root = Node("", "", 0, None)
     at, now, end = 0, root, len(html)
     while at < end:
         found = _MARKUP.search(html, at)
@@ -83,7 +96,7 @@ def parse(html: str) -> Node:
             if up is not root:
                 now = up.parent
             elif closing == "p":
-                now.items.append(Node("p", "p", f"{now.path}/p", now))
+                now.items.append(Node("p", "p", _path(now.path, "p"), now, now.noise))
         elif tag:
             tag = tag.lower()
             if tag in ENDS_PARAGRAPH:
@@ -99,18 +112,21 @@ def parse(html: str) -> Node:
                         up = up.parent
                     if up.tag == same:
                         now = up.parent
-            noise, name = tag in NOT_ARTICLE, tag
+            noise, weak, name = tag in NOT_ARTICLE, False, tag
             if found[3]:
                 for a in _ATTRIBUTE.finditer(found[3]):
                     key, value = (a[1] or a[5]).lower(), a[2] or a[3] or a[4] or ""
                     if key in ("class", "id"):
                         name += "." + re.sub(r"\d+", "", value)
-                        noise = noise or (tag not in ("body", "html", "main", "article") and bool(NOISE_NAMES.search(value)) and not (key == "class" and ARTICLE_NAMES.search(value) and tag == "div" and "comment" not in value.lower()))
+                        if tag not in ("body", "html", "main", "article") and not (key == "class" and ARTICLE_NAMES.search(value) and tag == "div" and "comment" not in value.lower()):
+                            noise, weak = noise or bool(NOISE_NAMES.search(value)), weak or bool(WEAK_NAMES.search(value))
+                        elif tag == "article" and re.search(r"\bcomment", value, re.I):
+                            noise = True
                     elif key == "role":
                         noise = noise or value.lower() in NOISE_ROLES
                     elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                         noise = True
-            node = Node(tag, name, f"{now.path}/{name}" if len(now.path) < LONGEST_PATH else now.path, now, noise or now.noise)
+            node = Node(tag, name, _path(now.path, name), now, noise or now.noise, weak)
             now.items.append(node)
             if tag in RAW:
                 close = re.compile(rf"</{tag}\s*[^>]*>?", re.I).search(html, at)
@@ -122,21 +138,8 @@ def parse(html: str) -> Node:
     return root
 
 
-def text_of(node: Node) -> str:
-    """All text below, white space as one space."""
-    out, stack = [], [iter(node.items)]
-    while stack:
-        for x in stack[-1]:
-            if isinstance(x, str):
-                out.append(unescape(x))
-            elif x.tag == "br":
-                out.append(" ")
-            elif x.tag not in RAW:
-                stack.append(iter(x.items))
-                break
-        else:
-            stack.pop()
-    return _SPACE.sub(" ", "".join(out)).strip()
+def _path(above: int, name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "replace"), above) >> 1
 
 
 def walk(root: Node) -> Iterator[Node]:
@@ -151,63 +154,107 @@ def _host_of(url: object) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def page_facts(html: str) -> dict[str, tuple[str, str]]:
-    """For each element path outside removed roles: its child sequence and its text, as short digests."""
-    facts: dict[str, list] = {}
-    for node in walk(parse(html)):
-        if node.path and not node.noise and node.tag in BLOCK and node.path.count("/") <= DEEPEST:
-            got = facts.setdefault(node.path, [[], []])
-            names = [x.name for x in node.items if not isinstance(x, str)]
-            got[0].append(">".join(dict.fromkeys(names)))
-            got[1].append(text_of(node))
-    return {path: ("|".join(a), "\n".join(b)) for path, (a, b) in facts.items()}
+def containers(nodes: list[Node]) -> list[Node]:
+    """The topmost main and article elements that no role removes; without such, topmost ``div.article`` ones. ``nodes``: in page order."""
+    for fits in (lambda x: x.tag in CONTAINERS, lambda x: x.name.startswith("div.article")):
+        found = [x for x in nodes if not x.noise and fits(x)]
+        if found:
+            inside, top = set(), []
+            for x in nodes:  # parents come before their children
+                if x.parent in inside or (x in top):
+                    inside.add(x)
+                elif not x.noise and fits(x):
+                    top.append(x)
+                    inside.add(x)
+            return top
+    return []
+
+
+def digests(nodes: list[Node]) -> tuple[dict[Node, bytes], dict[Node, list[int]]]:
+    """Of each node, a digest of all text below it outside removed roles, and how many characters that has, in all and in links: from
+    the leaves up, so each text is looked at once."""
+    out, size = {}, {}
+    for node in reversed(nodes):
+        h, n = xxhash.xxh3_64(), [0, 0]
+        for x in node.items:
+            if isinstance(x, str):
+                text = _SPACE.sub(" ", x)
+                h.update(text.encode("utf-8", "replace"))
+                n[0] += len(text.strip())
+            elif not x.noise and x.tag not in RAW:
+                h.update(out[x])
+                n = [n[0] + size[x][0], n[1] + size[x][1]]
+        out[node], size[node] = h.digest(), [n[0], n[0]] if node.tag == "a" else n
+    return out, size
+
+
+def judged(node: Node) -> bool:
+    """Whether the tree judges this node: blocks, but headings and unnamed plain text."""
+    return bool(node.tag) and not node.noise and node.tag in BLOCK and node.tag not in HEADINGS and node.tag not in ("html", "body", *CONTAINERS) and (node.tag not in PLAIN or node.name != node.tag)
+
+
+def page_facts(html: str) -> dict[int, tuple[int, int, int]]:
+    """For each path that the tree judges: digests of its child sequences, of its text, and of the text around it. Within pages that have
+    an article, only what is in it."""
+    nodes = list(walk(parse(html)))
+    top = containers(nodes)
+    around: dict[Node, Node] = {x: x for x in top}
+    for x in nodes:
+        if x not in around and (not top or x.parent in around):
+            around[x] = around[x.parent] if top else nodes[0]
+    if not any(judged(x) for x in around):
+        return {}
+    content, _ = digests(nodes)
+    facts: dict[int, list] = {}
+    for x in nodes:
+        if x in around and judged(x):
+            shape, text, _ = facts.setdefault(x.path, [xxhash.xxh3_64(), xxhash.xxh3_64(), content[around[x]]])
+            shape.update(">".join(dict.fromkeys(y.name for y in x.items if not isinstance(y, str))) + "|")
+            text.update(content[x])
+    return {path: (a.intdigest() >> 1, b.intdigest() >> 1, int.from_bytes(c, "big") >> 1) for path, (a, b, c) in facts.items()}
 
 
 def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, pages in rows_in_chunks(batches, "_html"):
-        host, path, shape, content = [], [], [], []
-        for h, page in zip(rows.column(0).to_pylist(), pages):
-            for p, (a, b) in page_facts(page).items():
-                host.append(h)
-                path.append(p)
-                shape.append(hash_of(a))
-                content.append(hash_of(b))
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(shape, pa.int64()), pa.array(content, pa.int64())], ["host", "path", "shape", "content"])
-
-
-def hash_of(text: str) -> int:
-    import zlib
-
-    raw = text.encode("utf-8", "replace")
-    return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
+        found = [(i, p, *f) for i, page in enumerate(pages) for p, f in page_facts(page).items()]
+        columns = np.array(found, np.int64).reshape(-1, 5).T
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(columns[0])), *(pa.array(c.copy()) for c in columns[1:])], ["host", "path", "shape", "content", "around"])
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """Importance of each node (host, path) of the merged trees: presentation plus content entropy, weighted by how much of
-    the host's pages show it. ``pages``: columns host, _html. Counts are pre-aggregated; no host is collected."""
-    seen = pages.select("host", "_html").mapInArrow(_facts, "host string, path string, shape long, content long")
-
-    counted = seen.groupBy("host", "path", "shape", "content").agg(F.count("*").alias("n"))  # both entropies use this one exchange
+    """Importance of each node (host, path) of the merged trees: presentation plus content entropy, and that of the text around.
+    ``pages``: columns host, _html. Counts are pre-aggregated; no host is collected."""
+    seen = pages.select("host", "_html").mapInArrow(_facts, "host string, path long, shape long, content long, around long")
+    counted = seen.groupBy("host", "path", "shape", "content", "around").agg(F.count("*").alias("n"))  # all entropies use this one exchange
 
     def entropy(kind: str) -> DataFrame:
         each = counted.groupBy("host", "path", kind).agg(F.sum("n").alias("n"))
         of = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
         return of.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(kind))
 
-    return entropy("shape").join(entropy("content").drop("pages"), ["host", "path"]).select("host", "path", "pages", (1 - (1 - F.col("shape")) * (1 - F.col("content"))).alias("importance"))
-
+    every = entropy("shape").join(entropy("content").drop("pages"), ["host", "path"]).join(entropy("around").drop("pages"), ["host", "path"])
+    return every.select("host", "path", "pages", "around", (1 - (1 - F.col("shape")) * (1 - F.col("content"))).alias("importance"))
+
+
+def article_text(html: str, importance: dict[int, float]) -> str:
+    """Text blocks of the page's article: of its containers (see ``containers``), or else of the densest branch, without the branches of which
+    prior times importance (by path; 1 where it isn't known) is low."""
+    nodes = list(walk(parse(html)))
+    content_size: dict[Node, list[int]] = {}
+
+    def goes(x: Node) -> bool:
+        if x.noise:
+            return True  # ROLE times any importance is less than LEAST
+        if not judged(x):
+            return False
+        known = importance.get(x.path)
+        if not x.weak or known is not None:
+            return (WEAK if x.weak else 1.0) * (1.0 if known is None else known) < LEAST
+        if not content_size:
+            content_size.update(digests(nodes)[1])
+        text, links = content_size[x]
+        return 2 * links > text
 
-def article_text(html: str, dropped: frozenset[str] | set[str]) -> str:
-    """Text blocks of the page's article: of what neither role nor ``dropped`` paths remove, the branch with an article
-    element (its inside is cut by roles alone), or else the one that holds most of the text outside links."""
-    root = parse(html)
-    article = None
-    for node in walk(root):
-        if not node.noise and (node.tag in ("article", "main") or node.name.startswith("div.article")):
-            inner = article is not None and node.path.startswith(article.path) and node.tag == "article" and article.tag == "main"
-            if article is None or inner or len(text_of(node)) > 2 * len(text_of(article)):
-                article = node
-    top = article or _densest(root, dropped) or root
     blocks: list[str] = []
     line: list[str] = []
 
@@ -217,47 +264,41 @@ def article_text(html: str, dropped: frozenset[str] | set[str]) -> str:
         if text:
             blocks.append(text)
 
-    stack: list[tuple[Node, Iterator]] = [(top, iter(top.items))]
-    while stack:
-        node, items = stack[-1]
-        for x in items:
-            if isinstance(x, str):
-                line.append(unescape(x))
-            elif x.noise or (x.path in dropped and top.tag != "article"):
-                flush() if x.tag in BLOCK else None
-            elif x.tag == "br":
-                line.append(" ")
+    for top in containers(nodes) or [_densest(nodes, goes)]:
+        stack: list[tuple[Node, Iterator]] = [(top, iter(top.items))]
+        while stack:
+            node, items = stack[-1]
+            for x in items:
+                if isinstance(x, str):
+                    line.append(unescape(x))
+                elif goes(x):
+                    flush() if x.tag in BLOCK else None
+                elif x.tag == "br":
+                    line.append(" ")
+                else:
+                    if x.tag in BLOCK:
+                        flush()
+                    stack.append((x, iter(x.items)))
+                    break
             else:
-                if x.tag in BLOCK:
+                stack.pop()
+                if node.tag in BLOCK:
                     flush()
-                stack.append((x, iter(x.items)))
-                break
-        else:
-            stack.pop()
-            if node.tag in BLOCK:
-                flush()
-    flush()
+        flush()
     return "\n".join(blocks)
 
 
-def _densest(root: Node, dropped: frozenset[str] | set[str]) -> Node | None:
+def _densest(nodes: list[Node], goes: Callable[[Node], bool]) -> Node:
     """From the body down: the child block that holds most (over 0.7) of its parent's text outside links, as long as there is one."""
-    def weight(node: Node) -> int:
-        total, stack = 0, [node]
-        while stack:
-            x = stack.pop()
-            for y in x.items:
-                if isinstance(y, str):
-                    total += len(y.strip())
-                elif not y.noise and y.path not in dropped and y.tag != "a":
-                    stack.append(y)
-        return total
-
-    node = next((x for x in walk(root) if x.tag == "body"), root)
+    gone = {x for x in nodes if x.tag and goes(x)}
+    weight: dict[Node, int] = {}
+    for x in reversed(nodes):
+        weight[x] = sum(len(y.strip()) if isinstance(y, str) else 0 if y in gone or y.tag == "a" else weight[y] for y in x.items)
+    node = next((x for x in nodes if x.tag == "body"), nodes[0])
     while True:
-        kids = [x for x in node.items if not isinstance(x, str) and not x.noise and x.path not in dropped and x.tag in BLOCK and x.tag not in ("p", "ul", "ol", "table", "blockquote", "pre")]
-        best = max(kids, key=weight, default=None)
-        if best is None or weight(best) < 0.7 * max(1, weight(node)):
+        kids = [x for x in node.items if not isinstance(x, str) and x not in gone and x.tag in BLOCK and x.tag not in ("p", "ul", "ol", "table", "blockquote", "pre")]
+        best = max(kids, key=weight.__getitem__, default=None)
+        if best is None or weight[best] < 0.7 * max(1, weight[node]):
             return node
         node = best
 
@@ -265,7 +306,7 @@ def _densest(root: Node, dropped: frozenset[str] | set[str]) -> Node | None:
 def _extracted(names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, pages in rows_in_chunks(batches, "_html"):
-            texts = [article_text(page, set(drop or ())) for page, drop in zip(pages, rows.column("dropped").to_pylist())]
+            texts = [article_text(page, {x["path"]: x["importance"] for x in known or ()}) for page, known in zip(pages, rows.column("known").to_pylist())]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     return run
@@ -274,14 +315,16 @@ def _extracted(names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterato
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, text and n_chars of every page.
 
-    Only low-importance paths travel to the pages, and each host's pages are dealt over several keys; such paths are few for
-    a host, since they recur on its pages."""
+    The branches that the trees judge, with pages and variety enough, meet the pages as one list a host: by broadcast if they are
+    few (checked), else by a join that adaptive execution splits at hot hosts."""
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), _host_of(F.col(url_col)).alias("host"))
-    low = style_trees(rows).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("dropped"))
-    dealt = low.select("host", "dropped", F.explode(F.sequence(F.lit(0), F.lit(KEYS_A_HOST - 1))).alias("key"))
-    sized = rows.withColumn("key", F.pmod(F.xxhash64("_id", "_url"), F.lit(KEYS_A_HOST)).cast("int"))
+    enough = (F.col("pages") >= LEAST_PAGES) & (F.col("around") >= VARIED)
+    trees = checkpointed(style_trees(rows).where(enough).select("host", "path", "importance"))
+    known = trees.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("known"))
+    if trees.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     kinds = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
-    joined = sized.join(dealt, ["host", "key"], "left").select("_id", "_url", "_html", "dropped")
+    joined = rows.join(known, "host", "left").select("_id", "_url", "_html", "known")
     return joined.mapInArrow(_extracted([id_col, url_col]), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
 
 

@@ -120,9 +120,9 @@ six</p><form><input>Go</form><div class="comments"><p>First!</p></div></article>
 
 
 def test_article_text(spark):
-    assert site_style.article_text(PAGE, set()) == "Head & line\nOne two three\nFour 5 é six"
-    assert site_style.article_text("<div><p>a</p><p>b &lt; c</div>", set()) == "a\nb < c"
-    assert [site_style.article_text(x, set()) for x in ("", "plain", "<", "<p", "</div></p>", "<!-- a", "<script>x")] == ["", "plain", "<", "", "", "", ""]
+    assert site_style.article_text(PAGE, {}) == "Head & line\nOne two three\nFour 5 é six"
+    assert site_style.article_text("<div><p>a</p><p>b &lt; c</div>", {}) == "a\nb < c"
+    assert [site_style.article_text(x, {}) for x in ("", "plain", "<", "<p", "</div></p>", "<!-- a", "<script>x")] == ["", "plain", "<", "", "", "", ""]
 
 
 def test_low_branches_go(spark):
@@ -134,6 +134,49 @@ def test_low_branches_go(spark):
     assert not site_style.extract_pages(df.limit(0)).collect()
 
 
+def test_articles_are_whole():
+    text = lambda x: site_style.article_text(x, {})
+    assert text("<article><p>x</p></article><article><p>second article</p></article>") == "x\nsecond article"
+    assert text("<main><p>intro</p><article><h1>H</h1><p>a</p></article><div class=comments><article><p>no</p></article></div></main>") == "intro\nH\na"
+    assert text('<article><section class="related-work"><p>Earlier work</p></section><p class="legal">Law</p><div class="print">Ink</div></article>') == "Earlier work\nLaw\nInk"
+    assert text('<article><p>a</p><div class="related"><a href=x>More</a> <a href=y>Yet more</a></div><article class="comment"><p>c</p></article></article>') == "a"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    assert site_style.article_text("<article>a" * 6000, {}).count("a") == 6000
+    deep = "<div class=x>" * 6000 + "<p>deep text</p>"
+    assert site_style.article_text(deep, {}) == "deep text" and len(site_style.page_facts(deep)) == 6000
+    assert time.time() - began < 10
+
+
+def planted(i, host):
+    """A page whose article holds a box, a list and a weak name; only what varies is text."""
+    words = " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(30))
+    return f"""<html><body><nav>Menu {i}</nav><article><h1>Title {i}</h1><div class="k{host}"><p>Our house style: every story is checked twice</p></div><p>{words}</p>
+<h2>Background</h2><ul class="x1"><li>Back to list</li><li>Home of {host}</li></ul><section class="related-work"><p>Work {i} and {i * 3}</p></section><p class="legal">All of it is ours</p><table><tr><td>{i}</td></tr></table></article></body></html>"""
+
+
+def cleaned(i):
+    words = " ".join(f"w{(i * 37 + k * k) % 911}" for k in range(30))
+    return f"Title {i}\n{words}\nBackground\nWork {i} and {i * 3}\n{i}"
+
+
+def test_boilerplate_without_telling_names_goes(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.com/{i}", planted(i, "ab"[i % 2])) for i in range(40)]
+    rows += [(100 + i, "http://copies.com/x", planted(7, "c")) for i in range(12)]  # copies say nothing about their branches
+    rows += [(200, "http://alone.com/x", planted(9, "d")), (201, "http://a.com/long", planted(11, "a") * 400), (0, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style.extract_pages(df).collect()}
+    assert all(got[i] == cleaned(i) for i in range(40)) and got[201] == "\n".join([cleaned(11)] * 400)
+    whole = site_style.article_text(planted(7, "c"), {})
+    assert "house style" in whole and "All of it is ours" in whole and all(got[100 + i] == whole for i in range(12)) and got[200] == site_style.article_text(planted(9, "d"), {})
+    assert sum(got[r[0]] != site_style.article_text(r[2], {}) for r in rows) == 42  # pages that the trees changed
+    assert site_style.extract_pages(df).count() == len(rows)
+
+
 def test_pages_of_the_smallest_tables(spark):
     rows = site_style.op9_site_style(spark, DATA).collect()
     assert len(rows) == 50 and all(r["text"] and r["n_chars"] == len(r["text"]) for r in rows)
