@@ -1,14 +1,14 @@
 """Document fingerprints: a homomorphic multiset hash of a document's paragraphs.
 
 A paragraph is a line of the text; a long one counts as consecutive units of ``UNIT_WORDS`` words from its beginning. Each
-unit is hashed to a wide vector of ``LANES`` small signed numbers, and a document's fingerprint is the sum of its units'
-vectors modulo 2^32. Sums don't depend on order, and adding or taking away a unit's vector inserts or deletes that unit
+unit is hashed (BLAKE2b of its bytes, 512 bits) to a wide vector of ``LANES`` small signed numbers, and a document's fingerprint is
+the sum of its units' vectors modulo 2^32. Sums don't depend on order, and adding or taking away a unit's vector inserts or deletes that unit
 (``insert``, ``delete``). Equal texts have equal fingerprints; since the small numbers don't wrap in practice, the cosine
 of two fingerprints read as signed numbers also estimates how alike the two multisets are (``likeness``, 0 to 1).
 
 Null is an empty text, with the fingerprint of zeros; two empty texts are alike by 1, an empty and another by 0. Ties in the
 order of documents are broken by text; repeated rows are documents of their own; a null id comes first. A single document
-is followed by itself. An empty table gives no rows. Extra columns are not read.
+is followed by itself. Ids may be of any type that can be ordered. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,20 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.llm.common import joined_bytes, mix64, runs, slice_hashes, table, text_chunks
+from evidra.llm.common import joined_bytes, rows_in_chunks, runs, table, text_chunks
 
-LANES, UNIT_WORDS = 64, 8
-_STEPS = (np.arange(1, LANES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+LANES, UNIT_WORDS, CUT_SAMPLE = 64, 8, 50
 
 
-def unit_vectors(hashes: np.ndarray) -> np.ndarray:
-    """``LANES`` numbers from -128 to 127 for each unit's hash."""
-    with np.errstate(over="ignore"):
-        return mix64(hashes[:, None] + _STEPS).view(np.int8)
+def unit_vectors(raw: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``LANES`` numbers from -128 to 127 for each unit, the bytes from ``low`` to ``high``."""
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=LANES).digest() for a, b in zip(low.tolist(), high.tolist())]), np.int8).reshape(-1, LANES)
 
 
-def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each unit's bytes, and the text that it is in. Together, a text's units hold every byte but line ends."""
+def units(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where each unit begins and ends in them, and the text that it is in. Together, a text's units hold every byte but
+    line ends."""
     data, at = joined_bytes(texts)
     breaks = np.flatnonzero(data == 10)
     line_low, line_high = np.sort(np.concatenate((at[:-1], breaks + 1))), np.sort(np.concatenate((breaks, at[1:] - 1)))
@@ -55,19 +54,19 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     high = line_high[own]
     same = np.flatnonzero(own[1:] == own[:-1])
     high[same] = low[same + 1]
-    return slice_hashes(data, low, high), np.searchsorted(at, low, "right") - 1
+    return data.tobytes(), low, high, np.searchsorted(at, low, "right") - 1
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """One row of ``LANES`` sums (modulo 2^32) for each text."""
     out = np.zeros((len(texts), LANES), np.uint32)
     for a, b in text_chunks(texts):
-        hashes, text = units(texts[a:b])
-        for k in range(0, len(hashes), 1 << 16):
+        raw, low, high, text = units(texts[a:b])
+        for k in range(0, len(low), 1 << 16):
             part = text[k : k + (1 << 16)]
             if len(part):
                 head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                out[a + part[head]] += np.add.reduceat(unit_vectors(hashes[k : k + (1 << 16)]).astype(np.int32), head, 0).astype(np.uint32)
+                out[a + part[head]] += np.add.reduceat(unit_vectors(raw, low[k : k + (1 << 16)], high[k : k + (1 << 16)]).astype(np.int32), head, 0).astype(np.uint32)
     return out
 
 
@@ -94,13 +93,23 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == b).all(1), 1.0, np.clip(cos, 0, 1))
 
 
+def _cuts(ids: DataFrame, n: int, kind: T.DataType) -> list:
+    """Up to n - 1 values that cut ``ids`` (column _id) into ranges: quantiles of numbers; of other types, of the distinct ids whose hash
+    falls into a share that makes some ``CUT_SAMPLE`` a range."""
+    if isinstance(kind, T.NumericType):
+        return sorted({c for c in (ids.agg(F.expr(f"approx_percentile(_id, array({', '.join(f'{k / n:.9f}D' for k in range(1, n))}), 100000)").alias("c")).first()["c"] or [])})
+    share = max(1, ids.count() // (n * CUT_SAMPLE))
+    some = [r[0] for r in ids.where(F.col("_id").isNotNull() & (F.pmod(F.xxhash64("_id"), F.lit(share)) == 0)).distinct().orderBy("_id").collect()]
+    return sorted(set(some[len(some) // n :: max(1, len(some) // n)]))[: n - 1]
+
+
 def with_successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents dealt by ranges of ``id_col`` in one shuffle, sorted within, where the row that follows a partition's last
-    one is there too (``_extra``). Only bounds of ranges, one number a partition, reach the driver."""
+    """Documents dealt by ranges of ``id_col`` in one shuffle, a range a partition, sorted within, where the row that follows a
+    partition's last one is there too (``_extra``). Only bounds of ranges, a few ids a partition, reach the driver."""
     spark = docs.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col(id_col).alias("_id"))
-    cuts = sorted({c for c in (ids.agg(F.expr(f"approx_percentile(_id, array({', '.join(f'{k / n:.9f}D' for k in range(1, n))}), 100000)").alias("c")).first()["c"] or [])})
+    cuts = _cuts(ids, n, docs.schema[id_col].dataType)
     bucket = lambda c: sum((F.when(c > F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)) if len(cuts) < 2 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < c)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_bucket", bucket(F.col("_id")))
     found = ids.withColumn("_bucket", bucket(F.col("_id"))).groupBy("_bucket").agg(F.min("_id").alias("low"), F.count(F.when(F.col("_id").isNull(), 1)).alias("null")).orderBy("_bucket").collect()
@@ -112,7 +121,7 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = spark.createDataFrame(firsts, T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_id", kind), T.StructField("_to", T.IntegerType())]))
     same = rows.alias("r").join(F.broadcast(heads).alias("h"), (F.col("r._bucket") == F.col("h._bucket")) & F.col("r._id").eqNullSafe(F.col("h._id")))
     extra = same.groupBy("h._to").agg(F.min(F.struct("r._text", "r._id")).alias("first")).select(F.col("first._id").alias("_id"), F.col("first._text").alias("_text"), F.col("_to").alias("_bucket"), F.lit(True).alias("_extra"))
-    return rows.withColumn("_extra", F.lit(False)).unionByName(extra).repartition(len(found), "_bucket").sortWithinPartitions("_bucket", "_extra", F.col("_id").asc_nulls_first(), "_text")
+    return rows.withColumn("_extra", F.lit(False)).unionByName(extra).repartitionById(len(cuts) + 1, F.col("_bucket")).sortWithinPartitions("_bucket", "_extra", F.col("_id").asc_nulls_first(), "_text")
 
 
 def edited(text: str, following: str) -> str:
@@ -141,11 +150,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, ids, texts, prints = None, [], [], np.zeros((0, LANES), np.uint32)
         for batch in batches:
-            every = batch.column("_text").to_pylist()
-            for a, b in text_chunks(every):
-                part = batch.slice(a, b - a)
+            for part, new_texts in rows_in_chunks([batch], "_text"):
                 buckets = part.column("_bucket").to_pylist()
-                new_ids, new_texts, new_prints = part.column("_id").to_pylist(), every[a:b], fingerprints(every[a:b])
+                new_ids, new_prints = part.column("_id").to_pylist(), fingerprints(new_texts)
                 k = 0
                 while k < len(buckets):
                     if buckets[k] != bucket:

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidra.llm import fingerprints as fp
 from evidra.llm import near_duplicates as nd
@@ -197,6 +198,15 @@ def test_fingerprints(spark, odd, none):
     assert rows[5]["near_next"] == 1.0 and rows[5]["fingerprint"] == rows[6]["fingerprint"]
 
 
+def test_ids_of_other_types(spark, odd):
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r["doc_id"]: r for r in fp.fingerprint_documents(docs).collect()}
+    named = fp.fingerprint_documents(docs.withColumn("doc_id", F.format_string("d%03d", "doc_id"))).collect()
+    assert len(named) == len(want) and all(tuple(r)[1:] == tuple(want[int(r["doc_id"][1:])])[1:] for r in named)
+    days = docs.withColumn("doc_id", F.expr("date'2024-01-01' + cast(doc_id as int)")).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("date")))
+    assert fp.fingerprint_documents(days).count() == len(want) + 1
+
+
 def test_multiset_hash():
     a, b, c, whole = fp.fingerprints(["one two\nthree", "three\none two", "three", "one two\nthree\n"])
     assert (a == b).all() and (fp.insert(c, "one two") == a).all() and (fp.delete(a, "one two") == c).all() and (a != whole).any()
