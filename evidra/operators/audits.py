@@ -22,14 +22,23 @@ ROW_RANGES = 6
 
 
 def compress_rows(rows: DataFrame, by: list[str], row: str = "row_no") -> DataFrame:
-    """Row numbers of each group as ranges, ``6-8, 30-31``; beyond six ranges only their number. Gaps and islands: no list of rows."""
-    w = Window.partitionBy(*by).orderBy(row)
-    islands = rows.select(*by, row).distinct().withColumn("_island", F.col(row) - F.row_number().over(w)).groupBy(*by, "_island").agg(F.min(row).alias("_a"), F.max(row).alias("_b"))
-    placed = islands.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_a")))
+    """Row numbers of each group as ranges, ``6-8, 30-31``; beyond six ranges only their number. Ranges end where a
+    neighbour is missing, so no task orders a group's rows."""
+    some = rows.select(*by, F.col(row).alias("_r")).distinct()
+
+    def ends(step: int) -> DataFrame:
+        """Rows whose neighbour on that side is missing."""
+        return some.join(some.select(*by, (F.col("_r") - step).alias("_r")), [*by, "_r"], "left_anti")
+
+    # The k-th first row of a range and the k-th last one belong together; only the first few are ordered, which is pushed below shuffles.
+    few = lambda df, name: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_r"))).where(F.col("_n") <= ROW_RANGES).withColumnRenamed("_r", name)
+    first = ends(-1)
+    shown = few(first, "_a").join(few(ends(1), "_b"), [*by, "_n"])
     text = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat_ws("-", F.col("_a").cast("string"), F.col("_b").cast("string")))
-    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= ROW_RANGES, F.struct("_n", text.alias("text"))))), lambda x: x["text"])
-    more = F.max("_n") - ROW_RANGES
-    return placed.groupBy(*by).agg(F.concat(F.array_join(shown, ", "), F.when(more > 0, F.concat(F.lit(" 외 "), more.cast("string"), F.lit("곳"))).otherwise("")).alias("row_text"))
+    listed = shown.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", text.alias("text")))), lambda x: x["text"]).alias("_t"))
+    more = F.col("_count") - ROW_RANGES
+    counted = listed.join(first.groupBy(*by).agg(F.count("*").alias("_count")), by)
+    return counted.select(*by, F.concat(F.array_join("_t", ", "), F.when(more > 0, F.concat(F.lit(" 외 "), more.cast("string"), F.lit("곳"))).otherwise("")).alias("row_text"))
 
 
 def null_audit(df: DataFrame, by: list[str], used: list[str]) -> DataFrame:

@@ -89,22 +89,37 @@ def same_data(pairs: DataFrame, totals: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, ["b", "sheet", "column"]).groupBy("a", "b").agg(F.bool_and(near).alias("same_data"), F.count("*").alias("compared"))
 
 
-def tie_primary(ties: DataFrame) -> DataFrame:
-    """Of the paths tied in a family, the shortest name, then path."""
-    return ties.groupBy("family").agg(F.min_by("path", F.struct(F.length("path"), F.col("path"))).alias("primary"))
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
 
-def catalog_search(columns: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, table_id) where the table has every wanted column: columns (table_id, name); requests (request_id, wants), a
-    want ``A|B`` meaning either. A want is met by an equal name or one that contains it."""
+def tie_primary(files: DataFrame, same: DataFrame) -> DataFrame:
+    """For tied files (path, tie_with): the ``primary`` of the group, which has the shortest name, then the first path; and whether the
+    file is a ``format_copy``: not the primary, and its data the same (pairs a, b, same_data) as those of the first file it is tied with."""
+    group = F.array_union(F.array("path"), F.col("tie_with"))
+    primary = F.array_min(F.transform(group, lambda p: F.struct(F.length(file_name(p)).alias("n"), p.alias("path"))))["path"]
+    tied = files.where(F.size("tie_with") > 0).select("path", primary.alias("primary"), F.col("tie_with")[0].alias("_first"))
+    known = same.select(F.col("a").alias("path"), F.col("b").alias("_first"), "same_data")
+    return tied.join(known, ["path", "_first"], "left").select("path", "primary", ((F.col("path") != F.col("primary")) & F.coalesce("same_data", F.lit(False))).alias("format_copy"))
+
+
+def catalog_search(columns: DataFrame, requests: DataFrame, tables: DataFrame) -> DataFrame:
+    """(request_id, table_id) where the table has every wanted column: columns (table_id, name); requests (request_id, wants, and year, dept,
+    file or null), a want ``A|B`` meaning either. A want is met by an equal name or one that contains it. Tables (table_id, path, dept,
+    title) of another department, with a path that lacks the file's name, or that name another year first, are left out."""
     each = requests.select("request_id", F.size("wants").alias("n"), F.posexplode("wants").alias("k", "want")).select("request_id", "n", "k", F.explode(F.split("want", r"\|")).alias("alternative"))
     met = contains_join(columns, "name", each.withColumn("alternative", F.trim("alternative")), "alternative")
-    return met.groupBy("request_id", "table_id").agg(F.count_distinct("k").alias("met"), F.max("n").alias("n")).where("met = n").select("request_id", "table_id")
+    found = met.groupBy("request_id", "table_id").agg(F.count_distinct("k").alias("met"), F.max("n").alias("n")).where("met = n").select("request_id", "table_id")
+    year = F.nullif(F.regexp_extract(F.concat_ws("", "title", file_name(F.col("path")), "path"), r"(20\d{2})", 1), F.lit(""))
+    fits = lambda asked, test: F.col(asked).isNull() | test
+    of = found.join(requests.select("request_id", "year", F.col("dept").alias("_dept"), "file"), "request_id").join(tables.select("table_id", "path", "dept", year.alias("_year")), "table_id")
+    return of.where(fits("_dept", F.col("dept") == F.col("_dept")) & fits("file", F.col("path").contains(F.trim("file"))) & fits("year", F.coalesce(F.col("_year").cast("int") == F.col("year"), F.lit(True)))).select("request_id", "table_id")
 
 
 def catalog_excluded(found: DataFrame) -> DataFrame:
-    """Stale files and copies of each request's hits with the reason, at most ten."""
-    reason = F.when(F.col("fresh") == "stale", F.concat(F.lit("newer: "), F.coalesce("newer", F.lit("")))).when(F.col("fresh") == "copy", F.concat(F.lit("copy of "), "copy_of"))
+    """Stale files, copies and copies in another format (``format_of``: the one that is kept) of each request's hits with the reason, at
+    most ten."""
+    reason = F.when(F.col("fresh") == "stale", F.concat(F.lit("newer: "), F.coalesce("newer", F.lit("")))).when(F.col("fresh") == "copy", F.concat(F.lit("copy of "), "copy_of")).when(F.col("format_of").isNotNull(), F.concat(F.lit("same data in another format: "), file_name(F.col("format_of"))))
     ranked = found.withColumn("reason", reason).where("reason is not null").withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("path")))
     return ranked.where(F.col("n") <= MOST_EXCLUDED).select("request_id", "path", "reason")
 

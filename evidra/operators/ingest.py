@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.ranges import running_sum
+
 # Words of subtotals, totals and note labels, reserved names, limits of heads, preambles and sheets.
 SUBTOTAL = r"(?i)(소\s*계|sub\s*-?\s*total)(\s*[\(（\[].*[\)）\]])?\s*$"
 TOTAL = r"(?i)((?:^|\s)[월일대연]\s*계|합\s*계|총\s*계|누\s*계|총\s*합|grand\s*total|total)(\s*[\(（\[].*[\)）\]])?\s*$"
@@ -192,11 +194,5 @@ def scan_summary(files: DataFrame, most_rows: int = 3_000_000) -> DataFrame:
     """Files by status: skipped for a reason, failed, beyond the row limit of a scan (in path order), partial or ok; with rows.
 
     The running total goes by ranges of paths: sums per range first, so no single task orders all files."""
-    from pyspark.sql.functions import coalesce, lit
-
-    ranged = files.withColumn("_r", F.substring("path", 1, 12))
-    ranges = ranged.groupBy("_r").agg(F.sum("n_rows").alias("_s"))
-    before = ranges.withColumn("_before", coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), lit(0)))  # one row a range
-    so_far = F.sum("n_rows").over(Window.partitionBy("_r").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
-    status = F.when(F.col("skip_reason").isNotNull(), F.concat(F.lit("skipped: "), "skip_reason")).when(so_far - F.col("n_rows") >= most_rows, "error").when(F.col("truncated"), "partial").otherwise("ok")
-    return ranged.join(before.drop("_s"), "_r").withColumn("status", status).groupBy("status").agg(F.count("*").alias("files"), F.sum("n_rows").alias("n_rows"))
+    status = F.when(F.col("skip_reason").isNotNull(), F.concat(F.lit("skipped: "), "skip_reason")).when(F.col("so_far") - F.col("n_rows") >= most_rows, "error").when(F.col("truncated"), "partial").otherwise("ok")
+    return running_sum(files, "path", "n_rows").withColumn("status", status).groupBy("status").agg(F.count("*").alias("files"), F.sum("n_rows").alias("n_rows"))

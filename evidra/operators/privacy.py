@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions.ranges import numbered
 from evidra.operators.audits import INJECTION
 
 # Patterns of identifiers, forbidden fields and limits of payloads.
 PATTERNS = (("사업자번호", r"\b\d{3}-\d{2}-\d{5}\b"), ("전화", r"\b0\d{1,2}-\d{3,4}-\d{4}\b"), ("이메일", r"[\w.+-]+@[\w-]+\.[\w.-]+"))
 FORBIDDEN = ("raw_rows", "raw", "cells", "records")
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive, so that long strings need no stack
 MOST_ITEMS, MOST_CHARS, SENT_CHARS, MOST_RECENT = 60, 120_000, 20_000, 500
 BLOCKED = "[차단됨]"
 
@@ -39,10 +41,7 @@ def pattern_dictionary(texts: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS:
         one = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("value")).distinct().withColumn("kind", F.lit(kind))
         found = one if found is None else found.unionByName(one)
-    ranged = found.withColumn("r", F.left("value", F.lit(6)))
-    before = ranged.groupBy("kind", "r").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("kind", "r").orderBy("value")) + F.col("base")
-    return ranged.join(before.drop("n"), ["kind", "r"]).select("value", F.concat(F.lit("{"), "kind", F.lit("_"), number.cast("string"), F.lit("}")).alias("mark"))
+    return numbered(found, ["kind"], "value").select("value", F.concat(F.lit("{"), "kind", F.lit("_"), F.col("number").cast("string"), F.lit("}")).alias("mark"))
 
 
 def mask_patterns(texts: DataFrame) -> DataFrame:
@@ -66,11 +65,17 @@ def redact_injection(text: Column) -> tuple[Column, Column]:
 
 
 def egress_guard(payload: Column) -> Column:
-    """Verdict on a JSON payload: forbidden field, list too long (at any depth: by separators of its innermost lists), too large, or ok."""
-    key = payload.rlike('"(' + "|".join(FORBIDDEN) + r')"\s*:')
-    items = F.transform(F.regexp_extract_all(payload, F.lit(r"\[[^\[\]]*\]"), F.lit(0)), lambda x: F.coalesce(F.json_array_length(x), F.lit(0)))
-    long = F.coalesce(F.array_max(items), F.lit(0)) > MOST_ITEMS
-    return F.when(key, "forbidden_field").when(long, "list_too_long").when(F.length(payload) > MOST_CHARS, "too_large").otherwise("ok")
+    """Verdict on a JSON payload: forbidden field (a key at any depth, also if written with escapes), list too long (at any depth),
+    too large, or ok. A list is measured once all that is in it has been folded to one sign, level by level from the innermost."""
+    keys = F.transform(F.filter(F.regexp_extract_all(payload, F.lit(STRING + r"\s*:?"), F.lit(0)), lambda s: s.endswith(":")), lambda s: F.from_json(F.concat(F.lit("["), F.regexp_extract(s, STRING, 0), F.lit("]")), "array<string>")[0])
+    plain = F.regexp_replace(F.regexp_replace(payload, STRING, "0"), r"[^\[\]{},]+", "0")
+    level = lambda s, x: F.struct((s["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    depth = F.aggregate(F.regexp_extract_all(plain, F.lit(r"[\[\]{}]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), level)["most"]
+    items = lambda x: F.when(x == "[]", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) + 1)
+    longest = lambda t: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"\[[0,]*\]"), F.lit(0)), items)), F.lit(0))
+    fold = lambda s, _: F.struct(F.regexp_replace(F.regexp_replace(s["text"], r"\[[0,]*\]|\{[0,]*\}", "0"), "0+", "0").alias("text"), F.greatest(s["most"], longest(s["text"])).alias("most"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.struct(plain.alias("text"), F.lit(0).alias("most")), fold)
+    return F.when(F.arrays_overlap(keys, F.array(*map(F.lit, FORBIDDEN))), "forbidden_field").when(folded["most"] > MOST_ITEMS, "list_too_long").when(F.length(payload) > MOST_CHARS, "too_large").otherwise("ok")
 
 
 def audit_log(sent: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.aggregate import exact_sum
+from evidra.operators.terms import parse_period
 
 SAME, LARGE = 0.01, 0.05
 # Metrics that record one thing at different points, factors of units, marks of excerpts, least items of a ranking.
@@ -80,9 +81,15 @@ def min_rank_items(compared: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return compared.groupBy(*by).agg(F.count("*").alias("items")).withColumn("rankable", F.col("items") >= LEAST_RANKED)
 
 
-def cross_summary(ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Whether all agree, whether ranks changed, and the largest relative difference."""
-    return ranked.groupBy(*by).agg(F.bool_and("same").alias("matched"), F.bool_or("rank_changed").alias("rank_changed"), F.max("relative").alias("max_rel"))
+def date_gap(a_name: Column, a_date: Column, b_name: Column, b_date: Column) -> Column:
+    """Both sources with their base dates where these differ."""
+    return F.when(a_date != b_date, F.concat(F.concat_ws(" ", a_name, a_date.cast("string")), F.lit(" vs "), F.concat_ws(" ", b_name, b_date.cast("string"))))
+
+
+def cross_summary(ranked: DataFrame, by: tuple[str, ...] = (), gap: Column | None = None) -> DataFrame:
+    """Whether all agree, whether ranks changed, the largest relative difference, and the ``gap`` of base dates (one value a group)."""
+    gaps = F.max(F.lit(None).cast("string") if gap is None else gap).alias("date_gap")
+    return ranked.groupBy(*by).agg(F.bool_and("same").alias("matched"), F.bool_or("rank_changed").alias("rank_changed"), F.max("relative").alias("max_rel"), gaps)
 
 
 def trace_difference(rows: DataFrame, date: str, cut: Column, group: str, amount: str, multiplier: int = 1) -> DataFrame:
@@ -95,6 +102,8 @@ def trace_difference(rows: DataFrame, date: str, cut: Column, group: str, amount
 DATES = r"\d{4}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}|\d{1,2}\s*/\s*\d{1,2}|\d{4}\.\d{1,2}"
 IDS = r"[A-Za-z]+\d[\w-]*|\d{3}-\d{2}-\d{5}"
 FIGURE = r"(\d[\d,]*(?:\.\d+)?)\s*(억원|억|만원|천원|만|원|%)?"
+SHOWN_FIGURE = r"\d[\d,]*(?:\.\d+)?\s*(?:억원|억|만원|천원|만|원|%)"
+NAMED_DAY = r"\d{4}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}|\d{1,2}\s*월\s*\d{1,2}\s*일"
 
 
 def extract_figures(text: Column, strict: bool = True) -> Column:
@@ -113,7 +122,14 @@ def number_check(answers: DataFrame, results: DataFrame) -> DataFrame:
     return figures.join(allowed, ["answer_id", "figure"], "left_anti")
 
 
-def period_claim(answers: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Answers (answer_id, start, end claimed) of which a quoted figure's query range (answer_id, low, high) lies outside."""
-    outside = (F.col("low") < F.col("start")) | (F.col("high") > F.col("end"))
-    return answers.join(ranges, "answer_id").where(outside).select("answer_id").distinct()
+def period_claim(answers: DataFrame, queries: DataFrame, latest_year: Column) -> DataFrame:
+    """Answers (answer_id, text) that name exactly one period, days not counted, while a query whose figures they quote (answer_id, shown:
+    its displayed values, start, end, months: null for dated tables) covers other days or months."""
+    named = F.regexp_replace(F.coalesce("text", F.lit("")), NAMED_DAY, " ")
+    label = lambda pattern, unit: F.transform(F.regexp_extract_all(named, F.lit(pattern), F.lit(1)), lambda x: F.concat(x, F.lit(unit)))
+    labels = F.array_distinct(F.concat(label(r"([1-4])\s*분기", "분기"), label(r"(?<!\d)(1[0-2]|[1-9])\s*월", "월"), label(r"(상반기|하반기)", "")))
+    figures = F.transform(F.regexp_extract_all("text", F.lit(SHOWN_FIGURE), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", ""))
+    claims = answers.select("answer_id", figures.alias("figures"), F.size(labels).alias("n"), parse_period(named, latest_year).alias("p")).where("n = 1 and p is not null")
+    quoted = claims.join(queries, "answer_id").where(F.arrays_overlap("figures", F.transform("shown", lambda x: F.replace(x, F.lit(" "), F.lit("")))))
+    inside = F.when(F.col("months").isNotNull(), F.size(F.array_except("months", "p.months")) == 0).otherwise((F.col("start") >= F.col("p.start")) & (F.col("end") <= F.col("p.end")))
+    return quoted.where(~inside).select("answer_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.joins import contains_join
+from evidra.functions.ranges import numbered
 
 # Lengths of indexed texts, entity columns and their kinds, words that name no file.
 SHORTEST, LONGEST = 2, 120
@@ -67,13 +68,10 @@ def value_columns(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 def entity_dictionary(index: DataFrame, kinds: dict[str, str] = ENTITY_COLUMNS) -> DataFrame:
     """(value, kind, placeholder): distinct values of entity columns numbered in value order within their kind; a value of several
-    kinds has the first one. Ranks go by ranges of values: counts of each first letter are added up first."""
+    kinds has the first one. Ranks go by ranges of values: counts of each range are added up first."""
     pairs = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
     own = index.withColumn("kind", pairs[F.col("column")]).where(F.col("kind").isNotNull() & (F.length("value") >= 2)).groupBy("value").agg(F.min("kind").alias("kind"))
-    ranged = own.withColumn("r", F.left("value", F.lit(2)))
-    before = ranged.groupBy("kind", "r").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("kind", "r").orderBy("value")) + F.col("base")
-    return ranged.join(before.drop("n"), ["kind", "r"]).select("value", "kind", F.concat(F.lit("{"), "kind", F.lit("_"), number.cast("string"), F.lit("}")).alias("placeholder"))
+    return numbered(own, ["kind"], "value").select("value", "kind", F.concat(F.lit("{"), "kind", F.lit("_"), F.col("number").cast("string"), F.lit("}")).alias("placeholder"))
 
 
 def vocabulary(parts: list[tuple[DataFrame, Column]]) -> DataFrame:

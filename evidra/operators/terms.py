@@ -28,7 +28,9 @@ GLOSSARY = (
 OFF_TOPIC = ("날씨", "점심", "저녁", "아침식사", "맛집", "메뉴 추천", "메뉴추천", "농담", "노래", "영화", "드라마", "게임", "번역", "코딩", "프로그래밍", "로또", "주식", "비트코인", "코인", "운세", "연애", "사랑", "여행", "레시피", "요리", "축구", "야구", "대통령", "뉴스", "시 써", "소설", "너 누구", "안녕", "고마워", "심심", "별자리")
 INTENT = ("합계", "총", "평균", "순위", "등", "위", "몇", "얼마", "최근", "최신", "찾", "목록", "현황", "비교", "증가", "감소", "차이", "맞아", "맞나", "보고서", "파일", "엑셀", "시트", "자료", "데이터", "실적", "매출", "재고", "금액", "수량", "분기", "상반기", "하반기", "월별", "누적", "건수", "누가", "어느", "어디", "언제", "가장", "제일", "높", "낮", "많", "적", "알려", "보여", "액", "량", "율")
 FOLLOW_UP = ("그럼", "그러면", "그건", "그것", "그중", "그 중", "거기", "아까", "방금", "위에", "다시", "또")
+PERIOD_PHRASE = r"(?:\d{4}\s*년\s*)?(?:[1-4]\s*분기|상반기|하반기|\d{1,2}\s*월)|\d{4}\s*년"
 SHORT_QUESTION, MOST_GUESSES = 14, 6
+SHORTEST_NAMED, NAMES_A_WORD, MOST_MENTIONED = 3, 3, 5
 
 
 def glossary(spark: SparkSession) -> DataFrame:
@@ -63,28 +65,52 @@ def term_fallback(unmatched: DataFrame, index: DataFrame, names: DataFrame) -> D
 
 
 def parse_period(text: Column, latest_year: Column) -> Column:
-    """Year, first and last day and label of the period words in a text; null without any. The year defaults to the latest."""
+    """Year, first and last day, months and label of the period words in a text; null without any. The year defaults to the latest."""
     part = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     year, quarter, half, month = part(r"(20\d{2})\s*년"), part(r"([1-4])\s*분기").cast("int"), part(r"(상반기|하반기)"), part(r"(?<!\d)(1[0-2]|[1-9])\s*월").cast("int")
     y = F.coalesce(year.cast("int"), latest_year.cast("int"))
     first = F.when(quarter.isNotNull(), quarter * 3 - 2).when(half.isNotNull(), F.when(half == "상반기", 1).otherwise(7)).when(month.isNotNull(), month).when(year.isNotNull(), 1)
     last = F.when(quarter.isNotNull(), quarter * 3).when(half.isNotNull(), F.when(half == "상반기", 6).otherwise(12)).when(month.isNotNull(), month).when(year.isNotNull(), 12)
     label = F.when(quarter.isNotNull(), F.concat(quarter.cast("string"), F.lit("분기"))).when(half.isNotNull(), half).when(month.isNotNull(), F.concat(month.cast("string"), F.lit("월"))).otherwise("연간")
-    return F.when(first.isNotNull(), F.struct(label.alias("text"), y.cast("long").alias("year"), F.make_date(y, first, F.lit(1)).alias("start"), F.last_day(F.make_date(y, last, F.lit(1))).alias("end"), year.isNull().alias("year_defaulted")))
+    months = F.transform(F.sequence(first, last), lambda m: F.concat(m.cast("string"), F.lit("월")))
+    return F.when(first.isNotNull(), F.struct(label.alias("text"), y.cast("long").alias("year"), F.make_date(y, first, F.lit(1)).alias("start"), F.last_day(F.make_date(y, last, F.lit(1))).alias("end"), months.alias("months"), year.isNull().alias("year_defaulted")))
 
 
-def pre_lookup(questions: DataFrame) -> DataFrame:
-    """Glossary words (two letters or more) in each question (id, text) that lie in no longer one found there; in order, six at most."""
+def pre_lookup(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """What each question (id, text) says by itself; questions that say nothing are left out.
+
+    ``words``: glossary words (two letters or more) that lie in no longer one found there, in order, six at most. ``periods``: its first
+    two period phrases. ``files``: names (name) that hold a word of three letters or more, or the longest beginning of it that any name
+    holds; three names a word, five in all. Words and names meet in an equi-join of beginnings with the names' runs of letters."""
     words = glossary(questions.sparkSession).where(F.length("word") >= 2).groupBy("word").agg(F.min_by("standard", "priority").alias("standard"))
     hits = questions.join(F.broadcast(words), F.col("text").contains(F.col("word"))).groupBy("id").agg(F.collect_set("word").alias("w"))
     alone = F.filter("w", lambda a: ~F.exists("w", lambda b: (b != a) & b.contains(a)))
-    return hits.select("id", F.array_join(F.slice(F.array_sort(alone), 1, 6), ",").alias("words"))
+    found = hits.select("id", F.array_join(F.slice(F.array_sort(alone), 1, 6), ",").alias("words"))
+    periods = questions.select("id", F.array_join(F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit(PERIOD_PHRASE), F.lit(0)), 1, 2)), ",").alias("periods")).where("periods <> ''")
+    joined = found.join(periods, "id", "full_outer").join(mentioned_files(questions, names), "id", "full_outer")
+    return joined.select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("words", "periods", "files")))
+
+
+def mentioned_files(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, files) of questions that name files; see ``pre_lookup``."""
+    lengths = lambda least, most: F.explode(F.sequence(F.lit(least), most))
+    runs = names.select("name").distinct().where(F.length("name") >= SHORTEST_NAMED).select("name", lengths(1, F.length("name") - (SHORTEST_NAMED - 1)).alias("i")).select("name", "i", lengths(SHORTEST_NAMED, F.length("name") - F.col("i") + 1).alias("n")).select("name", F.expr("substr(name, i, n)").alias("run")).distinct()
+    # Three names are enough for a run; this limit is pushed below the shuffle.
+    few = runs.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("name"))).where(F.col("k") <= NAMES_A_WORD)
+    words = questions.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[가-힣A-Za-z0-9_]{%d,}" % SHORTEST_NAMED), F.lit(0))).alias("pos", "w"))
+    begun = words.select("id", "pos", "w", lengths(SHORTEST_NAMED, F.length("w")).alias("n")).select("id", "pos", "n", F.expr("left(w, n)").alias("run"))
+    hits = begun.join(few, "run")
+    longest = hits.groupBy("id", "pos").agg(F.max("n").alias("n"))
+    each = hits.join(longest, ["id", "pos", "n"]).groupBy("id", "name").agg(F.min(F.struct("pos", "k")).alias("o"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("k") <= MOST_MENTIONED, F.struct("o", "name"))))
+    ranked = each.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("o")))
+    return ranked.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ",").alias("files"))
 
 
 def standard_terms(columns: DataFrame) -> DataFrame:
-    """(name, standard) of columns that are a term's."""
+    """``columns`` (name and others) that are a term's, with the ``standard`` term; a column of two terms comes twice."""
     own = columns.sparkSession.createDataFrame([(c, term) for term, cs, _ in GLOSSARY for c in cs], "name string, standard string")
-    return columns.select("name").distinct().join(F.broadcast(own), "name")
+    return columns.join(F.broadcast(own), "name")
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:

@@ -83,9 +83,19 @@ def _(t):
     return B.same_data(pairs, _totals(t))
 
 
-@query("tie_primary", "fx_files", f"WITH {FACTS} SELECT family, path AS \"primary\" FROM (SELECT family, path, row_number() OVER (PARTITION BY family ORDER BY length(path), path) AS n FROM g WHERE fresh = 'ok') x WHERE n = 1")
+TIED = "tw AS (SELECT a.path, list_sort(list(DISTINCT b.path)) AS tw FROM g a JOIN g b ON a.family = b.family AND a.fresh = 'ok' AND b.fresh = 'ok' AND a.sha256 <> b.sha256 GROUP BY a.path), tp AS (SELECT path, list_sort(list_transform(list_concat([path], tw), lambda p: {'n': length(string_split(p, '/')[-1]), 'p': p}))[1].p AS prim, (length(path) + length(tw[1])) % 2 = 0 AS alike FROM tw)"
+
+
+def _primaries(t):
+    """Pairs are alike here if their paths' lengths add up to an even number; ``format_copy`` tells it from totals."""
+    ties = files(t).where("tie_with is not null").select("path", "tie_with")
+    first = ties.select(F.col("path").alias("a"), F.col("tie_with")[0].alias("b"))
+    return B.tie_primary(ties, first.withColumn("same_data", (F.length("a") + F.length("b")) % 2 == 0))
+
+
+@query("tie_primary", "fx_files", f"WITH {FACTS}, {TIED} SELECT path, prim AS \"primary\", path <> prim AND alike AS format_copy FROM tp")
 def _(t):
-    return B.tie_primary(files(t).where("fresh = 'ok'"))
+    return _primaries(t)
 
 
 COLUMNS = "SELECT concat(folder, '/', st) AS table_id, name FROM (SELECT DISTINCT folder, stem AS st, doc_id % 4 AS k FROM fx_files) x, (SELECT '금액' AS name, 0 AS z UNION ALL SELECT '거래처명', 1 UNION ALL SELECT '기말재고', 2 UNION ALL SELECT '월', 3) n WHERE k <> z"
@@ -97,16 +107,25 @@ def _columns(t):
     return tables.select(F.concat_ws("/", "folder", "stem").alias("table_id"), "k", F.explode(names).alias("x")).where("k <> x.z").select("table_id", "x.name")
 
 
-@query("catalog_search", "fx_files", f"WITH c AS ({COLUMNS}) SELECT 1 AS request_id, table_id FROM c GROUP BY table_id HAVING bool_or(contains(name, '금액')) AND bool_or(contains(name, '거래처') OR contains(name, '업체')) UNION ALL SELECT 2, table_id FROM c GROUP BY table_id HAVING bool_or(contains(name, '재고'))")
+TABLES = f"tb AS (SELECT table_id, path, {DEPT} AS dept, title FROM (SELECT concat(folder, '/', stem) AS table_id, concat(folder, '/', stem, '.xlsx') AS path, concat('Report ', CAST(2023 + min(doc_id % 4) % 2 AS VARCHAR(9))) AS title FROM fx_files GROUP BY folder, stem) y)"
+ASKED = {1: ("금액,거래처|업체", None, None, None), 2: ("재고", None, None, None), 3: ("월", 2024, "회계팀", None), 4: ("월", 2023, None, "memo1")}
+WANTED = {1: "bool_or(contains(name, '금액')) AND bool_or(contains(name, '거래처') OR contains(name, '업체'))", 2: "bool_or(contains(name, '재고'))", 3: "bool_or(contains(name, '월'))", 4: "bool_or(contains(name, '월'))"}
+
+
+@query("catalog_search", "fx_files", f"WITH c AS ({COLUMNS}), {TABLES}, m AS (" + " UNION ALL ".join(f"SELECT {k} AS request_id, table_id FROM c GROUP BY table_id HAVING {w}" for k, w in WANTED.items()) + ") SELECT request_id, table_id FROM m JOIN tb USING (table_id) WHERE request_id < 3 OR (request_id = 3 AND dept = '회계팀' AND contains(title, '2024')) OR (request_id = 4 AND contains(path, 'memo1') AND contains(title, '2023'))")
 def _(t):
-    names = F.when(F.col("r_regionkey") == 1, F.array(F.lit("금액"), F.lit("거래처|업체"))).otherwise(F.array(F.lit("재고")))
-    requests = t("region").where("r_regionkey in (1, 2)").select(F.col("r_regionkey").cast("int").alias("request_id"), names.alias("wants"))
-    return B.catalog_search(_columns(t), requests)
+    k = F.col("r_regionkey").cast("int")
+    pick = lambda i, kind: F.coalesce(*(F.when(k == n, F.lit(a[i])) for n, a in ASKED.items())).cast(kind)
+    requests = t("region").where(k.isin(*ASKED)).select(k.alias("request_id"), F.split(pick(0, "string"), ",").alias("wants"), pick(1, "int").alias("year"), pick(2, "string").alias("dept"), pick(3, "string").alias("file"))
+    path = F.concat("folder", F.lit("/"), "stem", F.lit(".xlsx"))
+    tables = t("fx_files").groupBy("folder", "stem").agg(F.min(F.col("doc_id") % 4).alias("k")).select(F.concat_ws("/", "folder", "stem").alias("table_id"), path.alias("path"), B.classify_department(path).alias("dept"), F.concat(F.lit("Report "), (2023 + F.col("k") % 2).cast("string")).alias("title"))
+    return B.catalog_search(_columns(t), requests, tables)
 
 
-@query("catalog_excluded", "fx_files", f"WITH {FACTS} SELECT request_id, path, reason FROM (SELECT dept AS request_id, path, CASE WHEN fresh = 'stale' THEN concat('newer: ', coalesce(first, '')) ELSE concat('copy of ', copy_of) END AS reason, row_number() OVER (PARTITION BY dept ORDER BY path) AS n FROM g WHERE fresh <> 'ok') x WHERE n <= 10")
+@query("catalog_excluded", "fx_files", f"WITH {FACTS}, {TIED} SELECT request_id, path, reason FROM (SELECT dept AS request_id, g.path, CASE WHEN fresh = 'stale' THEN concat('newer: ', coalesce(first, '')) WHEN fresh = 'copy' THEN concat('copy of ', copy_of) ELSE concat('same data in another format: ', string_split(prim, '/')[-1]) END AS reason, row_number() OVER (PARTITION BY dept ORDER BY g.path) AS n FROM g LEFT JOIN tp ON g.path = tp.path WHERE fresh <> 'ok' OR (g.path <> prim AND alike)) x WHERE n <= 10")
 def _(t):
-    return B.catalog_excluded(files(t).withColumn("request_id", F.col("dept")))
+    copies = _primaries(t).where("format_copy").select("path", F.col("primary").alias("format_of"))
+    return B.catalog_excluded(files(t).withColumn("request_id", F.col("dept")).join(copies, "path", "left"))
 
 
 @query("catalog_order", "fx_files", f"WITH {FACTS} SELECT request_id, path, place FROM (SELECT dept AS request_id, path, row_number() OVER (PARTITION BY dept ORDER BY contains(name, 'memo1'), data_date DESC, path) AS place FROM g) x WHERE place <= 12")

@@ -129,11 +129,6 @@ def _(t):
     return Q.quality_summary(rows, ["sheet"], ["name"], ["sheet", "p_partkey", "name"])
 
 
-@query("rule_registry", "", f"WITH {RULES} SELECT signal, severity, count(*) AS rules, min(title) AS first_title FROM rules, (SELECT 1 AS one FROM nation LIMIT 1) n GROUP BY signal, severity")
-def _(t):
-    return G.rule_registry(t("nation").sparkSession).groupBy("signal", "severity").agg(F.count("*").alias("rules"), F.min("title").alias("first_title"))
-
-
 FIRED = {
     "M1": "unregistered", "M2": "defaulted", "X1": "NOT compared", "X4": "compared AND rank_changed", "X3": "compared AND max_rel > 0.05 AND NOT rank_changed", "X2": "compared AND max_rel > 0.01 AND max_rel <= 0.05 AND NOT rank_changed",
     "X8": "compared AND max_rel > 0.01 AND NOT traced", "X7": "date_gap", "E3": "empty_result", "E4": "negative_sum", "N1": "bad_number", "S1": "NOT has_source",
@@ -142,6 +137,13 @@ FINDINGS = f"{RULES}, fired AS (" + " UNION ALL ".join(f"SELECT answer_id, '{r}'
 GRADE = "CASE min({}) WHEN 0 THEN '낮음' WHEN 1 THEN '보통' ELSE '높음' END".format
 
 
+@query("rule_registry", "fx_facts", f"WITH {FINDINGS} SELECT r.rule, r.signal, r.severity, r.title, r.action, count(answer_id) AS findings FROM rules r LEFT JOIN fired f ON r.rule = f.rule GROUP BY ALL")
+def _(t):
+    """Every registered rule and how many findings it has."""
+    fired = G.fact_rules(t("fx_facts")).where("rule is not null").groupBy("rule").agg(F.count("*").alias("findings"))
+    return G.rule_registry(t("fx_facts").sparkSession).join(fired, "rule", "left").select("rule", "signal", "severity", "title", "action", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
 @query("fact_rules", "fx_facts", f"WITH {FINDINGS} SELECT answer_id, rule FROM fired")
 def _(t):
     return G.fact_rules(t("fx_facts")).where("rule is not null")

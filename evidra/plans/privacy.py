@@ -20,7 +20,12 @@ def _(t):
     return P.mask_entities(texts, dictionary)
 
 
-@query("mask_patterns", "fx_texts", f"WITH {KINDS} SELECT id, regexp_replace(text, '\\S+@example\\.com', concat('{{이메일_', CAST(n AS VARCHAR(9)), '}}')) AS masked FROM fx_texts JOIN nm ON kind = '이메일' AND id % 6 = 0 AND value = concat('user', CAST(id % 17 AS VARCHAR(9)), '@example.com')".replace("{{", "{").replace("}}", "}"))
+def _swapped(text: str, pairs: str) -> str:
+    """SQL: ``text`` with every (x, y) of a list of structs put in turn."""
+    return f"list_reduce(list_concat([{text}], list_transform({pairs}, lambda p: concat(p.x, chr(1), p.y))), lambda a, b: replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2)))"
+
+
+@query("mask_patterns", "fx_texts", f"WITH {KINDS}, own AS (SELECT DISTINCT id, value FROM (SELECT id, unnest(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')) AS value FROM fx_texts UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b0\\d{{1,2}}-\\d{{3,4}}-\\d{{4}}\\b')) FROM fx_texts UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b\\d{{3}}-\\d{{2}}-\\d{{5}}\\b')) FROM fx_texts) x), pr AS (SELECT id, value AS x, concat('{{', kind, '_', CAST(n AS VARCHAR(9)), '}}') AS mark, row_number() OVER (PARTITION BY id ORDER BY length(value) DESC, value DESC, kind DESC) AS k FROM own JOIN nm USING (value)), e AS (SELECT id, list({{'x': x, 'y': concat(chr(57344), CAST(k AS VARCHAR(9)), chr(57345))}} ORDER BY k) AS first, list({{'x': concat(chr(57344), CAST(k AS VARCHAR(9)), chr(57345)), 'y': mark}} ORDER BY k) AS then FROM pr GROUP BY id) SELECT f.id, CASE WHEN e.id IS NULL THEN text ELSE {_swapped(_swapped('text', 'e.first'), 'e.then')} END AS masked FROM fx_texts f LEFT JOIN e ON f.id = e.id")
 def _(t):
     return P.mask_patterns(t("fx_texts")).select("id", "masked")
 
@@ -39,7 +44,8 @@ def _(t):
 @query("egress_guard", "", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'forbidden_field' WHEN event_id % 90 > 60 THEN 'list_too_long' WHEN event_id % 500 = 1 THEN 'too_large' ELSE 'ok' END AS verdict FROM events")
 def _(t):
     k = F.col("event_id")
-    items = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(k % 90, F.lit(1))), lambda i: i.cast("string")), ",")
+    one = lambda i: F.when(k % 2 == 0, i.cast("string")).otherwise(F.concat(F.lit('{"a":[1,[2]],"b":"],["}')))
+    items = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(k % 90, F.lit(1))), one), ",")
     key = F.when(k % 13 == 0, '"raw_rows":0,').otherwise("")
     pad = F.when(k % 500 == 1, F.repeat(F.lit("x"), 120_001)).otherwise("")
     return t("events").select("event_id", P.egress_guard(F.concat(F.lit("{"), key, F.lit('"v":['), items, F.lit('],"t":"'), pad, F.lit('"}'))).alias("verdict"))

@@ -7,6 +7,7 @@ from evidra.operators import confidence as G
 from evidra.operators import reconcile as R
 from evidra.operators.aggregate import Condition as C
 from evidra.operators.aggregate import Metric as M
+from evidra.operators.aggregate import exact_sum
 from evidra.plans.aggregation import SUM
 from evidra.plans.base import query
 
@@ -73,14 +74,16 @@ def _(t):
     return named.select("table_a", "table_b", R.related("ma", "mb").alias("related"))
 
 
-@query("min_rank_items", "", "SELECT c_mktsegment, count(*) AS items, count(*) >= 3 AS rankable FROM customer WHERE c_acctbal > 9000 GROUP BY c_mktsegment")
+@query("min_rank_items", "", "SELECT c_mktsegment, count(*) AS items, count(*) >= 3 AS rankable FROM customer GROUP BY c_mktsegment")
 def _(t):
-    return R.min_rank_items(t("customer").where("c_acctbal > 9000"), ("c_mktsegment",))
+    return R.min_rank_items(t("customer"), ("c_mktsegment",))
 
 
-@query("cross_summary", "fx_summary", f"WITH {SIDES} SELECT bool_and(same) AS matched, bool_or(rank_a <> rank_b) AS rank_changed, max(relative) AS max_rel FROM r")
+@query("cross_summary", "fx_summary", f"WITH {SIDES} SELECT bool_and(same) AS matched, bool_or(rank_a <> rank_b) AS rank_changed, max(relative) AS max_rel, (SELECT CASE WHEN a <> b THEN concat('summary ', CAST(a AS VARCHAR), ' vs ledger ', CAST(b AS VARCHAR)) END FROM (SELECT max(sale_date) AS a FROM fx_summary) x, (SELECT max(sale_date) AS b FROM fx_ledger WHERE sale_date BETWEEN DATE '1997-07-01' AND DATE '1997-09-30') y) AS date_gap FROM r")
 def _(t):
-    return R.cross_summary(R.rank_change(_compared(t), "team"))
+    days = t("fx_summary").agg(F.max("sale_date").alias("day_a")).crossJoin(_quarter(t).agg(F.max("sale_date").alias("day_b")))  # one row
+    ranked = R.rank_change(_compared(t), "team").crossJoin(F.broadcast(days))
+    return R.cross_summary(ranked, gap=R.date_gap(F.lit("summary"), F.col("day_a"), F.lit("ledger"), F.col("day_b")))
 
 
 LATE = f"SELECT team, count(*) AS late_count, {SUM('amount')} AS late_sum, min(sale_date) AS first_day, max(sale_date) AS last_day FROM fx_ledger WHERE sale_date > DATE '{CUT}' AND sale_date <= DATE '1997-09-30' GROUP BY"
@@ -105,11 +108,16 @@ def _(t):
     return R.number_check(answers, values)
 
 
-@query("period_claim", "", "SELECT o_custkey AS answer_id FROM (SELECT o_custkey, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY o_custkey) g WHERE CAST(lo AS DATE) < DATE '1995-06-01' OR CAST(hi AS DATE) > DATE '2001-03-01'")
+@query("period_claim", "", "SELECT o_custkey AS answer_id FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders WHERE o_orderdate >= DATE '1995-06-15' AND o_orderdate <= DATE '1995-10-15' GROUP BY o_custkey) g WHERE (lo < DATE '1995-07-01' OR hi > DATE '1995-09-30') AND o_custkey % 4 = 0")
 def _(t):
-    ranges = t("orders").groupBy(F.col("o_custkey").alias("answer_id")).agg(F.min("o_orderdate").cast("date").alias("low"), F.max("o_orderdate").cast("date").alias("high"))
-    claims = t("customer").select(F.col("c_custkey").alias("answer_id"), F.lit("1995-06-01").cast("date").alias("start"), F.lit("2001-03-01").cast("date").alias("end"))
-    return R.period_claim(claims, ranges)
+    """Every fourth answer names one period and quotes its figure; the others name two, none, or quote another figure."""
+    some = t("orders").where("o_orderdate >= '1995-06-15' and o_orderdate <= '1995-10-15'").groupBy(F.col("o_custkey").alias("answer_id")).agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"), exact_sum(F.col("o_totalprice")).alias("v"))
+    shown = A.display_value(F.col("v") + 1, F.lit(True))
+    k = F.col("answer_id") % 4
+    period = F.when(k == 1, "1995년 3분기와 하반기").when(k == 2, "1995년 매출").otherwise("1995년 3분기 (9월 30일 기준)")
+    answers = some.select("answer_id", F.concat(period, F.lit(" 매출은 "), F.when(k == 3, F.lit("0.5%")).otherwise(shown), F.lit(" 입니다")).alias("text"))
+    queries = some.select("answer_id", F.array(shown).alias("shown"), "start", "end", F.lit(None).cast("array<string>").alias("months"))
+    return R.period_claim(answers, queries, F.lit(1995))
 
 
 @query("flagship_reconcile", "fx_summary", f"WITH {SIDES}, late AS ({LATE} team), f AS (SELECT max(relative) AS max_rel, bool_or(rank_a <> rank_b) AS changed, bool_and(same) AS matched FROM r) SELECT r.team, value_a, value_b, relative, rank_a, rank_b, rank_a <> rank_b AS rank_changed, coalesce(late_count, 0) AS late_count, coalesce(late_sum, 0) AS late_sum, CASE WHEN f.changed OR (NOT f.matched AND f.max_rel > 0.05) THEN '낮음' WHEN NOT f.matched THEN '보통' ELSE '높음' END AS grade FROM r LEFT JOIN late USING (team) CROSS JOIN f")

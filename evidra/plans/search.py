@@ -25,7 +25,7 @@ def _(t):
     return index(t)
 
 
-@query("normalize_value", "", "SELECT doc_id, lower(regexp_replace(trim(concat('  ', substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40), '   X ')), '\\s+', ' ', 'g')) AS norm FROM documents")
+@query("normalize_value", "", "SELECT doc_id, lower(regexp_replace(trim(concat('  ', regexp_replace(text, '[^ -~]', '', 'g'), '   X ')), '\\s+', ' ', 'g')) AS norm FROM documents")
 def _(t):
     return t("documents").select("doc_id", S.normalize_value(F.concat(F.lit("  "), F.regexp_replace("text", "[^ -~]", ""), F.lit("   X "))).alias("norm"))
 
@@ -89,11 +89,11 @@ def _(t):
 
 
 WORDS = ("실적", "공급가액", "업체명", "재고수량", "모름", "팀", "금액 ", "채권")
-ASKED = "q AS (SELECT n_nationkey AS term_id, CASE n_nationkey % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS)) + " END AS term FROM nation)"
+ASKED = "q AS (SELECT conv_id * 100 + turn AS term_id, CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS)) + " END AS term FROM conversations)"
 
 
 def _asked(t):
-    return t("nation").select(F.col("n_nationkey").alias("term_id"), F.element_at(F.array(*map(F.lit, WORDS)), (F.col("n_nationkey") % 8 + 1).cast("int")).alias("term"))
+    return t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("term_id"), F.element_at(F.array(*map(F.lit, WORDS)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int")).alias("term"))
 
 
 HIT = {w.strip(): next(((g, t) for t, cs, ss in T.GLOSSARY for g, ws in (("정확", (t, *cs)),) if w.strip() in ws), next((("동의어", t) for t, _, ss in T.GLOSSARY if w.strip() in ss), ("미등록", None))) for w in WORDS}
@@ -104,14 +104,18 @@ def _(t):
     return T.match_terms(_asked(t))
 
 
-GUESSED = "('매출실적'), ('재고수량표'), ('팀'), ('기말재고')"
+NAMED = ("매출실적", "재고수량표", "팀", "기말재고", "금액", "업체명", "입고수량", "비고")
+#: A listing of columns: each brand's table has those that its parts' sizes stand for.
+LISTED = "v AS (SELECT DISTINCT p_brand AS table_id, CASE p_size % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(NAMED)) + " END AS name FROM part)"
 
 
-@query("guess_columns", "", f"WITH {ASKED} SELECT term_id, array_to_string(list_sort(list(DISTINCT name))[1:6], ',') AS guesses FROM q JOIN (VALUES {GUESSED}) AS v(name) ON contains(name, term) OR contains(term, name) GROUP BY term_id")
+def _listed(t):
+    return t("part").select(F.col("p_brand").alias("table_id"), F.element_at(F.array(*map(F.lit, NAMED)), (F.col("p_size") % 8 + 1).cast("int")).alias("name")).distinct()
+
+
+@query("guess_columns", "", f"WITH {ASKED}, {LISTED} SELECT term_id, array_to_string(list_sort(list(DISTINCT name))[1:6], ',') AS guesses FROM q JOIN v ON contains(name, term) OR contains(term, name) GROUP BY term_id")
 def _(t):
-    asked = _asked(t)
-    columns = asked.limit(1).select(F.explode(F.array(*map(F.lit, ("매출실적", "재고수량표", "팀", "기말재고")))).alias("name"))
-    return T.guess_columns(asked, columns)
+    return T.guess_columns(_asked(t), _listed(t))
 
 
 @query("term_fallback", "", "SELECT c_custkey AS term_id, term, CASE WHEN c_custkey % 3 = 0 THEN 'value' WHEN c_custkey % 3 = 1 THEN 'file' ELSE 'unknown' END AS found_as FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'memo' ELSE 'zzz' END AS term FROM customer) x")
@@ -125,21 +129,31 @@ PERIODS = ("3분기 매출", "2023년 상반기", "9월 실적", "2022년 전체
 RANGES = {0: ("3분기", None, 7, 9), 1: ("상반기", 2023, 1, 6), 2: ("9월", None, 9, 9), 3: ("연간", 2022, 1, 12), 5: ("하반기", None, 7, 12), 6: ("4분기", 2021, 10, 12)}
 
 
-@query("parse_period", "", "SELECT n_nationkey, text, year, make_date(year, lo, 1) AS start, last_day(make_date(year, hi, 1)) AS end, defaulted AS year_defaulted FROM (SELECT n_nationkey, l AS text, CAST(coalesce(y, 2024) AS BIGINT) AS year, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, y IS NULL AS defaulted FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{l}', {y or 'NULL'}, {a}, {b})" for k, (l, y, a, b) in RANGES.items()) + ") AS v(k, l, y, lo, hi) ON n_nationkey % 7 = k) x", dates="start end")
+@query("parse_period", "", "SELECT id, text, year, make_date(year, lo, 1) AS start, last_day(make_date(year, hi, 1)) AS end, array_to_string(list_transform(range(lo, hi + 1), lambda m: concat(CAST(m AS VARCHAR), '월')), ',') AS months, defaulted AS year_defaulted FROM (SELECT conv_id * 100 + turn AS id, l AS text, CAST(coalesce(y, 2024) AS BIGINT) AS year, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, y IS NULL AS defaulted FROM conversations JOIN (VALUES " + ", ".join(f"({k}, '{l}', {y or 'NULL'}, {a}, {b})" for k, (l, y, a, b) in RANGES.items()) + ") AS v(k, l, y, lo, hi) ON (conv_id + turn) % 7 = k) x", dates="start end")
 def _(t):
-    asked = t("nation").select("n_nationkey", F.element_at(F.array(*map(F.lit, PERIODS)), (F.col("n_nationkey") % 7 + 1).cast("int")).alias("q"))
-    return asked.select("n_nationkey", T.parse_period(F.col("q"), F.lit(2024)).alias("p")).where("p is not null").select("n_nationkey", "p.*")
+    asked = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.element_at(F.array(*map(F.lit, PERIODS)), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int")).alias("q"))
+    return asked.select("id", T.parse_period(F.col("q"), F.lit(2024)).alias("p")).where("p is not null").select("id", "p.*").withColumn("months", F.array_join("months", ","))
+
+
+NAME_RUNS = "nr AS (SELECT DISTINCT name, substr(name, i, n) AS run FROM (SELECT DISTINCT name FROM fx_files) f, range(1, 40) a(i), range(3, 40) b(n) WHERE i + n - 1 <= length(name))"
 
 
-@query("pre_lookup", "", "SELECT conv_id * 100 + turn AS id, CASE turn % 3 WHEN 0 THEN '기말재고,팀명' ELSE '매출실적' END AS words FROM conversations WHERE turn % 3 < 2")
+@query("pre_lookup", "fx_files", f"""WITH q AS (SELECT conv_id * 100 + turn AS id, turn % 3 AS k, concat(text, CASE turn % 3 WHEN 0 THEN ' 팀명 기말재고 2023년 3분기 9월 하반기 memo3에서 ' WHEN 1 THEN ' 매출실적 ' ELSE '' END) AS text FROM conversations), {NAME_RUNS},
+tk AS (SELECT id, pos, toks[pos] AS tok FROM (SELECT id, regexp_extract_all(text, '[가-힣A-Za-z0-9_]{{3,}}') AS toks FROM q) x, unnest(range(1, len(toks) + 1)) p(pos)),
+pf AS (SELECT id, pos, n, substr(tok, 1, n) AS run FROM tk, range(3, 40) b(n) WHERE n <= length(tok)),
+lg AS (SELECT id, pos, max(n) AS n FROM pf WHERE run IN (SELECT run FROM nr) GROUP BY id, pos),
+nm AS (SELECT pf.id, pf.pos, nr.name, row_number() OVER (PARTITION BY pf.id, pf.pos ORDER BY nr.name) AS k FROM lg JOIN pf ON lg.id = pf.id AND lg.pos = pf.pos AND lg.n = pf.n JOIN nr ON nr.run = pf.run),
+ff AS (SELECT id, name, min(pos * 10 + k) AS o FROM nm WHERE k <= 3 GROUP BY id, name),
+fl AS (SELECT id, array_to_string(list(name ORDER BY o)[1:5], ',') AS files FROM ff GROUP BY id)
+SELECT q.id, CASE k WHEN 0 THEN '기말재고,팀명' WHEN 1 THEN '매출실적' ELSE '' END AS words, CASE k WHEN 0 THEN '2023년 3분기,9월' ELSE '' END AS periods, coalesce(files, '') AS files FROM q LEFT JOIN fl ON q.id = fl.id WHERE k < 2 OR files IS NOT NULL""")
 def _(t):
-    extra = F.when(F.col("turn") % 3 == 0, " 팀명 기말재고 ").when(F.col("turn") % 3 == 1, " 매출실적 ").otherwise("")
-    return T.pre_lookup(t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("text", extra).alias("text")))
+    extra = F.when(F.col("turn") % 3 == 0, " 팀명 기말재고 2023년 3분기 9월 하반기 memo3에서 ").when(F.col("turn") % 3 == 1, " 매출실적 ").otherwise("")
+    return T.pre_lookup(t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat("text", extra).alias("text")), t("fx_files").select("name"))
 
 
-@query("standard_terms", "", "SELECT name, standard FROM (VALUES ('금액', '매출실적'), ('업체명', '거래처'), ('입고수량', '수량'), ('입고수량', '입고')) AS v(name, standard), (SELECT 1 AS one FROM region LIMIT 1) r")
+@query("standard_terms", "", f"WITH {LISTED} SELECT table_id, v.name, standard FROM v JOIN (VALUES ('매출실적', '매출실적'), ('기말재고', '재고'), ('금액', '매출실적'), ('업체명', '거래처'), ('입고수량', '수량'), ('입고수량', '입고')) AS s(name, standard) ON v.name = s.name")
 def _(t):
-    return T.standard_terms(t("region").limit(1).select(F.explode(F.array(*map(F.lit, ("금액", "업체명", "입고수량", "비고")))).alias("name")))
+    return T.standard_terms(_listed(t))
 
 
 QUESTIONS = ("???", "furniture 합", "오늘 날씨 어때", "그럼", "매출 알려줘", "xyz qqq", "농담 해줘")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,24 @@ def skip_reason(name: Column, size: Column, link: Column | None = None) -> Colum
     return F.when(name.startswith("~$") | name.startswith(".~lock."), "lock").when(F.lower(name).endswith(".xls"), "legacy").when(linked, "symlink").when(size > MOST_BYTES, "too_large")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, name, folder, size, mtime, skip_reason of the workbooks below ``root``; contents aren't read."""
+def symbolic_links(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the files below ``root`` that are links. Only local folders have any; links to folders aren't followed."""
+    local = root.removeprefix("file://") if "://" not in root or root.startswith("file://") else None
+    found = [("file:" + os.path.join(folder, name),) for folder, _, names in os.walk(local) for name in names if os.path.islink(os.path.join(folder, name))] if local else []
+    return spark.createDataFrame(found, "path string")
+
+
+def list_files(spark: SparkSession, root: str, most: int = MOST_FILES) -> DataFrame:
+    """path, name, folder, size, mtime, skip_reason of the workbooks below ``root``; contents aren't read. Beyond the first ``most`` readable
+    ones, by path, files are listed as ``too_many``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     named = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
     kept = named.where(~F.col("name").startswith("._") & F.lower("name").rlike(r"\.(xlsx|xlsm|xls)#?$"))
-    return kept.withColumn("skip_reason", skip_reason(F.col("name"), F.col("size"))).orderBy("path").limit(MOST_FILES)
+    linked = kept.join(symbolic_links(spark, root).withColumn("link", F.lit(True)), "path", "left")
+    judged = linked.withColumn("skip_reason", skip_reason(F.col("name"), F.col("size"), F.coalesce("link", F.lit(False)))).drop("link")
+    last = judged.where("skip_reason is null").orderBy("path").limit(most).agg(F.count("*").alias("n"), F.max("path").alias("last"))
+    beyond = F.col("skip_reason").isNull() & (F.col("n") >= most) & (F.col("path") > F.col("last"))
+    return judged.crossJoin(F.broadcast(last)).withColumn("skip_reason", F.when(beyond, "too_many").otherwise(F.col("skip_reason"))).drop("n", "last")  # one row
 
 
 def fingerprint(spark: SparkSession, root: str) -> DataFrame:

@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _files(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, root: str, company_key: str) -> list[tuple[str, bool]]:
+    """Names of a company's versions in order, and whether they are complete."""
+    top = f"{root}/_versions/{company_key}"
+    files, path = _files(spark, top)
+    if not files.exists(path(top)):
+        return []
+    names = sorted(x.getPath().getName() for x in files.listStatus(path(top)))
+    return [(n, files.exists(path(f"{top}/{n}/_COMPLETE"))) for n in names]
+
+
 def write_tables(tables: dict[str, DataFrame], root: str, company_key: str) -> None:
-    """Write each table's partition of one company. All go to a staging folder first, so a failure there leaves nothing behind; then
-    each is read back and replaces the company's partition only."""
+    """Write all tables of one company as a new version. It counts from the moment its mark is there, which is one file made last: a
+    failure before leaves the version before in place, for all tables. Older and broken versions are deleted then."""
     spark = next(iter(tables.values())).sparkSession
-    staging = f"{root}/_staging/{company_key}"
+    known = _versions(spark, root, company_key)
+    top = f"{root}/_versions/{company_key}"
+    version = f"{max((int(n.split('-')[0]) for n, _ in known), default=0) + 1:010d}-{uuid4().hex[:8]}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{staging}/{name}")
-    for name in tables:
-        done = spark.read.parquet(f"{staging}/{name}").withColumn("company_key", F.lit(company_key))
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_key").parquet(f"{root}/{name}")
+        df.write.parquet(f"{top}/{version}/{name}")
+    files, path = _files(spark, top)
+    files.create(path(f"{top}/{version}/_COMPLETE")).close()
+    for name, _ in known:
+        files.delete(path(f"{top}/{name}"), True)
 
 
 def read_table(spark: SparkSession, root: str, name: str, company_key: str) -> DataFrame:
+    """A table of a company: of its latest complete version, or else its history (see ``append_rows``)."""
+    done = [n for n, complete in _versions(spark, root, company_key) if complete]
+    folder = f"{root}/_versions/{company_key}/{done[-1]}/{name}" if done else None
+    if folder:
+        files, path = _files(spark, folder)
+        if files.exists(path(folder)):
+            return spark.read.parquet(folder)
     return spark.read.parquet(f"{root}/{name}").where(F.col("company_key") == company_key).drop("company_key")
 
 

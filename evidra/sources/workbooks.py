@@ -1,7 +1,8 @@
 """Workbooks as cells: each file's bytes are decoded in the task that reads it, with the standard library only.
 
 A workbook is a zip of XML parts. Cached values are read; formulas without one are counted. A file that can't be decoded, or that
-unpacks to more than ``MOST_UNPACKED`` bytes, gives a fact row with an error and no cells.
+unpacks to more than ``MOST_UNPACKED`` bytes, gives a fact row with an error; of a file that breaks off, only files without an error
+count, so its cells up to there are left out by ``read_cells``.
 """
 
 from __future__ import annotations
@@ -17,12 +18,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_UNPACKED = 600 * 1024 * 1024
+MOST_UNPACKED, CELLS_A_BATCH = 600 * 1024 * 1024, 50_000
 CELLS = "path string, sheet string, sheet_index int, hidden boolean, row_no long, col_no long, kind string, v_text string, v_num double, unpacked long, uncached long, error string"
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}  # fixed value: built-in number formats of days and times
 _tag = re.compile(r"\{.*?\}")
 
 
+def _cells_of(book: zipfile.ZipFile, name: str, names: set[str]) -> Iterator[ElementTree.Element]:
+    """Cell elements of a sheet, read as a stream; each row's elements are freed behind it."""
+    if name not in names:
+        return
+    with book.open(name) as part:
+        for _, node in ElementTree.iterparse(part):
+            kind = _tag.sub("", node.tag)
+            if kind == "c":
+                yield node
+            if kind == "row":
+                node.clear()
+
+
 def _parts(raw: bytes) -> Iterator[tuple]:
     """Rows (sheet, index, hidden, row, column, kind, text, number, uncached formula) of a workbook."""
     book = zipfile.ZipFile(io.BytesIO(raw))
@@ -42,7 +56,7 @@ def _parts(raw: bytes) -> Iterator[tuple]:
     for index, sheet in enumerate(kids(xml("xl/workbook.xml"), "sheet")):
         link = next((v for k, v in sheet.attrib.items() if _tag.sub("", k) == "id"), None)
         hidden = sheet.get("state", "visible") != "visible"
-        for c in kids(xml(f"xl/{targets.get(link)}"), "c"):
+        for c in _cells_of(book, f"xl/{targets.get(link)}", names):
             letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
             column = 0
             for x in letters:
@@ -77,14 +91,21 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in CELLS.split(", ")]
     for batch in batches:
         for path, raw in zip(batch["path"], batch["content"]):
+            fact, some, uncached = (None, None, None), [], 0
             try:
-                cells = list(_parts(bytes(raw)))
-                fact = (sum(i.file_size for i in zipfile.ZipFile(io.BytesIO(bytes(raw))).infolist()), sum(c[-1] for c in cells), None)
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as book:
+                    unpacked = sum(i.file_size for i in book.infolist())
+                for c in _parts(bytes(raw)):
+                    uncached += c[-1]
+                    if c[5] is not None:
+                        some.append((path, *c[:-1], None, None, None))
+                    if len(some) == CELLS_A_BATCH:
+                        yield pd.DataFrame(some, columns=names)
+                        some = []
+                fact = (unpacked, uncached, None)
             except Exception as problem:  # a broken file is a fact about that file
-                cells, fact = [], (None, None, f"{type(problem).__name__}: {problem}")
-            rows = [(path, *c[:-1], None, None, None) for c in cells if c[5] is not None]
-            rows.append((path, None, None, None, None, None, "file", None, None, *fact))
-            yield pd.DataFrame(rows, columns=names)
+                fact = (None, None, f"{type(problem).__name__}: {problem}")
+            yield pd.DataFrame([*some, (path, None, None, None, None, None, "file", None, None, *fact)], columns=names)
 
 
 def read_cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -92,5 +113,6 @@ def read_cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     formulas without a stored value, and error. One file is one row, decoded where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xls[xm]").load(root).where(~F.col("path").rlike(r"/(~\$|\._)[^/]*$"))
     rows = files.select("path", "content").mapInPandas(_decoded, CELLS)
+    facts = rows.where("kind = 'file'").select("path", "unpacked", "uncached", "error")
     cells = rows.where("kind <> 'file'").drop("unpacked", "uncached", "error")
-    return cells, rows.where("kind = 'file'").select("path", "unpacked", "uncached", "error")
+    return cells.join(F.broadcast(facts.where("error is not null").select("path")), "path", "left_anti"), facts

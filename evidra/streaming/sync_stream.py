@@ -25,11 +25,14 @@ def _step(state: str, changes: str):
 def _last(spark: SparkSession, state: str, scan_id: str, like: DataFrame) -> DataFrame:
     """The snapshot of the latest scan before this one; none at first."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
         return like.limit(0)
-    past = spark.read.option("basePath", state).schema("path string, sha256 string, scan_id string").parquet(state).where(F.col("scan_id") < scan_id)
-    latest = past.agg(F.max("scan_id")).first()[0]
-    return like.limit(0) if latest is None else past.where(F.col("scan_id") == latest).select("path", "sha256")
+    # Folders are named by scan and complete if they have Spark's mark; no past state is read to find the latest.
+    past = [x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith("scan_id=")]
+    done = [p for p in past if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    latest = max((name for p in done if (name := p.getName().removeprefix("scan_id=")) < scan_id), default=None)
+    return like.limit(0) if latest is None else spark.read.schema("path string, sha256 string").parquet(f"{state}/scan_id={latest}")
 
 
 def sync_stream(scans: DataFrame, state: str, changes: str, checkpoint: str) -> StreamingQuery:

@@ -179,3 +179,50 @@ def test_contains_join_both_ways(spark):
     needles = spark.createDataFrame([("abc",), ("a",), ("ef",), ("abcdef",), ("",), (None,)], "needle string")
     got = [{(r["id"], r["needle"]) for r in contains_join(texts, "text", needles, "needle", most).collect()} for most in (100, 0)]
     assert got[0] == got[1] == {(1, "abc"), (1, "a"), (1, "ef"), (1, "abcdef"), (2, "a"), (5, "abc"), (5, "a")}
+
+
+def test_ranges_number_all_rows(spark, monkeypatch):
+    from evidra.functions import ranges
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    df = spark.range(700).selectExpr("concat('name', lpad(cast(id as string), 5, '0')) as v", "cast(id % 3 as int) as g", "id as n")
+    got = ranges.numbered(df, ["g"], "v").collect()
+    assert all(r["number"] == r["n"] // 3 + 1 for r in got) and len(got) == 700
+    assert all(r["so_far"] == r["n"] * (r["n"] + 1) // 2 for r in ranges.running_sum(df, "v", "n").collect())
+    assert ranges.numbered(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_nested_payloads(spark):
+    inner, text = '{"a": [1, [2]]}', '"say \\"raw\\": [1,2]"'
+    rows = [
+        (0, '{"v": [' + ", ".join([inner] * 61) + "]}", "list_too_long"), (1, '{"v": [' + ", ".join([inner] * 60) + "]}", "ok"), (2, '{"a": {"b": [{"\\u0072aw" : 1}]}}', "forbidden_field"),
+        (3, '{"t": ' + text + "}", "ok"), (4, '["' + "," * 200 + '"]', "ok"), (5, "[[" + "1," * 60 + "1], [ ]]", "list_too_long"), (6, "[]", "ok"), (7, "[" * 40 + "]" * 40, "ok"),
+    ]
+    df = spark.createDataFrame(rows, "i int, v string, want string").select("want", P.egress_guard(F.col("v")).alias("got"))
+    assert all(r["want"] == r["got"] for r in df.collect()), df.collect()
+
+
+def test_period_claims(spark):
+    texts = ["2024년 3분기 매출은 3.02억", "3분기와 4분기 매출 3.02억", "3분기 매출 4억", "9월 30일 기준 3분기 매출 3.02 억", "매출 3.02억", "3분기 3.02억"]
+    answers = spark.createDataFrame(list(enumerate(texts)), "answer_id int, text string")
+    spans = [("2024-01-01", "2024-09-30", None)] * 4 + [("2024-01-01", "2024-09-30", None), ("2024-07-01", "2024-09-30", None)]
+    queries = spark.createDataFrame([(i, ["3.02억"], a, b, m) for i, (a, b, m) in enumerate(spans)], "answer_id int, shown array<string>, start string, end string, months array<string>").selectExpr("answer_id", "shown", "cast(start as date) as start", "cast(end as date) as end", "months")
+    assert sorted(r[0] for r in R.period_claim(answers, queries, F.lit(2024)).collect()) == [0, 3]
+    by_month = queries.where("answer_id = 5").withColumn("months", F.array(F.lit("7월"), F.lit("10월")))
+    assert [r[0] for r in R.period_claim(answers, by_month, F.lit(2024)).collect()] == [5]
+
+
+def test_primary_of_ties(spark):
+    from evidra.operators import catalog as B
+
+    files = spark.createDataFrame([("long/folder/b.xlsx", ["x/bb.xlsx"]), ("x/bb.xlsx", ["long/folder/b.xlsx"]), ("x/c.xlsx", ["y/c2.xlsx"]), ("y/c2.xlsx", ["x/c.xlsx"])], "path string, tie_with array<string>")
+    same = spark.createDataFrame([("x/bb.xlsx", "long/folder/b.xlsx", True), ("y/c2.xlsx", "x/c.xlsx", False)], "a string, b string, same_data boolean")
+    got = {r["path"]: (r["primary"], r["format_copy"]) for r in B.tie_primary(files, same).collect()}
+    assert got == {"long/folder/b.xlsx": ("long/folder/b.xlsx", False), "x/bb.xlsx": ("long/folder/b.xlsx", True), "x/c.xlsx": ("x/c.xlsx", False), "y/c2.xlsx": ("x/c.xlsx", False)}
+
+
+def test_files_named_in_questions(spark):
+    names = spark.createDataFrame([("계약현황_2024.xlsx",), ("재고.xlsx",), ("계약현황_old.xlsx",)], "name string")
+    q = spark.createDataFrame([(1, "계약현황에서 2024년 3분기 매출"), (2, "아무것도"), (3, "3월")], "id int, text string")
+    got = {r["id"]: (r["words"], r["periods"], r["files"]) for r in T.pre_lookup(q, names).collect()}
+    assert got == {1: ("매출", "2024년 3분기", "계약현황_2024.xlsx,계약현황_old.xlsx"), 3: ("", "3월", "")}

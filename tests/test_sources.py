@@ -51,6 +51,29 @@ def test_listing(spark, tmp_path):
     assert len({r["sha256"] for r in listing.fingerprint(spark, str(tmp_path)).collect()}) == 1
 
 
+def test_links_and_many_files(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"f{k}.xlsx").write_bytes(b"x")
+    (tmp_path / "link.xlsx").symlink_to(tmp_path / "f0.xlsx")
+    got = {r["name"]: r["skip_reason"] for r in listing.list_files(spark, str(tmp_path), 3).collect()}
+    assert got == {"f0.xlsx": None, "f1.xlsx": None, "f2.xlsx": None, "f3.xlsx": "too_many", "f4.xlsx": "too_many", "link.xlsx": "symlink"}
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "db")
+    one, two = (spark.createDataFrame([(x,)], "a int") for x in (1, 2))
+    tables.write_tables({"files": one, "sheets": one}, root, "k")
+    broken = two.select(F.raise_error(F.lit("stop")).cast("int").alias("a"))
+    try:
+        tables.write_tables({"files": two, "sheets": broken}, root, "k")
+        raise AssertionError
+    except Exception as problem:
+        assert not isinstance(problem, AssertionError)
+    assert [tables.read_table(spark, root, n, "k").first()["a"] for n in ("files", "sheets")] == [1, 1]
+    tables.write_tables({"files": two, "sheets": two}, root, "k")
+    assert tables.read_table(spark, root, "sheets", "k").first()["a"] == 2 and len(list((tmp_path / "db/_versions/k").glob("0*"))) == 1
+
+
 def test_sinks(spark, tmp_path):
     root = str(tmp_path / "db")
     df = spark.createDataFrame([(1, "x")], "a int, b string")
