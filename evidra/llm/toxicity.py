@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,15 +230,18 @@ def cover(features: np.ndarray, docs: np.ndarray, n_docs: int, worth: np.ndarray
     return np.array(kept, np.int64)
 
 
-def _tagged(lexicon: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each text, the hash of every word, and whether it has a kept feature in a toxic text."""
+def _tagged(lexicon: np.ndarray, known: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The training runs of each text: places of their words among all known ones, and whether a word has a kept feature in a toxic
+    text. A run is a row, so that no row grows with its text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in rows_in_chunks(batches, "_text"):
             hashes, text, _, _ = tokens(texts)
             tags = np.isin(hashes, lexicon).any(1) & (rows.column(1).to_numpy(zero_copy_only=False)[text] == 1)
-            at = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(hashes[:, 0].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(tags.astype(np.int8)))], ["words", "tags"])
+            words = np.searchsorted(known.value, hashes[:, 0].view(np.int64))
+            places, marks = training_runs(words, tags, np.searchsorted(text, np.arange(len(texts) + 1)))
+            at = pa.array(np.arange(0, places.size + 1, WINDOW).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (places, marks)], ["places", "tags"])
 
     return run
 
@@ -275,7 +279,7 @@ def _evidence(chain: Chain) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, fold: int = 1, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit on a bounded sample of labelled rows. Counts are Spark aggregations; candidate features, the sample's words as numbers and
+    """Fit on a bounded sample of labelled rows. Counts are Spark aggregations; candidate features, the sample's runs as numbers of words and
     a few figures a document come to the driver, as Arrow columns (no row objects)."""
     sample = checkpointed(labelled_sample(docs, labels, label, folds, fold, limit, id_col, text_col).groupBy("_text").agg(F.max("y").alias("y")))
     none = Chain(np.zeros(BUCKETS), -30.0, np.zeros((2, 2)), np.array([0.0] * (EVIDENCE - 1) + [-30.0]))
@@ -292,12 +296,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     holding = sample.where("y = 1").mapInArrow(_holding(names.view(np.uint64)), "features array<long>").toArrow()["features"].combine_chunks()
     held = np.searchsorted(names, holding.flatten().to_numpy())
     lexicon = names[cover(held, np.repeat(np.arange(len(holding)), np.diff(holding.offsets.to_numpy())), len(holding), worth)].view(np.uint64)
-    tagged = sample.mapInArrow(_tagged(lexicon), "words array<long>, tags array<tinyint>").orderBy(F.xxhash64("words"), F.size("words")).toArrow()  # tasks end in any order
     words = sample.mapInArrow(_vocabulary, "word long, places array<int>").groupBy("word").agg(F.first("places").alias("places")).orderBy("word").toArrow()
-    known, places = words["word"].to_numpy(), words["places"].combine_chunks().flatten().to_numpy().reshape(-1, 1 + len(PREFIXES))
-    texts = tagged["words"].combine_chunks()
-    runs_of, marks = training_runs(np.searchsorted(known, texts.flatten().to_numpy()).astype(np.int32), tagged["tags"].combine_chunks().flatten().to_numpy(), texts.offsets.to_numpy())
-    chain = Chain(*fit_chain(places, runs_of, marks), none.aggregate)
+    known = docs.sparkSession.sparkContext.broadcast(words["word"].to_numpy())
+    tagged = sample.mapInArrow(_tagged(lexicon, known), "places array<int>, tags array<tinyint>").orderBy(F.xxhash64("places", "tags")).toArrow()  # tasks end in any order
+    known.unpersist()
+    runs_of, marks = (tagged[name].combine_chunks().flatten().to_numpy().reshape(-1, WINDOW) for name in ("places", "tags"))
+    chain = Chain(*fit_chain(words["places"].combine_chunks().flatten().to_numpy().reshape(-1, 1 + len(PREFIXES)), runs_of, marks), none.aggregate)
     seen = sample.mapInArrow(_evidence(chain), "evidence array<double>, y int").toArrow()
     chain.aggregate = fit_aggregate(seen["evidence"].combine_chunks().flatten().to_numpy().reshape(-1, EVIDENCE), seen["y"].to_numpy().astype(float))
     return chain
