@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one vectorised step looks at; bounds a Python worker's memory whatever the batch holds.
 CHUNK_CHARS = 1_000_000
@@ -38,6 +39,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Shares of rows from which a key counts as heavy: at most so many keys can hold more than one in so many of all rows.
+HEAVY = 512
+
+
+def join_uneven(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row a key and in ``count`` how many of the ``total`` rows have it. Keys that hold more
+    than one in ``HEAVY`` of all rows, of which there can't be more than ``HEAVY``, are broadcast; the others meet in a shuffle where no
+    key is large."""
+    heavy = F.col(count) * HEAVY > total
+    many = F.broadcast(side.where(heavy))
+    few = rows.join(F.broadcast(side.where(heavy).select(*keys)), keys, "left_anti").join(side.where(~heavy), keys)
+    return rows.join(many, keys).unionByName(few)
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with so many underscores behind it that no column has this name (in any case of letters)."""
     names = {x.lower() for x in taken}

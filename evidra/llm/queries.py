@@ -18,6 +18,7 @@ _PLACES = {
     "op8_token_counts": "token_counts",
     "op9_site_style": "site_style",
     "op10_byte_bpe": "bpe",
+    "op13_embedding_whitening": "whitening",
 }
 
 
