@@ -18,6 +18,7 @@ _PLACES = {
     "op8_token_counts": "token_counts",
     "op9_site_style": "site_style",
     "op10_byte_bpe": "bpe",
+    "op11_source_mix": "mixing",
     "op13_embedding_whitening": "whitening",
 }
 
@@ -27,6 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from evidra.llm import licenses, topk
+    from evidra.llm import licenses, mixing, topk
 
-    return {"op1_top_k": topk.SQL, "op4_license_scan": licenses.SQL}
+    return {"op1_top_k": topk.SQL, "op4_license_scan": licenses.SQL, "op11_source_mix": mixing.SQL}
