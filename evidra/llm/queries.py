@@ -19,6 +19,7 @@ _PLACES = {
     "op9_site_style": "site_style",
     "op10_byte_bpe": "bpe",
     "op11_source_mix": "mixing",
+    "op12_spelling_variants": "spelling",
     "op13_embedding_whitening": "whitening",
 }
 
