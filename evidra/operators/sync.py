@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.ranges import numbered, running_sum
+
 STAMP = 12
 
 
-def diff_snapshots(prev: DataFrame, new: DataFrame) -> DataFrame:
-    """(change, path, moved_to) between snapshots (path, sha256): added, deleted, modified, and moved, where a gone and a new path
-    of one hash pair up one to one in path order."""
-    both = prev.select("path", F.col("sha256").alias("old")).join(new.select("path", F.col("sha256").alias("now")), "path", "full_outer")
+def paired_moves(differing: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, change, path, moved_to) of paths with two hashes (``old``, ``now``; null: not there): added, deleted, modified, and moved, where a gone
+    and a new path of one hash pair up one to one in path order, within ``by``. Equal hashes give nothing."""
+    by = by or []
     change = F.when(F.col("old").isNull() & F.col("now").isNotNull(), "added").when(F.col("now").isNull() & F.col("old").isNotNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("now")), "modified")
-    named = both.withColumn("change", change).where("change is not null").withColumn("sha", F.coalesce("now", "old"))
-    number = F.row_number().over(Window.partitionBy("change", "sha").orderBy("path"))
+    named = differing.withColumn("change", change).where("change is not null").withColumn("sha", F.coalesce("now", "old"))
+    number = F.row_number().over(Window.partitionBy(*by, "change", "sha").orderBy("path"))
     loose = named.where("change <> 'modified'").withColumn("n", number)
-    gone, fresh = loose.where("change = 'deleted'"), loose.where("change = 'added'").select("sha", "n", F.col("path").alias("moved_to"))
-    pairs = gone.join(fresh, ["sha", "n"]).select("path", "moved_to")
-    rest = named.join(pairs.select("path"), "path", "left_anti").join(pairs.select(F.col("moved_to").alias("path")), "path", "left_anti")
-    return pairs.select(F.lit("moved").alias("change"), "path", "moved_to").unionByName(rest.select("change", "path", F.lit(None).cast("string").alias("moved_to")))
+    gone, fresh = loose.where("change = 'deleted'"), loose.where("change = 'added'").select(*by, "sha", "n", F.col("path").alias("moved_to"))
+    pairs = gone.join(fresh, [*by, "sha", "n"]).select(*by, "path", "moved_to")
+    rest = named.join(pairs.select(*by, "path"), [*by, "path"], "left_anti").join(pairs.select(*by, F.col("moved_to").alias("path")), [*by, "path"], "left_anti")
+    return pairs.select(*by, F.lit("moved").alias("change"), "path", "moved_to").unionByName(rest.select(*by, "change", "path", F.lit(None).cast("string").alias("moved_to")))
+
+
+def diff_snapshots(prev: DataFrame, new: DataFrame) -> DataFrame:
+    """(change, path, moved_to) between snapshots (path, sha256); see ``paired_moves``."""
+    return paired_moves(prev.select("path", F.col("sha256").alias("old")).join(new.select("path", F.col("sha256").alias("now")), "path", "full_outer"))
 
 
 def scan_versions(scans: DataFrame) -> DataFrame:
     """Per scan (scan_id, path, sha256), against the scan before: added, modified and deleted paths, and the version, which rises only
-    with a change and starts at 1. One window a path; counts per scan are small."""
-    order = scans.select("scan_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("scan_id")))  # one row a scan
-    rows = scans.join(F.broadcast(order), "scan_id")
+    with a change and starts at 1. One window a path; scans are numbered and summed by ranges of ids."""
+    order = numbered(scans.select("scan_id").distinct(), [], "scan_id").withColumnRenamed("number", "k")
+    rows = scans.join(order, "scan_id")
     by_path = Window.partitionBy("path").orderBy("k")
     seen = rows.withColumn("last_k", F.lag("k").over(by_path)).withColumn("last_sha", F.lag("sha256").over(by_path)).withColumn("next_k", F.lead("k").over(by_path))
     there = F.coalesce(F.col("last_k") == F.col("k") - 1, F.lit(False))
@@ -34,7 +41,7 @@ def scan_versions(scans: DataFrame) -> DataFrame:
     left = seen.where("next_k is null or next_k > k + 1").groupBy((F.col("k") + 1).alias("k")).agg(F.count("*").alias("deleted"))
     each = order.join(came, "k").join(left, "k", "left").withColumn("deleted", F.coalesce("deleted", F.lit(0)))
     changed = (F.col("added") + F.col("modified") + F.col("deleted") > 0).cast("long")
-    return each.withColumn("version", F.greatest(F.lit(1), F.sum(changed).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))).drop("k")
+    return running_sum(each.withColumn("_changed", changed), "k", "_changed").withColumn("version", F.greatest(F.lit(1), "so_far")).select("scan_id", "added", "modified", "deleted", "version")
 
 
 def changed_listing(prev: DataFrame, new: DataFrame) -> DataFrame:
