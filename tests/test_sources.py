@@ -2,6 +2,7 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidra.operators import ingest as I
@@ -43,6 +44,93 @@ def test_workbooks(spark, tmp_path):
     assert I.detect_header(one).collect()[0]["header_row"] == 2
 
 
+def large(path, rows=3000, note=""):
+    """Two sheets with shared strings, gaps, a phonetic hint, odd numbers and something behind the rows."""
+    row = lambda k: f'<x:row r="{k}"><x:c r="A{k}" t="s"><x:v>{k % 7}</x:v></x:c><x:c r="C{k}"><x:v>{k}.5</x:v></x:c><x:c r="D{k}" s="1"><x:v>{k}</x:v></x:c><x:c r="AB{k}" t="str"><x:f>A1</x:f><x:v>t&lt;row {k}</x:v></x:c></x:row>'
+    sheet = lambda n: HEAD + f'<x:worksheet xmlns:x="m"><x:cols><x:col a="1>0"/></x:cols><x:sheetData>{note}' + "".join(map(row, range(1, n + 1))) + "</x:sheetData><x:tail>" + "<x:t/>" * 5000 + "</x:tail></x:worksheet>"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", HEAD + '<workbook xmlns:r="r"><sheets><sheet name="big" sheetId="1" r:id="rId1"/><sheet name="small" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", HEAD + '<Relationships><Relationship Id="rId1" Target="/xl/worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", HEAD + "<sst>" + "".join(f"<si><t>word{k}</t><rPh><t>hint</t></rPh></si>" for k in range(7)) + "</sst>")
+        z.writestr("xl/styles.xml", HEAD + '<styleSheet><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(rows))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(5))
+
+
+@pytest.mark.parametrize("note", ["", "<!-- <row r='1'> -->"])
+def test_parts_of_large_sheets(spark, tmp_path, note, monkeypatch):
+    monkeypatch.setattr(workbooks, "READ", 1000)  # many edges of chunks, where this process decodes
+    large(tmp_path / "a.xlsx", note=note)
+    path = str(tmp_path / "a.xlsx")
+    taken = lambda parts: [[r for b in workbooks.decode(path, "p", k, parts, workbooks.NAMES[:9], facts=False) for r in b.to_pylist()] for k in range(parts)]
+    whole = taken(1)[0]
+    assert len(whole) == 4 * 3005 and whole[3]["v_text"] == "t<row 1" and whole[0]["v_text"] == "word1" and whole[2]["kind"] == "d"
+    for parts in (2, 3, 16):
+        got = taken(parts)
+        key = lambda r: (r["sheet_index"], r["row_no"], r["col_no"])
+        assert sorted((r for p in got for r in p), key=key) == whole
+        assert note or min(map(len, got)) >= 0 and sum(map(bool, got)) > parts // 2
+    cells, files = workbooks.read_cells(spark, str(tmp_path), part_bytes=2000)
+    assert cells.count() == 4 * 3005 and cells.rdd.getNumPartitions() > 4
+    assert [(r["uncached"], r["error"]) for r in files.collect()] == [(0, None)]
+
+
+def test_each_file_is_decoded_once(spark, tmp_path, monkeypatch):
+    for name in ("a", "b", "c"):
+        workbook(tmp_path / f"{name}.xlsx")
+    cells, files = workbooks.read_cells(spark, str(tmp_path))
+    for df in (cells, files):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1
+    seen, real = [], workbooks.decode
+    monkeypatch.setattr(workbooks, "decode", lambda source, path, *rest: seen.append(path) or real(source, path, *rest))
+    reader = workbooks._Reader(str(tmp_path), workbooks.NAMES, 1 << 20, 1)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(seen) == len(set(seen)) == 3 and len(reader.partitions()) == 3 and sum(r["kind"] == "file" for r in rows) == 3
+
+
+def test_filters_and_columns_reach_the_source(spark, tmp_path):
+    for name in ("a", "b"):
+        workbook(tmp_path / f"{name}.xlsx")
+    (tmp_path / "z.xlsx").write_bytes(b"no zip")
+    rows = workbooks.workbook_rows(spark, str(tmp_path))
+    one = rows.where("sheet = 'two' and path like 'file:%a.xlsx'")
+    assert [(r["path"].rsplit("/", 1)[-1], r["v_text"]) for r in one.collect()] == [("a.xlsx", "TRUE")]
+    exact = rows.where(F.col("path") == f"file:{tmp_path}/b.xlsx")
+    assert exact.where("kind <> 'file'").count() == 10 and exact.where("kind = 'file'").count() == 1
+    reader = workbooks._Reader(str(tmp_path), workbooks.NAMES, 1 << 20, 1)
+    from pyspark.sql.datasource import EqualTo, In
+
+    assert list(reader.pushFilters([EqualTo(("path",), f"file:{tmp_path}/b.xlsx"), In(("sheet",), ("two",)), EqualTo(("row_no",), 1)])) == [EqualTo(("row_no",), 1)]
+    assert [p.files for p in reader.partitions()] == [[(f"{tmp_path}/b.xlsx", 0, 1)]] and not reader.facts
+    numbers = workbooks.workbook_rows(spark, str(tmp_path), ["path", "row_no", "v_num"])
+    assert numbers.columns == ["path", "row_no", "v_num"] and numbers.where("v_num = 10").count() == 2
+    assert spark.read.format("workbook").load(str(tmp_path / "a.xlsx")).where("kind <> 'file'").count() == 10
+
+
+def test_damaged_workbooks_give_no_cells(spark, tmp_path):
+    large(tmp_path / "bad.xlsx")
+    raw = bytearray((tmp_path / "bad.xlsx").read_bytes())
+    at = raw.index(b"xl/worksheets/sheet2.xml") + 200
+    raw[at : at + 4] = b"\0\0\0\0"
+    (tmp_path / "bad.xlsx").write_bytes(raw)
+    workbook(tmp_path / "odd.xlsx")
+    with zipfile.ZipFile(tmp_path / "odd.xlsx", "a") as z:
+        z.writestr("xl/comments1.xml", "<open>")
+    cells, files = workbooks.read_cells(spark, str(tmp_path), part_bytes=2000)
+    assert cells.collect() == [] and all(r["error"] for r in files.collect()) and files.count() == 2
+
+
+def test_odd_cells(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx")
+    cells = '<row><c><v>1</v></c><c t="s"><v>99</v></c><c><v>x1</v></c><c s="1"><v>1e300</v></c></row><row><c t="inlineStr"><is><t>p</t><r><t>q</t></r><rPh><t>h</t></rPh></is></c><c t="str"><v></v></c></row>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z, zipfile.ZipFile(tmp_path / "a.xlsx") as y:
+        for n in y.namelist():
+            z.writestr(n, HEAD + f"<worksheet><sheetData>{cells}</sheetData></worksheet>" if n.endswith("sheet2.xml") else y.read(n))
+    got, _ = workbooks.read_cells(spark, str(tmp_path))
+    rows = sorted(tuple(r[c] for c in ("row_no", "col_no", "kind", "v_text", "v_num")) for r in got.where("sheet = 'two' and path like '%b.xlsx'").collect())
+    assert rows == [(1, 1, "n", None, 1.0), (1, 2, "e", "99", None), (1, 3, "e", "x1", None), (1, 4, "n", None, 1e300), (2, 1, "s", "pq", None), (2, 2, "s", "", None)]
+
+
 def test_listing(spark, tmp_path):
     for name in ("a.xlsx", "~$a.xlsx", "old.xls", "._x.xlsx", "note.txt"):
         (tmp_path / name).write_bytes(b"x")
