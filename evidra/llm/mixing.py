@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by order of sources; what all targets add up to (3/2 of all words); passes over a source at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), (3, 2), 2
 #: Words of a block; slots of a stretch in which ranks are counted; documents for which shuffles get one more digit.
-BLOCK, STRETCH, A_DIGIT = 256, 1 << 14, 20_000
+BLOCK, STRETCH, A_DIGIT = 256, 1 << 14, 3_000
 #: Points are multiples of 2**-POINT_BITS; the step is odd, so all of them occur before one comes again.
 POINT_BITS = 40
 STEP = int((5**0.5 - 1) / 2 * 2**POINT_BITS) | 1
