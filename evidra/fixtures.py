@@ -23,6 +23,12 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_cu
     "fx_summary": """
 SELECT team, concat(CAST(month(sale_date) AS VARCHAR(2)), '월') AS month_label, sale_date, amount FROM {fx_ledger}
 WHERE sale_date >= DATE '1997-07-01' AND sale_date <= DATE '1997-09-20'""",
+    # Rows of one table a team and year: with days, with labels of months, or with labels that are none.
+    "fx_axis": """
+SELECT concat(team, '-', CAST(yr AS VARCHAR(9))) AS table_id, team AS path, yr % 3 AS signature, yr % 3 = 1 AS stock, CAST(DATE '2024-01-01' + CAST(t % 7 AS INT) AS DATE) AS base_date,
+  CASE WHEN k < 2 THEN sale_date END AS day, CASE WHEN k = 2 THEN month_label WHEN k = 3 AND m < 4 THEN concat('Q', CAST(m AS VARCHAR(2))) WHEN k = 3 THEN month_label END AS month_label
+FROM (SELECT *, (yr + t) % 5 % 4 AS k, month(sale_date) AS m, concat(CAST(month(sale_date) AS VARCHAR(2)), '월') AS month_label FROM (SELECT *, CAST(right(team, 1) AS INT) AS t FROM {fx_ledger}) y) x
+WHERE (k < 2 AND CAST(floor((m - 1) / 2) AS INT) = t % 6) OR (k = 2 AND m % 5 = t % 5) OR k = 3""",
     "fx_files": """
 SELECT doc_id, path, element_name AS name, folder, stem, sha256, size, mtime, base_date, unit_line,
   concat('Report 2024', CASE WHEN base_date IS NULL THEN '' ELSE concat(chr(10), '기준일: ', CAST(base_date AS VARCHAR(10))) END, CASE WHEN unit_line THEN concat(chr(10), '(단위: 천원)') ELSE '' END) AS preamble
@@ -101,6 +107,8 @@ def sql_with(names: str, body: str) -> str:
     plain = lambda n: re.sub(r"\{(\w+)\}", r"\1", FIXTURES[n]).replace("@SHA@", "sha256(").replace("@END@", ")")
     ctes = [f"{n} AS ({plain(n)})" for n in order]
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join([*ctes, ''])}{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join(ctes)}, {body[5:]}" if ctes else body
     return reduce(str.__add__, ["WITH ", ", ".join(ctes), " "] if ctes else [""]) + body

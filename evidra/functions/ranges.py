@@ -39,3 +39,17 @@ def running_sum(df: DataFrame, order: str, value: str) -> DataFrame:
     placed = sums.withColumn("_before", before).drop("_s")  # one row a range
     so_far = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
     return ranged.join(F.broadcast(placed), "_range").withColumn("so_far", so_far).drop("_range", "_before")
+
+
+def islands(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """``df`` with ``island`` (from 1, within ``by``, in order): intervals that a chain of overlaps connects are in one. Furthest ends and counts are
+    carried over ranges of starts, so no task sweeps all rows."""
+    ranged = df.withColumn("_range", range_of(df, start))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*by, "_range").orderBy(start, end)
+    tops = ranged.groupBy(*by, "_range").agg(F.max(end).alias("_top")).withColumn("_before", F.max("_top").over(earlier)).drop("_top")
+    reach = F.greatest(F.col("_before"), F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    begun = ranged.join(tops, [*by, "_range"]).withColumn("_new", F.coalesce((F.col(start) > reach).cast("long"), F.lit(1)))
+    counts = begun.groupBy(*by, "_range").agg(F.sum("_new").alias("_n")).withColumn("_sum", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    number = F.sum("_new").over(inner.rangeBetween(Window.unboundedPreceding, 0)) + F.col("_sum")  # equal intervals count together, in whichever order they come
+    return begun.join(counts, [*by, "_range"]).withColumn("island", number).drop("_range", "_before", "_new", "_sum")

@@ -138,26 +138,6 @@ def union_tables(parts: list[tuple[DataFrame, Column]], conditions: list[Conditi
     return reduce(DataFrame.unionByName, each)
 
 
-def axes_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Whether two date ranges share a day; unknown ranges don't."""
-    return F.coalesce((a_start <= b_end) & (b_start <= a_end), F.lit(False))
-
-
-def double_count_guard(tables: DataFrame, stock: Column) -> DataFrame:
-    """Verdict on adding tables (columns table_id, path, signature, start, end, base_date) of one signature, pair by pair."""
-    x, y = tables.alias("x"), tables.alias("y")
-    pairs = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.table_id") < F.col("y.table_id")))
-    unknown = F.col("x.start").isNull() | F.col("y.start").isNull()
-    other = F.col("x.path") != F.col("y.path")
-    verdict = (
-        F.when(axes_overlap(F.col("x.start"), F.col("x.end"), F.col("y.start"), F.col("y.end")), "overlap")
-        .when(unknown & other & stock, "stock")
-        .when(unknown & other & (F.col("x.base_date") == F.col("y.base_date")), "same_base_date")
-        .otherwise("ok")
-    )
-    return pairs.select(F.col("x.table_id").alias("a"), F.col("y.table_id").alias("b"), verdict.alias("verdict"))
-
-
 def effective_period(start: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column, Column]:
     """A table's date range cut by a query's bounds: first day, last day, days between."""
     first, last = F.greatest(start, low), F.least(end, high)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.joins import contains_join
+from evidra.functions.unicode import nfc
 
 # Departments and the label of the rest, suffixes of versions, marks of copies, labels of base dates.
 DEPARTMENTS = ("영업팀", "경영지원팀", "회계팀", "물류팀", "구매팀", "공용")
@@ -16,27 +18,34 @@ SUFFIXES = r"(?i)(?:\(\d+\)|\s*-\s*(?:복사본|copy)|[_\s-]*(?:old|수정|최
 COPY_MARK = r"(?i)\(\d+\)|복사본|[\s_-]copy"
 BASE_DATE = r"(?:기준일|최종\s*수정일|업데이트|작성일|마감일)\s*[:：|]?\s*(\d{4})\s*[-./년]\s*(\d{1,2})\s*[-./월]\s*(\d{1,2})"
 SAME_DATA = 0.005
-MOST_EXCLUDED, MOST_FOUND, MOST_CLOSEST, MOST_COLUMNS, MOST_LAYOUT = 10, 12, 5, 50, 40
+MOST_EXCLUDED, MOST_FOUND, MOST_CLOSEST, MOST_COLUMNS = 10, 12, 5, 50
+
+
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is named."""
+    return F.transform(F.array(x), use)[0]
 
 
 def classify_department(path: Column, labels: tuple[str, ...] = DEPARTMENTS) -> Column:
-    """First known label among the folders, else the first label (in list order) within the file name."""
-    parts = F.split(path, "/")
+    """First known label among the folders, else the first label (in list order) within the file name; names may be written decomposed."""
     known = F.array(*map(F.lit, labels))
-    folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
-    by_folder = F.try_element_at(F.filter(folders, lambda p: F.array_contains(known, p)), F.lit(1))
-    by_name = F.try_element_at(F.filter(known, lambda d: name.contains(d)), F.lit(1))
-    return F.coalesce(by_folder, by_name, F.lit(UNCLASSIFIED))
+
+    def label(parts: Column) -> Column:
+        folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+        by_folder = F.try_element_at(F.filter(folders, lambda p: F.array_contains(known, p)), F.lit(1))
+        by_name = F.try_element_at(F.filter(known, lambda d: name.contains(d)), F.lit(1))
+        return F.coalesce(by_folder, by_name, F.lit(UNCLASSIFIED))
+
+    return _once(F.split(nfc(path), "/"), label)
 
 
 def top_folder(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.when(F.size(parts) > 1, parts[0]).otherwise("")
+    return _once(F.split(nfc(path), "/"), lambda parts: F.when(F.size(parts) > 1, parts[0]).otherwise(""))
 
 
 def family_stem(name: Column) -> Column:
     """File name without extension and version marks; a day after a year tag goes too."""
-    stem = F.regexp_replace(F.trim(F.regexp_replace(name, r"\.[^.]+$", "")), SUFFIXES, "")
+    stem = F.regexp_replace(F.trim(F.regexp_replace(nfc(name), r"\.[^.]+$", "")), SUFFIXES, "")
     stem = F.regexp_replace(stem, r"(_\d{4})_\d{4}$", "$1")
     return F.trim(F.regexp_replace(stem, SUFFIXES, ""))
 
@@ -130,12 +139,15 @@ def catalog_order(found: DataFrame) -> DataFrame:
     return found.withColumn("place", n.cast("long")).where(F.col("place") <= MOST_FOUND)
 
 
-def closest_tables(columns: DataFrame, wants: list[str]) -> DataFrame:
-    """The five tables that have most of the wanted columns, with what they have and miss."""
-    want = F.array(*map(F.lit, wants))
-    names = columns.where(reduce(Column.__or__, (F.col("name") == w for w in wants))).groupBy("table_id").agg(F.array_sort(F.collect_set("name")).alias("h"))
-    top = names.withColumn("n", F.size("h")).orderBy(F.desc("n"), "table_id").limit(MOST_CLOSEST)
-    return top.select("table_id", F.array_join("h", ",").alias("has"), F.array_join(F.array_sort(F.array_except(want, F.col("h"))), ",").alias("missing"))
+def closest_tables(columns: DataFrame, tables: DataFrame, wants: list[str]) -> DataFrame:
+    """The five fresh tables (tables: table_id, fresh) that meet most wants, with what they have and miss. A want ``A|B`` is met by a column whose
+    name holds either; tables that meet none are left out."""
+    met = lambda want: F.bool_or(reduce(Column.__or__, (F.col("name").contains(a.strip()) for a in want.split("|"))))
+    fresh = columns.join(tables.where("fresh = 'ok'").select("table_id"), "table_id", "left_semi")
+    held = fresh.groupBy("table_id").agg(*(met(w).alias(f"_{i}") for i, w in enumerate(wants)))
+    named = lambda there: F.filter(F.array(*(F.when(F.col(f"_{i}") == there, w) for i, w in enumerate(wants))), lambda x: x.isNotNull())
+    top = held.select("table_id", named(True).alias("h"), named(False).alias("m")).where(F.size("h") > 0).orderBy(F.desc(F.size("h")), "table_id").limit(MOST_CLOSEST)
+    return top.select("table_id", F.array_join("h", ",").alias("has"), F.array_join("m", ",").alias("missing"))
 
 
 def known_columns(columns: DataFrame) -> DataFrame:
@@ -143,22 +155,6 @@ def known_columns(columns: DataFrame) -> DataFrame:
     return columns.groupBy("name").agg(F.count_distinct("table_id").alias("tables")).orderBy(F.desc("tables"), "name").limit(MOST_COLUMNS)
 
 
-def time_axis(rows: DataFrame, table: str, date: str) -> DataFrame:
-    """Range of the date column, and the months in it, in one pass."""
-    return rows.groupBy(table).agg(F.min(date).alias("start"), F.max(date).alias("end"), F.array_join(F.array_sort(F.collect_set(F.date_format(date, "yyyy-MM"))), ",").alias("months"))
-
-
-def same_layout(tables: DataFrame) -> DataFrame:
-    """Pairs of tables (table_id, path, signature, start, end, data_date) that may be summed: one signature and either one file
-    or known ranges that don't overlap; at most forty for each table, its own file first, newest first."""
-    x, y = tables.alias("x"), tables.alias("y")
-    apart = F.coalesce(~((F.col("x.start") <= F.col("y.end")) & (F.col("y.start") <= F.col("x.end"))), F.lit(False))
-    own = F.col("x.path") == F.col("y.path")
-    pairs = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.table_id") != F.col("y.table_id"))).where(own | apart)
-    n = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("own"), F.desc_nulls_last("day"), "b"))
-    return pairs.select(F.col("x.table_id").alias("a"), F.col("y.table_id").alias("b"), own.alias("own"), F.col("y.data_date").alias("day")).withColumn("n", n).where(F.col("n") <= MOST_LAYOUT).select("a", "b")
-
-
 def latest_year(files: DataFrame) -> DataFrame:
     return files.where("fresh = 'ok'").agg(F.coalesce(F.year(F.max("data_date")), F.year(F.current_date())).cast("long").alias("year"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.joins import contains_join
+from evidra.functions.unicode import casefold, squeezed
 
 # The glossary (term, its columns, its synonyms), and words that decide on scope.
 GLOSSARY = (
@@ -59,7 +60,7 @@ def guess_columns(terms: DataFrame, columns: DataFrame) -> DataFrame:
 
 def term_fallback(unmatched: DataFrame, index: DataFrame, names: DataFrame) -> DataFrame:
     """What an unregistered term is: a value of the data, part of a department's, file's or sheet's name (names: name), or unknown."""
-    value = unmatched.join(index.select(F.col("value_norm").alias("v")), F.lower("term") == F.col("v"), "left_semi").select("term_id", F.lit(1).alias("is_value"))
+    value = unmatched.join(index.select(F.col("value_norm").alias("v")), casefold(squeezed(F.col("term"))) == F.col("v"), "left_semi").select("term_id", F.lit(1).alias("is_value"))
     part = contains_join(names, "name", unmatched, "term").select("term_id").distinct().withColumn("is_name", F.lit(1))
     return unmatched.join(value, "term_id", "left").join(part, "term_id", "left").select("term_id", "term", F.when(F.col("is_value") == 1, "value").when(F.col("is_name") == 1, "file").otherwise("unknown").alias("found_as"))
 

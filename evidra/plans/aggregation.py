@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from evidra.operators import aggregate as A
 from evidra.operators.aggregate import Condition as C
 from evidra.operators.aggregate import Metric as M
+from evidra.operators.axes import double_count_guard
 from evidra.plans.base import query
+from evidra.plans.catalog import AXES, OVERLAP, axes
 
 SUM = "CAST(sum(CAST({} AS DECIMAL(18, 2))) AS DOUBLE)".format
 LEDGER = ("team", "sale_date", "amount")
@@ -85,18 +87,9 @@ def _(t):
     return A.aggregate(A.union_tables(parts, [C("flag", "=", "R")], LEDGER, "amount"), [M("sum", "amount", "total")], ("team",))
 
 
-AXES = "SELECT sheet AS table_id, sheet AS path, 1 AS signature, CASE WHEN k % 3 <> 0 THEN DATE '2024-01-01' + CAST(k * 20 AS INT) END AS start_day, CASE WHEN k % 3 <> 0 THEN DATE '2024-01-31' + CAST(k * 20 AS INT) END AS end_day, DATE '2024-01-01' + CAST(k % 2 AS INT) AS base_date, k % 2 = 0 AS stock FROM (SELECT n_name AS sheet, n_nationkey AS k FROM {nation}) n"
-
-
-def _axes(t):
-    k = F.col("n_nationkey")
-    day = lambda d: F.when(k % 3 != 0, F.date_add(F.lit(d).cast("date"), (k * 20).cast("int")))
-    return t("nation").select(F.col("n_name").alias("table_id"), F.col("n_name").alias("path"), F.lit(1).alias("signature"), day("2024-01-01").alias("start"), day("2024-01-31").alias("end"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 2).cast("int")).alias("base_date"), (k % 2 == 0).alias("stock"))
-
-
-@query("double_count_guard", "", f"WITH x AS ({AXES.replace('{nation}', 'nation')}) SELECT a.table_id AS a, b.table_id AS b, CASE WHEN a.start_day <= b.end_day AND b.start_day <= a.end_day THEN 'overlap' WHEN (a.start_day IS NULL OR b.start_day IS NULL) AND a.stock THEN 'stock' WHEN (a.start_day IS NULL OR b.start_day IS NULL) AND a.base_date = b.base_date THEN 'same_base_date' ELSE 'ok' END AS verdict FROM x a JOIN x b ON a.table_id < b.table_id")
+@query("double_count_guard", "fx_axis", f"WITH {AXES}, v AS (SELECT a.signature, a.table_id, CASE WHEN EXISTS (SELECT 1 FROM ax b WHERE b.signature = a.signature AND b.table_id <> a.table_id AND {OVERLAP}) THEN 'overlap' WHEN a.stock AND EXISTS (SELECT 1 FROM ax b WHERE b.signature = a.signature AND b.path <> a.path AND (a.kind IS NULL OR b.kind IS NULL)) THEN 'stock' WHEN EXISTS (SELECT 1 FROM ax b WHERE b.signature = a.signature AND b.path <> a.path AND b.base_date = a.base_date AND (a.kind IS NULL OR b.kind IS NULL)) THEN 'same_base_date' ELSE 'ok' END AS verdict FROM ax a) SELECT * FROM v")
 def _(t):
-    return A.double_count_guard(_axes(t), F.col("x.stock"))
+    return double_count_guard(axes(t)).select("signature", "table_id", "verdict")
 
 
 @query("effective_period", "fx_ledger", "SELECT yr, CAST(greatest(lo, DATE '1995-03-01') AS DATE) AS first_day, CAST(least(hi, DATE '1997-05-31') AS DATE) AS last_day, CAST(datediff('day', greatest(lo, DATE '1995-03-01'), least(hi, DATE '1997-05-31')) AS BIGINT) AS span FROM (SELECT yr, min(sale_date) AS lo, max(sale_date) AS hi FROM fx_ledger GROUP BY yr) g", dates="first_day last_day")

@@ -1,7 +1,11 @@
 """Queries on the catalog of files."""
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from evidra.operators import axes as X
 from evidra.operators import catalog as B
 from evidra.operators import reconcile as R
 from evidra.plans.base import query
@@ -28,9 +32,16 @@ def files(t):
     return B.assign_freshness(B.assign_families(B.detect_copies(base)))
 
 
-@query("classify_department", "fx_files", f"SELECT path, {DEPT} AS dept FROM fx_files")
+#: Names as some desktops write them, syllables taken apart, in every other path.
+APART = {d: unicodedata.normalize("NFD", d) for d in B.DEPARTMENTS}
+TAKEN_APART = reduce(lambda x, d: f"replace({x}, '{d}', '{APART[d]}')", APART, "path")
+
+
+@query("classify_department", "fx_files", f"SELECT CASE WHEN doc_id % 2 = 0 THEN {TAKEN_APART} ELSE path END AS path, {DEPT} AS dept FROM fx_files")
 def _(t):
-    return t("fx_files").select("path", B.classify_department(F.col("path")).alias("dept"))
+    apart = reduce(lambda x, d: F.replace(x, F.lit(d), F.lit(APART[d])), APART, F.col("path"))
+    named = t("fx_files").select(F.when(F.col("doc_id") % 2 == 0, apart).otherwise(F.col("path")).alias("path"))
+    return named.select("path", B.classify_department(F.col("path")).alias("dept"))
 
 
 @query("top_folder", "fx_files", f"SELECT path, {TOP} AS top FROM fx_files")
@@ -133,9 +144,14 @@ def _(t):
     return B.catalog_order(files(t).select(F.col("dept").alias("request_id"), "path", F.col("name").contains("memo1").alias("excerpt"), "data_date")).select("request_id", "path", "place")
 
 
-@query("closest_tables", "fx_files", f"WITH c AS ({COLUMNS}) SELECT table_id, has, CASE has WHEN '금액' THEN '기말재고,단가' WHEN '기말재고' THEN '금액,단가' ELSE '단가' END AS missing FROM (SELECT table_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS has, count(DISTINCT name) AS n FROM c WHERE name IN ('금액', '기말재고', '단가') GROUP BY table_id ORDER BY n DESC, table_id LIMIT 5) x")
+WISHED = {"금액": "금액", "거래|업체": "거래|업체", "단가": "단가"}
+
+
+@query("closest_tables", "fx_files", f"WITH c AS ({COLUMNS}), m AS (SELECT table_id, bool_or(contains(name, '금액')) AS x, bool_or(regexp_matches(name, '거래|업체')) AS y FROM c WHERE table_id NOT LIKE '%3%' GROUP BY table_id) SELECT table_id, concat_ws(',', CASE WHEN x THEN '금액' END, CASE WHEN y THEN '거래|업체' END) AS has, concat_ws(',', CASE WHEN NOT x THEN '금액' END, CASE WHEN NOT y THEN '거래|업체' END, '단가') AS missing FROM m WHERE x OR y ORDER BY CAST(x AS INT) + CAST(y AS INT) DESC, table_id LIMIT 5")
 def _(t):
-    return B.closest_tables(_columns(t), ["금액", "기말재고", "단가"])
+    columns = _columns(t)
+    tables = columns.select("table_id", F.when(F.col("table_id").contains("3"), "stale").otherwise("ok").alias("fresh")).distinct()
+    return B.closest_tables(columns, tables, list(WISHED))
 
 
 @query("known_columns", "fx_files", f"WITH c AS ({COLUMNS}) SELECT name, count(DISTINCT table_id) AS tables FROM c GROUP BY name ORDER BY tables DESC, name LIMIT 50")
@@ -143,30 +159,32 @@ def _(t):
     return B.known_columns(_columns(t))
 
 
-@query("time_axis", "fx_ledger", "SELECT team, min(sale_date) AS start, max(sale_date) AS end, array_to_string(list_sort(list(DISTINCT strftime(sale_date, '%Y-%m'))), ',') AS months FROM fx_ledger GROUP BY team", dates="start end")
-def _(t):
-    return B.time_axis(t("fx_ledger"), "team", "sale_date")
+#: Axes of the fixture's tables: a range of dates, a set of months, or none (another label).
+AXES = """ax AS (SELECT *, CASE WHEN s IS NOT NULL THEN 'dates' WHEN len(ms) > 0 AND len(list_filter(ms, lambda m: NOT regexp_matches(m, '^(1[0-2]|[1-9])월$'))) = 0 THEN 'months' END AS kind
+FROM (SELECT table_id, path, signature, stock, base_date, min(day) AS s, max(day) AS e, list(DISTINCT month_label) FILTER (WHERE month_label IS NOT NULL) AS ms FROM fx_axis GROUP BY ALL) g)"""
+OVERLAP = "coalesce((a.kind = 'dates' AND b.kind = 'dates' AND a.s <= b.e AND b.s <= a.e) OR (a.kind = 'months' AND b.kind = 'months' AND list_has_any(a.ms, b.ms)), false)"
+TABLE = ["table_id", "path", "signature", "stock", "base_date"]
 
 
-LAYOUT = "x AS (SELECT concat(team, '-', CAST(yr AS VARCHAR(9))) AS table_id, team AS path, CAST(yr AS BIGINT) % 2 AS signature, min(sale_date) AS s, max(sale_date) AS e FROM fx_ledger GROUP BY team, yr)"
+def axes(t):
+    return X.time_axis(t("fx_axis"), TABLE, F.col("day"), F.col("month_label"))
 
 
-def _layout(t):
-    return t("fx_ledger").groupBy("team", "yr").agg(F.min("sale_date").alias("start"), F.max("sale_date").alias("end")).select(F.concat_ws("-", "team", F.col("yr").cast("string")).alias("table_id"), F.col("team").alias("path"), (F.col("yr") % 2).alias("signature"), "start", "end", F.col("end").alias("data_date"))
+@query("time_axis", "fx_axis", f"WITH {AXES} SELECT table_id, kind, s AS start, e AS end, CASE WHEN kind = 'months' THEN CAST(list_sum(list_transform(ms, lambda m: 1 << CAST(replace(m, '월', '') AS INTEGER))) AS INTEGER) END AS months FROM ax", dates="start end")
+def _(t):
+    return axes(t).select("table_id", "kind", "start", "end", "months")
 
 
-@query("same_layout", "fx_ledger", f"WITH {LAYOUT} SELECT a, b FROM (SELECT a.table_id AS a, b.table_id AS b, row_number() OVER (PARTITION BY a.table_id ORDER BY a.path = b.path DESC, b.e DESC, b.table_id) AS n FROM x a JOIN x b ON a.signature = b.signature AND a.table_id <> b.table_id WHERE a.path = b.path OR NOT (a.s <= b.e AND b.s <= a.e)) p WHERE n <= 40")
+@query("axes_overlap", "fx_axis", f"WITH RECURSIVE {AXES}, r AS (SELECT table_id AS a, table_id AS b FROM ax WHERE kind IS NOT NULL UNION SELECT r.a, b.table_id FROM r JOIN ax a ON a.table_id = r.b JOIN ax b ON a.signature = b.signature AND {OVERLAP}) SELECT ax.table_id, min(r.b) AS group_first, CASE WHEN count(r.b) > 0 THEN count(r.b) END AS group_size FROM ax LEFT JOIN r ON r.a = ax.table_id GROUP BY ax.table_id")
 def _(t):
-    return B.same_layout(_layout(t))
+    found = X.overlap_groups(axes(t))
+    first = found.groupBy("signature", "time_group").agg(F.min("table_id").alias("group_first"))
+    return found.join(first, ["signature", "time_group"], "left").select("table_id", "group_first", "group_size")
 
 
-@query("axes_overlap", "fx_ledger", f"WITH {LAYOUT} SELECT a.table_id AS a, b.table_id AS b, a.s <= b.e AND b.s <= a.e AS overlaps FROM x a JOIN x b ON a.path = b.path AND a.table_id < b.table_id")
+@query("same_layout", "fx_axis", f"WITH {AXES} SELECT a, b FROM (SELECT a.table_id AS a, b.table_id AS b, row_number() OVER (PARTITION BY a.table_id ORDER BY a.path = b.path DESC, b.base_date DESC, b.table_id) AS n FROM ax a JOIN ax b ON a.signature = b.signature AND a.table_id <> b.table_id WHERE a.path = b.path OR (a.kind IS NOT NULL AND b.kind IS NOT NULL AND NOT {OVERLAP})) p WHERE n <= 40")
 def _(t):
-    from evidra.operators.aggregate import axes_overlap
-
-    x = _layout(t)
-    pairs = x.alias("a").join(x.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.table_id") < F.col("b.table_id")))
-    return pairs.select(F.col("a.table_id").alias("a"), F.col("b.table_id").alias("b"), axes_overlap(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")).alias("overlaps"))
+    return X.same_layout(axes(t).withColumnRenamed("base_date", "data_date"))
 
 
 @query("latest_year", "fx_files", f"WITH {FACTS} SELECT CAST(year(max(data_date)) AS BIGINT) AS year FROM g WHERE fresh = 'ok'")

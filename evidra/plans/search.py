@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from evidra.functions.grams import read_index, write_index
+from evidra.functions.storage import shared_folder
 from evidra.operators import search as S
 from evidra.operators import terms as T
 from evidra.plans.base import query
@@ -15,6 +17,18 @@ def index(t):
     return S.build_value_index(rows, "table_id", "row_no", ["거래처명", "팀명"])
 
 
+def stored(t):
+    """The index, written with its postings to the shared folder."""
+    rows = index(t)
+    folder = shared_folder(rows.sparkSession, "index")
+    write_index(rows, "value_norm", folder)
+    return read_index(rows.sparkSession, folder)
+
+
+#: Freshness of the one table that is searched, by column.
+FRESH = "CASE \"column\" WHEN '팀명' THEN 'stale' ELSE 'ok' END"
+
+
 def terms(t):
     k = F.col("r_regionkey")
     return t("region").select((k + 1).cast("long").alias("term_id"), F.when(k == 0, "building").when(k == 1, "#00000001").when(k == 2, "no such customer#").when(k == 3, "customer#").otherwise("MACHINERY").alias("term"))
@@ -25,9 +39,16 @@ def _(t):
     return index(t)
 
 
-@query("normalize_value", "", "SELECT doc_id, lower(regexp_replace(trim(concat('  ', regexp_replace(text, '[^ -~]', '', 'g'), '   X ')), '\\s+', ' ', 'g')) AS norm FROM documents")
+#: Cases that only folding meets; the engine that is compared with has simple lower case.
+FOLDED = {" Straße ΑΣ": " strasse ας", " STRASSE ας": " strasse ας", " ﬁN": " fin"}
+SPACE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+TAILS = {k: (a, b.replace("ς", "σ")) for k, (a, b) in enumerate(FOLDED.items())}
+
+
+@query("normalize_value", "", f"SELECT doc_id, concat(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '{SPACE}', ' ', 'g')), CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN '{b}'" for k, (_, b) in TAILS.items()) + " END) AS norm FROM documents WHERE trim(regexp_replace(text, '" + SPACE + "', ' ', 'g')) <> ''")
 def _(t):
-    return t("documents").select("doc_id", S.normalize_value(F.concat(F.lit("  "), F.regexp_replace("text", "[^ -~]", ""), F.lit("   X "))).alias("norm"))
+    tail = F.element_at(F.array(*(F.lit(f"{a} \u3000") for a, _ in TAILS.values())), (F.col("doc_id") % 3 + 1).cast("int"))
+    return t("documents").where(S.squeezed(F.col("text")) != "").select("doc_id", S.normalize_value(F.concat(F.lit(" \u2003"), "text", tail)).alias("norm"))
 
 
 def _found(on: str, most: int) -> str:
@@ -44,22 +65,34 @@ def _(t):
 
 @query("search_contains", "", f"WITH {_found(CONTAINS, 40)} SELECT term_id, value, row_no, \"column\" FROM h")
 def _(t):
-    return S.search_value(index(t), terms(t), False, 40).select("term_id", "value", "row_no", "column")
+    return S.search_value(stored(t), terms(t), False, 40).select("term_id", "value", "row_no", "column")
 
 
-@query("search_locations", "", f"WITH {_found(CONTAINS, 1000000)} SELECT term_id, table_id, \"column\", count(*) AS hits, min(row_no) AS first_row, row_number() OVER (PARTITION BY term_id ORDER BY count(*) DESC, table_id, \"column\") AS place FROM h GROUP BY term_id, table_id, \"column\"")
+#: One table a column, so that locations differ in freshness.
+LOCATED = "l AS (SELECT term_id, \"column\" AS table_id, \"column\", " + FRESH + " AS fresh, count(*) AS hits, list_sort(list(DISTINCT row_no))[1:3] AS r FROM h GROUP BY term_id, \"column\")"
+
+
+def _located(t):
+    hits = S.search_value(stored(t), terms(t), False, 1_000_000).withColumn("table_id", F.col("column"))
+    tables = t("region").select(F.explode(F.array(F.struct(F.lit("거래처명").alias("table_id"), F.lit("ok").alias("fresh")), F.struct(F.lit("팀명").alias("table_id"), F.lit("stale").alias("fresh")))).alias("x")).select("x.*").distinct()
+    return S.search_locations(hits, tables)
+
+
+@query("search_locations", "", f"WITH {_found(CONTAINS, 1000000)}, {LOCATED} SELECT term_id, table_id, \"column\", fresh, hits, array_to_string(r, ',') AS rows, row_number() OVER (PARTITION BY term_id ORDER BY fresh = 'ok' DESC, hits DESC, table_id) AS place FROM l")
 def _(t):
-    return S.search_locations(S.search_value(index(t), terms(t), False, 1_000_000))
+    return _located(t).withColumn("rows", F.array_join("rows", ","))
 
 
 @query("similar_names", "", f"WITH {_found(CONTAINS, 1000000)} SELECT 'no such customer#' AS missed, array_to_string(list_sort(list(DISTINCT value))[1:8], ';') AS similar FROM h WHERE term_id = 4")
 def _(t):
-    return S.similar_names(terms(t), S.search_value(index(t), terms(t), False, 1_000_000))
+    return S.similar_names(terms(t), S.search_value(stored(t), terms(t), False, 1_000_000))
 
 
-@query("search_relevance", "fx_files", "SELECT path, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN '높음' ELSE '보통' END AS relevance FROM fx_files")
+@query("search_relevance", "", f"WITH {_found(CONTAINS, 1000000)}, {LOCATED} SELECT term_id, \"column\", CASE WHEN fresh = 'ok' AND term_id % 2 = 0 THEN '높음' ELSE '보통' END AS relevance, concat(CASE \"column\" WHEN '팀명' THEN 'AG' ELSE 'B' END, CAST(r[1] AS VARCHAR)) AS cell, concat(array_to_string(list_transform(r, lambda x: concat(CAST(x AS VARCHAR), '행')), ', '), CASE WHEN hits > len(r) THEN concat(' 외 ', CAST(hits - len(r) AS VARCHAR), '곳') ELSE '' END) AS places FROM l")
 def _(t):
-    return t("fx_files").select("path", S.search_relevance(F.when(F.col("doc_id") % 3 == 0, "ok").otherwise("stale"), F.col("doc_id") % 2 == 0).alias("relevance"))
+    found = _located(t)
+    number = F.when(F.col("column") == "팀명", 33).otherwise(2)
+    return found.select("term_id", "column", S.search_relevance(F.col("fresh"), F.col("term_id") % 2 == 0).alias("relevance"), S.hit_cell(number, F.col("rows")).alias("cell"), S.hit_rows(F.col("rows"), F.col("hits")).alias("places"))
 
 
 @query("row_snippet", "", "SELECT p_partkey, substr(concat('p_name ', p_name, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat(', p_type ', p_type) END, ', p_size ', CAST(p_size AS VARCHAR(9))), 1, 160) AS snippet FROM part")
@@ -77,9 +110,14 @@ def _(t):
     return S.entity_dictionary(index(t))
 
 
-@query("vocabulary", "", "SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[0-9a-z가-힣]+')) AS word FROM part UNION ALL SELECT unnest(regexp_extract_all(lower(c_mktsegment), '[0-9a-z가-힣]+')) FROM customer) x WHERE length(word) >= 2 AND NOT regexp_matches(word, '^\\d+$') AND word NOT IN ('xlsx', 'xlsm', 'copy', 'final', '최종', '사본', '백업', 'new', 'old')")
+WORDS_OF_GLOSSARY = ", ".join(f"('{w}')" for w in dict.fromkeys(w for term, columns, words in T.GLOSSARY for w in (term, *columns, *words)) if len(w) >= 2)
+DEPARTMENTS = ", ".join(f"('{d}')" for d in S.DEPARTMENTS)
+
+
+@query("vocabulary", "fx_files", f"SELECT DISTINCT lower(word) AS word, origin FROM (SELECT * FROM (VALUES {WORDS_OF_GLOSSARY}) g(word), (SELECT 'glossary' AS origin) o UNION ALL SELECT c_mktsegment, 'glossary' FROM customer UNION ALL SELECT * FROM (VALUES {DEPARTMENTS}) d(word), (SELECT 'data' AS origin) o UNION ALL SELECT replace(p_type, 'E', 'É'), 'data' FROM part UNION ALL SELECT p_brand, 'data' FROM part UNION ALL SELECT word, 'data' FROM (SELECT unnest(regexp_split_to_array(path, '[/\\\\._\\-\\s()]+')) AS word FROM fx_files) p WHERE NOT regexp_matches(word, '^\\d+$') AND lower(word) NOT IN ('xlsx', 'xlsm', 'copy', 'final', '최종', '사본', '백업', 'new', 'old')) x WHERE length(word) >= 2")
 def _(t):
-    return S.vocabulary([(t("part"), F.col("p_name")), (t("customer"), F.col("c_mktsegment"))])
+    apart = F.replace("p_type", F.lit("E"), F.lit("E\u0301"))  # an accent of its own
+    return S.vocabulary([(t("part"), apart), (t("part"), F.col("p_brand"))], [(t("fx_files"), F.col("path"))], [(t("customer"), F.col("c_mktsegment"))])
 
 
 @query("search_coverage", "fx_files", f"WITH {_found(EXACT, 1000000)}, c AS (SELECT count(*) AS tried, count(*) FILTER (WHERE term_id IN (SELECT term_id FROM h)) AS found FROM tm) SELECT CASE WHEN doc_id % 10 = 0 THEN 'legacy' ELSE 'read' END AS reason, count(*) AS files, max(tried) AS tried, max(found) AS found FROM fx_files, c GROUP BY 1")
