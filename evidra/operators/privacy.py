@@ -2,61 +2,140 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions.joins import contains_join, small
 from evidra.functions.ranges import numbered
+from evidra.functions.storage import stored
 from evidra.operators.audits import INJECTION
 
 # Patterns of identifiers, forbidden fields and limits of payloads.
 PATTERNS = (("사업자번호", r"\b\d{3}-\d{2}-\d{5}\b"), ("전화", r"\b0\d{1,2}-\d{3,4}-\d{4}\b"), ("이메일", r"[\w.+-]+@[\w-]+\.[\w.-]+"))
+#: The same matches, told without trying every letter of a word as a beginning.
+FINDERS = tuple((kind, p.replace(r"[\w.+-]+@", r"(?<![\w.+-])[\w.+-]++@")) for kind, p in PATTERNS)
+ANY = "|".join(p for _, p in FINDERS)
+#: Marks, with braces or without.
+MARK = r"\{(?:사업자번호|전화|이메일)_\d+\}|(?<![0-9A-Za-z가-힣{])(?:사업자번호|전화|이메일)_\d+(?![0-9}])"
+#: Values of which one automaton is made.
+MOST_ENTRIES = 100_000
 FORBIDDEN = ("raw_rows", "raw", "cells", "records")
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive, so that long strings need no stack
 MOST_ITEMS, MOST_CHARS, SENT_CHARS, MOST_RECENT = 60, 120_000, 20_000, 500
 BLOCKED = "[차단됨]"
 
 
-def _replaced(text: Column, entries: Column) -> Column:
-    """Entries (value, mark) put in place of values, longest first. Values are first swapped for private characters by number, so that a
-    later entry can't match within a mark."""
-    ordered = F.reverse(F.array_sort(F.transform(entries, lambda e: F.struct(F.length(e["value"]).alias("n"), e["value"].alias("value"), e["mark"].alias("mark")))))
-    numbered = F.transform(ordered, lambda e, i: F.struct(e["value"].alias("value"), e["mark"].alias("mark"), F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001")).alias("key")))
-    inner = F.aggregate(numbered, text, lambda t, e: F.replace(t, e["value"], e["key"]))
-    return F.aggregate(numbered, inner, lambda t, e: F.replace(t, e["key"], e["mark"]))
+def _joined(gaps: Column, marks: Column) -> Column:
+    """Gaps of a text and what stands between them, put together in one pass."""
+    return F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
+def _automaton(entries: list[tuple[str, str]]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for value, mark in entries:
+        found.add_word(value, (len(value), mark))
+    found.make_automaton()
+    return found
+
+
+def _masked_by(entries: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (id, text) to (id, masked, n_masked): at each place the longest value, from left to right."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(entries.value)
+        for batch in batches:
+            masked, counts = [], []
+            for text in batch.column("text").to_pylist():
+                parts, last, n = [], 0, 0
+                for end, (size, mark) in automaton.iter_long(text) if text and entries.value else ():
+                    parts += [text[last : end + 1 - size], mark]
+                    last, n = end + 1, n + 1
+                masked.append(text if text is None else "".join([*parts, text[last:]]))
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(masked, pa.string()), pa.array(counts, pa.int32())], ["id", "masked", "n_masked"])
+
+    return run
+
+
+def mask_entities(texts: DataFrame, dictionary: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """Texts (id, text) with known values (value, placeholder) masked wherever they stand, also within words; at each place the longest, from left to
+    right, never within a mark. ``n_masked`` counts places; of equal values the first placeholder holds.
+
+    Up to ``most`` values make one automaton that every task has. Of more, a text's own are found by a join on their letters, and
+    one pattern of them, longest first, finds the places."""
+    known = dictionary.where(F.length("value") > 0).groupBy("value").agg(F.min("placeholder").alias("mark"))
+    if small(known, most):
+        entries = [tuple(r) for r in known.collect()]  # no more than ``most``
+        kind = texts.schema["id"].dataType.simpleString()
+        return texts.select("id", "text").mapInArrow(_masked_by(texts.sparkSession.sparkContext.broadcast(entries)), f"id {kind}, masked string, n_masked int")
+    held = contains_join(texts.select("id", "text"), "text", known, "value").groupBy("id").agg(F.collect_set(F.struct("value", "mark")).alias("e"))
+    longest = F.reverse(F.array_sort(F.transform("e", lambda e: F.struct(F.length(e["value"]).alias("n"), e["value"].alias("value")))))
+    quoted = F.array_join(F.transform(longest, lambda e: F.concat(F.lit("\\Q"), F.replace(e["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|")
+    own = texts.select("id", "text").join(held.select("id", "e", quoted.alias("p")), "id", "left")
+    found = F.regexp_extract_all("text", F.col("p"), F.lit(0))
+    marks = F.transform(found, lambda v: F.element_at(F.map_from_entries("e"), v))
+    return own.select("id", F.when(F.col("p").isNull(), F.col("text")).otherwise(_joined(F.split("text", F.col("p"), -1), marks)).alias("masked"), F.coalesce(F.size(found), F.lit(0)).alias("n_masked"))
+
+
+def _pieces(text: Column) -> Column:
+    """A text as pieces (kind, text) in order: identifiers of the first kind, then of the next ones in what is left between them."""
+    pieces = F.array(F.struct(F.lit(None).cast("string").alias("kind"), text.alias("text")))
+    for kind, pattern in FINDERS:
+        gaps = lambda p: F.transform(F.split(p["text"], pattern, -1), lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("text")))  # noqa: B023, E731
+        hits = lambda p: F.transform(F.regexp_extract_all(p["text"], F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))  # noqa: B023, E731
+        both = lambda p: F.filter(F.flatten(F.zip_with(gaps(p), hits(p), lambda g, h: F.array(g, h))), lambda x: x.isNotNull())  # noqa: B023, E731
+        pieces = F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & p["text"].rlike(pattern), both(p)).otherwise(F.array(p))))  # noqa: B023
+    return pieces
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """(id, pieces) of the texts that hold an identifier."""
+    return texts.where(F.col("text").rlike(ANY)).select("id", _pieces(F.col("text")).alias("pieces"))
+
+
+def _hits(parsed: DataFrame) -> DataFrame:
+    """(id, at, kind, value) of all identifiers."""
+    return parsed.select("id", F.posexplode("pieces").alias("at", "p")).where("p.kind is not null").select("id", "at", "p.kind", F.col("p.text").alias("value"))
 
 
-def mask_entities(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Texts (id, text) with known values (value, placeholder) masked. Only values of which the first word occurs in a text are
-    joined to it, by an equi-join on words, so the dictionary may be large."""
-    word = lambda x: F.lower(F.regexp_extract(x, r"[\w가-힣#]+", 0))
-    heads = dictionary.select(word(F.col("value")).alias("w"), "value", F.col("placeholder").alias("mark"))
-    own = texts.select("id", "text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\w가-힣#]+"), F.lit(0)), F.lower))).alias("w"))
-    hits = own.join(heads, "w").where(F.col("text").contains(F.col("value"))).groupBy("id").agg(F.collect_set(F.struct("value", "mark")).alias("e"))
-    return texts.join(hits, "id", "left").select("id", F.when(F.col("e").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("e"))).alias("masked"), F.coalesce(F.size("e"), F.lit(0)).alias("n_masked"))
+def _numbered(hits: DataFrame) -> DataFrame:
+    marks = numbered(hits.select("kind", "value").distinct(), ["kind"], "value")
+    return marks.select("value", F.concat(F.lit("{"), "kind", F.lit("_"), F.col("number").cast("string"), F.lit("}")).alias("mark"))
 
 
 def pattern_dictionary(texts: DataFrame) -> DataFrame:
     """(value, mark): numbers, phones and addresses found in the texts, numbered within their kind in order; one value has one number."""
-    found = None
-    for kind, pattern in PATTERNS:
-        one = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("value")).distinct().withColumn("kind", F.lit(kind))
-        found = one if found is None else found.unionByName(one)
-    return numbered(found, ["kind"], "value").select("value", F.concat(F.lit("{"), "kind", F.lit("_"), F.col("number").cast("string"), F.lit("}")).alias("mark"))
-
-
-def mask_patterns(texts: DataFrame) -> DataFrame:
-    """Texts (id, text) with identifiers masked by numbered marks; the same value has the same number everywhere."""
-    dictionary = pattern_dictionary(texts)
-    values = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for _, p in PATTERNS)))
-    hits = texts.select("id", F.explode(F.array_distinct(values)).alias("value")).join(dictionary, "value").groupBy("id").agg(F.collect_list(F.struct("value", "mark")).alias("e"))
-    return texts.join(hits, "id", "left").select("id", "text", F.when(F.col("e").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("e"))).alias("masked"), "e")
-
-
-def unmask(masked: Column, entries: Column) -> Column:
-    """Marks back to values, also where the braces were dropped."""
-    bare = F.transform(entries, lambda e: F.struct(F.regexp_replace(e["mark"], r"[{}]", "").alias("value"), e["value"].alias("mark")))
-    full = F.transform(entries, lambda e: F.struct(e["mark"].alias("value"), e["value"].alias("mark")))
-    return F.coalesce(_replaced(masked, F.concat(full, bare)), masked)
+    return _numbered(_hits(stored(_parsed(texts))))
+
+
+def mask_patterns(texts: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, text, masked): texts (id, text; ids are distinct) with identifiers masked where they stand by marks of a dictionary (value, mark;
+    by default the texts' own). An equal run of digits within a longer number is left alone. Texts are taken apart once; the pieces of
+    those that hold identifiers are written to the shared folder."""
+    parsed = stored(_parsed(texts))
+    hits = _hits(parsed)
+    marks = hits.join(_numbered(hits) if dictionary is None else dictionary, "value", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("mark", "value").alias("text")))).alias("_m"))
+    # Pieces and marks in one order by place; a mark stands for the piece of its place.
+    plain = F.filter(F.transform("pieces", lambda p, i: F.struct(i.alias("at"), F.when(p["kind"].isNull(), p["text"]).alias("text"))), lambda x: x["text"].isNotNull())
+    whole = F.array_join(F.transform(F.array_sort(F.concat(plain, "_m")), lambda x: x["text"]), "")
+    done = parsed.join(marks, "id").select("id", whole.alias("masked"))
+    return texts.select("id", "text").join(done, "id", "left").select("id", "text", F.coalesce("masked", "text").alias("masked"))
+
+
+def unmask_texts(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, back): marks of a dictionary (value, mark) in texts (id, masked) back to values, also where the braces were dropped. A mark without braces
+    counts only whole: not behind a letter or digit, not before a digit; unknown marks stay."""
+    found = F.regexp_extract_all("masked", F.lit(MARK), F.lit(0))
+    each = texts.where(F.col("masked").rlike(MARK)).select("id", F.posexplode(found).alias("at", "token"))
+    key = F.concat(F.lit("{"), F.regexp_replace("token", r"[{}]", ""), F.lit("}"))
+    values = each.withColumn("mark", key).join(dictionary.select("mark", "value"), "mark", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", "token").alias("value")))).alias("_v"))
+    return texts.select("id", "masked").join(values, "id", "left").select("id", F.when(F.col("_v").isNull(), F.col("masked")).otherwise(_joined(F.split("masked", MARK, -1), F.transform("_v", lambda v: v["value"]))).alias("back"))
 
 
 def redact_injection(text: Column) -> tuple[Column, Column]:

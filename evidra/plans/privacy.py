@@ -5,34 +5,38 @@ from pyspark.sql import functions as F
 from evidra.operators import privacy as P
 from evidra.plans.base import query
 
-KINDS = "pt AS (SELECT DISTINCT kind, value FROM (SELECT '이메일' AS kind, unnest(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')) AS value FROM fx_texts UNION ALL SELECT '전화', unnest(regexp_extract_all(text, '\\b0\\d{1,2}-\\d{3,4}-\\d{4}\\b')) FROM fx_texts UNION ALL SELECT '사업자번호', unnest(regexp_extract_all(text, '\\b\\d{3}-\\d{2}-\\d{5}\\b')) FROM fx_texts) x), nm AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS n FROM pt)"
+ANY = "|".join(p for _, p in P.PATTERNS)
+NAME = " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{k}'" for k, p in P.PATTERNS)
+#: Every identifier with its place, and the texts between them.
+KINDS = f"tk AS (SELECT id, regexp_extract_all(text, '{ANY}') AS toks, string_split_regex(text, '{ANY}') AS gaps FROM fx_texts), hits AS (SELECT id, k, toks[k] AS value FROM tk, unnest(range(1, len(toks) + 1)) p(k)), pt AS (SELECT DISTINCT CASE {NAME} END AS kind, value FROM hits), nm AS (SELECT kind, value, concat('{{', kind, '_', CAST(row_number() OVER (PARTITION BY kind ORDER BY value) AS VARCHAR(9)), '}}') AS mark FROM pt)"
 
 
-@query("pattern_dictionary", "fx_texts", f"WITH {KINDS} SELECT value, concat('{{', kind, '_', CAST(n AS VARCHAR(9)), '}}') AS mark FROM nm".replace("concat('{{'", "concat('{'").replace("'}}')", "'}')"))
+@query("pattern_dictionary", "fx_texts", f"WITH {KINDS} SELECT value, mark FROM nm")
 def _(t):
     return P.pattern_dictionary(t("fx_texts"))
 
 
-@query("mask_entities", "", "SELECT o_orderkey AS id, concat('order of {', CAST(o_custkey AS VARCHAR(20)), '} by ', o_orderstatus) AS masked, 1 AS n_masked FROM orders")
+@query("mask_entities", "", "SELECT o_orderkey AS id, concat('order of ({', CAST(o_custkey AS VARCHAR(20)), '}는 ', o_orderstatus, ' {', CAST(o_custkey AS VARCHAR(20)), '}') AS masked, 2 AS n_masked FROM orders")
 def _(t):
-    texts = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order of "), "c_name", F.lit(" by "), "o_orderstatus").alias("text"))
+    name = F.col("c_name")
+    texts = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order of ("), name, F.lit("는 "), "o_orderstatus", F.lit(" "), name).alias("text"))
     dictionary = t("customer").select(F.col("c_name").alias("value"), F.concat(F.lit("{"), F.col("c_custkey").cast("string"), F.lit("}")).alias("placeholder"))
     return P.mask_entities(texts, dictionary)
 
 
-def _swapped(text: str, pairs: str) -> str:
-    """SQL: ``text`` with every (x, y) of a list of structs put in turn."""
-    return f"list_reduce(list_concat([{text}], list_transform({pairs}, lambda p: concat(p.x, chr(1), p.y))), lambda a, b: replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2)))"
-
-
-@query("mask_patterns", "fx_texts", f"WITH {KINDS}, own AS (SELECT DISTINCT id, value FROM (SELECT id, unnest(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')) AS value FROM fx_texts UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b0\\d{{1,2}}-\\d{{3,4}}-\\d{{4}}\\b')) FROM fx_texts UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b\\d{{3}}-\\d{{2}}-\\d{{5}}\\b')) FROM fx_texts) x), pr AS (SELECT id, value AS x, concat('{{', kind, '_', CAST(n AS VARCHAR(9)), '}}') AS mark, row_number() OVER (PARTITION BY id ORDER BY length(value) DESC, value DESC, kind DESC) AS k FROM own JOIN nm USING (value)), e AS (SELECT id, list({{'x': x, 'y': concat(chr(57344), CAST(k AS VARCHAR(9)), chr(57345))}} ORDER BY k) AS first, list({{'x': concat(chr(57344), CAST(k AS VARCHAR(9)), chr(57345)), 'y': mark}} ORDER BY k) AS then FROM pr GROUP BY id) SELECT f.id, CASE WHEN e.id IS NULL THEN text ELSE {_swapped(_swapped('text', 'e.first'), 'e.then')} END AS masked FROM fx_texts f LEFT JOIN e ON f.id = e.id")
+@query("mask_patterns", "fx_texts", f"WITH {KINDS}, ms AS (SELECT id, list(mark ORDER BY k) AS marks FROM hits JOIN nm USING (value) GROUP BY id) SELECT tk.id, CASE WHEN len(toks) = 0 THEN gaps[1] ELSE list_reduce(list_transform(range(1, len(gaps) + 1), lambda i: concat(gaps[i], coalesce(marks[i], ''))), lambda x, y: concat(x, y)) END AS masked FROM tk LEFT JOIN ms ON tk.id = ms.id")
 def _(t):
     return P.mask_patterns(t("fx_texts")).select("id", "masked")
 
 
-@query("unmask_roundtrip", "fx_texts", "SELECT id, text AS back FROM fx_texts")
+#: Marks without braces in two of three texts, and unknown ones that only begin like known ones.
+@query("unmask_roundtrip", "fx_texts", "SELECT id, concat(text, CASE WHEN id % 3 = 0 THEN '' ELSE ' 전화_1000000 코드이메일_1월' END) AS back FROM fx_texts")
 def _(t):
-    return P.mask_patterns(t("fx_texts")).select("id", P.unmask(F.col("masked"), F.col("e")).alias("back"))
+    texts = t("fx_texts")
+    marks = P.pattern_dictionary(texts)
+    bare = F.regexp_replace("masked", r"\{((?:사업자번호|전화|이메일)_\d+)\}(?![0-9}])", "$1")
+    sent = P.mask_patterns(texts, marks).select("id", F.when(F.col("id") % 3 == 0, F.col("masked")).otherwise(F.concat(bare, F.lit(" 전화_1000000 코드이메일_1월"))).alias("masked"))
+    return P.unmask_texts(sent, marks)
 
 
 @query("redact_injection", "fx_texts", "SELECT id, regexp_replace(regexp_replace(text, 'ignore all previous instructions', '[차단됨]'), 'system prompt', '[차단됨]') AS redacted, CASE WHEN id % 6 IN (3, 4) THEN 1 ELSE 0 END AS blocked FROM fx_texts")

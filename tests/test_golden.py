@@ -154,17 +154,33 @@ def test_periods(spark):
 
 
 def test_masking_round_trip(spark):
-    texts = spark.createDataFrame([(1, "kim@a.com and 123-45-67890"), (2, "nothing"), (3, "kim@a.com.kim@a.com")], "id int, text string")
-    masked = P.mask_patterns(texts)
-    rows = {r["id"]: r for r in masked.select("id", "text", "masked", P.unmask(F.col("masked"), F.col("e")).alias("back")).collect()}
-    assert all(r["back"] == r["text"] for r in rows.values())
-    assert "@a.com" not in rows[1]["masked"] and "67890" not in rows[1]["masked"]
-
-
-def test_masks_longest_first(spark):
-    texts = spark.createDataFrame([(1, "acme corp and acme")], "id int, text string")
-    names = spark.createDataFrame([("acme", "{1}"), ("acme corp", "{2}")], "value string, placeholder string")
-    assert P.mask_entities(texts, names).collect()[0]["masked"] == "{2} and {1}"
+    texts = spark.createDataFrame([(1, "kim@a.com and 123-45-67890"), (2, "nothing"), (3, "kim@a.com.kim@a.com"), (4, None), (5, ""), (6, "call 010-1234-5678 not 010-1234-56789 or 9010-1234-5678"), (7, "kim010-1234-5678@a.com, 010-1234-5678")], "id int, text string")
+    marks = P.pattern_dictionary(texts)
+    masked = P.mask_patterns(texts, marks)
+    rows = {r["id"]: r["masked"] for r in masked.collect()}
+    assert {r["id"]: r["back"] for r in P.unmask_texts(masked, marks).collect()} == {r["id"]: r["text"] for r in texts.collect()}
+    assert "@a.com" not in rows[1] and "67890" not in rows[1] and rows[4] is None and rows[5] == ""
+    assert rows[6] == "call {전화_1} not 010-1234-56789 or 9010-1234-5678"  # only what matches, where it matches
+    again = {r["id"]: r["masked"] for r in P.mask_patterns(texts).collect()}
+    assert again == rows
+
+
+def test_marks_without_braces(spark):
+    marks = spark.createDataFrame([("대성", "{전화_1}"), ("다른", "{전화_12}"), ("a@b.c", "{이메일_3}")], "value string, mark string")
+    texts = [(1, "{전화_1} 자료"), (2, "전화_1 자료를"), (3, "전화_12의 전화_123"), (4, "코드전화_1월"), (5, "{전화_9}와 전화_1."), (6, None), (7, "이메일_3{이메일_3}전화_1}")]
+    got = {r["id"]: r["back"] for r in P.unmask_texts(spark.createDataFrame(texts, "id int, masked string"), marks).collect()}
+    assert got == {1: "대성 자료", 2: "대성 자료를", 3: "다른의 전화_123", 4: "코드전화_1월", 5: "{전화_9}와 대성.", 6: None, 7: "a@b.ca@b.c전화_1}"}
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_entities_wherever_they_stand(spark, most):
+    """The longest at each place, from the left, within words too, never in a mark; by an automaton and by a join."""
+    texts = [(1, "acme corp and acme"), (2, "(주)대성기계는 대성"), (3, "nothing"), (4, None), (5, ""), (6, "a.b*c acmeacme corpus \\E x"), (7, "{1} acme")]
+    names = [("acme", "{1}"), ("acme corp", "{2}"), ("대성기계", "{3}"), ("대성", "{4}"), ("b*c", "{5}"), ("\\E x", "{6}"), ("acme", "{9}"), ("1", "{7}"), ("", "{8}")]
+    got = P.mask_entities(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(names, "value string, placeholder string"), most)
+    assert {r["id"]: (r["masked"], r["n_masked"]) for r in got.collect()} == {
+        1: ("{2} and {1}", 2), 2: ("(주){3}는 {4}", 2), 3: ("nothing", 0), 4: (None, 0), 5: ("", 0), 6: ("a.{5} {1}{2}us {6}", 4), 7: ("{{7}} {1}", 2)
+    }
 
 
 def test_payloads(spark):
