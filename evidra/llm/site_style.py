@@ -15,13 +15,14 @@ of their text is links). Headings and unnamed paragraphs, items and cells are te
 Text of each page: that of its main and article elements, with what is in them, in page order; of pages without such, the branch
 that holds most of the text outside links. Blocks are joined by line breaks; character references decoded, white space within a
 block one space. Null and empty html give an empty text, as does a page without article. Unclosed and crossed tags are closed by
-the usual rules (a paragraph ends at the next block). Depth and length are not limited; all steps are linear in the page. Repeated rows
+the usual rules (a paragraph ends at the next block). Depth and length are not limited; parsing counts what is open and is linear in the page. Repeated rows
 give equal rows; no rows give none. Null urls share one host.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -50,8 +51,14 @@ WEAK_NAMES = re.compile(r"(?:^|[-_ ])(?:side|related\w*|recommend\w*|popular|fol
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE_NAMES = re.compile(r"(?:^|[-_ ])(?:article\w*|post|story|entry|content|main|body|text)(?:$|[-_ ])", re.I)
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(hidden)\b", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
+#: An attribute by its whole name; a value without quotes ends at white space or the end of the tag, whatever quotes are in it.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
+_TAG_END = re.compile(r"\s*(/?)[\s/]*(?:>|\Z)")
+#: Parts of a class that tell how a page is laid out, not what the element is.
+_LAYOUT = re.compile(r"^(?:has|with|no|without)[-_]", re.I)
+# Elements that end an open one of their kind, and what keeps one within.
+ENDED_BY = {"li": ("li", "ul ol menu"), "tr": ("tr", "table"), "td": ("td", "tr table"), "th": ("th", "tr table"), "dt": ("dt", "dl"), "dd": ("dd", "dl"), "option": ("option", "select")}
 _SPACE = re.compile(r"\s+")
 # Elements that are text by themselves, and those that say where the article is.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -74,12 +81,66 @@ class Node:
     noise: bool = False  # by role, or within such
     weak: bool = False  # by name
     items: list = field(default_factory=list)  # nodes and texts in page order
+    open: dict = field(default_factory=dict)  # the open paragraph, item, row, cell ... that a tag within would end
+
+
+def _scope(parent: Node, node: Node) -> dict:
+    """What is open within ``node``; shared with its parent where it changes nothing."""
+    tag, out = node.tag, dict(parent.open)
+    if tag in BLOCK:
+        out.pop("p", None)
+    for kind, keeps in ENDED_BY.values():
+        if tag in keeps.split():
+            out.pop(kind, None)
+    if tag == "p" or tag in ENDED_BY:
+        out[tag] = node
+    return parent.open if out == parent.open else out
+
+
+def attributes(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Names (lower case) and values of a start tag from behind its name, whether it closes itself, and where it ends."""
+    found = []
+    while (end := _TAG_END.match(html, at)) is None:
+        a = _ATTRIBUTE.match(html, at)
+        if a is None:  # white space up to the end of the page
+            return found, False, len(html)
+        found.append((a[1].lower(), next((v for v in a.groups()[1:] if v is not None), "")))
+        at = a.end()
+    return found, bool(end[1]), end.end()
+
+
+def role(tag: str, given: list[tuple[str, str]]) -> tuple[str, bool, bool]:
+    """Name of an element in the tree (tag, class and id without digits), whether its role is no article's, and whether its name is weak."""
+    noise, weak, name = tag in NOT_ARTICLE, False, tag
+    for key, value in given:
+        if key in ("class", "id"):
+            name += "." + re.sub(r"\d+", "", value)
+            told = " ".join(x for x in value.split() if not _LAYOUT.match(x))
+            if tag == "article":
+                noise = noise or bool(re.search(r"\bcomment", told, re.I))
+            elif tag not in ("body", "html", "main"):
+                noise, weak = noise or bool(NOISE_NAMES.search(told)), weak or (bool(WEAK_NAMES.search(told)) and not ARTICLE_NAMES.search(told))
+        elif key == "role":
+            noise = noise or value.lower() in NOISE_ROLES
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
+            noise = True
+    return name, noise, weak
 
 
 def parse(html: str) -> Node:
-    """The page's element tree, as forgiving as browsers are about unclosed tags."""
+    """The page's element tree, as forgiving as browsers are about unclosed tags. Each step looks at what is opened or closed only: which tags are
+    open is counted, and what a tag would end is known at each node."""
     root = Node("", "", 0, None)
-    at, now, end = 0, root, len(html)
+    at, now, end, opened = 0, root, len(html), Counter()
+
+    def up_to(node: Node) -> Node:
+        """Close everything down from ``node``."""
+        x = now
+        while x is not node.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return x
+
     while at < end:
         found = _MARKUP.search(html, at)
         if found is None:
@@ -90,42 +151,21 @@ def parse(html: str) -> Node:
         at = max(found.end(), found.start() + 1)
         closing, tag = found[1], found[2]
         if closing:
-            closing, up = closing.lower(), now
-            while up is not root and up.tag != closing:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            closing = closing.lower()
+            if opened[closing] > 0:
+                up = now
+                while up.tag != closing:
+                    up = up.parent
+                now = up_to(up)
             elif closing == "p":
                 now.items.append(Node("p", "p", _path(now.path, "p"), now, now.noise))
         elif tag:
             tag = tag.lower()
-            if tag in ENDS_PARAGRAPH:
-                up = now
-                while up is not root and up.tag != "p" and (up.tag not in BLOCK):
-                    up = up.parent
-                if up.tag == "p":
-                    now = up.parent
-            for same, stop in (("li", ("ul", "ol", "menu")), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")), ("dt", ("dl",)), ("dd", ("dl",)), ("option", ("select",))):
-                if tag == same:
-                    up = now
-                    while up is not root and up.tag != same and up.tag not in stop:
-                        up = up.parent
-                    if up.tag == same:
-                        now = up.parent
-            noise, weak, name = tag in NOT_ARTICLE, False, tag
-            if found[3]:
-                for a in _ATTRIBUTE.finditer(found[3]):
-                    key, value = (a[1] or a[5]).lower(), a[2] or a[3] or a[4] or ""
-                    if key in ("class", "id"):
-                        name += "." + re.sub(r"\d+", "", value)
-                        if tag not in ("body", "html", "main", "article") and not (key == "class" and ARTICLE_NAMES.search(value) and tag == "div" and "comment" not in value.lower()):
-                            noise, weak = noise or bool(NOISE_NAMES.search(value)), weak or bool(WEAK_NAMES.search(value))
-                        elif tag == "article" and re.search(r"\bcomment", value, re.I):
-                            noise = True
-                    elif key == "role":
-                        noise = noise or value.lower() in NOISE_ROLES
-                    elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
-                        noise = True
+            given, closes_itself, at = attributes(html, at)
+            for ended in (["p"] if tag in ENDS_PARAGRAPH else []) + ([tag] if tag in ENDED_BY else []):
+                if (x := now.open.get(ended)) is not None:
+                    now = up_to(x)
+            name, noise, weak = role(tag, given)
             node = Node(tag, name, _path(now.path, name), now, noise or now.noise, weak)
             now.items.append(node)
             if tag in RAW:
@@ -133,7 +173,9 @@ def parse(html: str) -> Node:
                 if tag in ("title", "textarea"):
                     node.items.append(html[at : close.start() if close else end])
                 at = close.end() if close else end
-            elif tag not in VOID and not (found[3] or "").endswith("/"):
+            elif tag not in VOID and not closes_itself:
+                node.open = _scope(now, node)
+                opened[tag] += 1
                 now = node
     return root
 
@@ -161,7 +203,7 @@ def containers(nodes: list[Node]) -> list[Node]:
         if found:
             inside, top = set(), []
             for x in nodes:  # parents come before their children
-                if x.parent in inside or (x in top):
+                if x.parent in inside:
                     inside.add(x)
                 elif not x.noise and fits(x):
                     top.append(x)

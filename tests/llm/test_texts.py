@@ -1,7 +1,10 @@
 """Licenses, classifiers, pages and the pipeline."""
 
 import random
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -276,3 +279,76 @@ def test_sample_is_bounded_and_skips_held_out(spark):
     labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int"))
     rows = labelled_sample(docs, labels, "toxic", 3, 1, 40).collect()
     assert len(rows) == 80 and not any(held(r["_text"].split()[1], 3, 1) for r in rows)
+
+
+def test_quotes_in_bare_values_end_nothing():
+    page = "<article><p title=don't>First one.</p><p>Second isn't <b class='x' data-a=\"it's\">bold</b>.</p><p data-hidden=1 nothidden>third.</p><p hidden>gone</p><img alt=a/b/>x<br/>y</article>"
+    assert site_style.article_text(page, {}) == "First one.\nSecond isn't bold.\nthird.\nx y"
+    assert site_style.article_text('<article><p title="open>a</p><p>b</p>', {}) == "a\nb"
+
+
+def test_noise_is_told_before_article_names():
+    for name in ("sidebar content", "footer-content", "newsletter-body", "ad content", "main-menu", "share content", "post-comments", "content comments"):
+        assert site_style.article_text(f"<article><p>stays</p><div class='{name}'>goes</div></article>", {}) == "stays"
+    for name in ("content has-sidebar", "with-menu post", "article-body", "main-content", "post no-header", "entry-text"):
+        assert site_style.article_text(f"<body><div class='{name}'><p>stays</p></div><footer>goes</footer></body>", {}) == "stays"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 16_000 + "</i>" * 16_000, "<article>" * 16_000, "<p><tr>" + "<b>" * 8000 + "<div></div>" * 8000, "<ul><li>" * 8000 + "</b>" * 8000, "<a b='" * 16_000, "<td>" * 16_000 + "</table>" * 16_000, "<dl>" + "<dt><i>" * 8000, "<x " + "a " * 50_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    site_style.article_text(page, {})
+    site_style.page_facts(page)
+    assert time.process_time() - began < 3
+
+
+class Plain(HTMLParser):
+    """A slow reader of its own: blocks of text of the article, without elements whose tag or class says they are none."""
+
+    VOID = {"br", "img", "meta", "link", "hr", "input"}
+    NOISE = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "iframe", "button", "select", "textarea", "head", "title"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.now = [], [], []
+        self.inside = re.search(r"<(article|main)\b", page, re.I)
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        if text := " ".join("".join(self.now).split()):
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        told = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+        noise = tag in self.NOISE or bool(re.search(r"\b(ads?|advert|nav|navigation|menu|sidebar|footer|header|cookie|comments?|share|social|promo|banner|newsletter|related|popup|modal|breadcrumbs?)\b", told, re.I))
+        if tag not in ("b", "i", "a", "em", "strong", "span", "br", "img", "code", "u"):
+            self.cut()
+        if tag == "br":
+            self.now.append(" ")
+        if tag not in self.VOID:
+            self.stack.append((tag, noise))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span", "code", "u"):
+            self.cut()
+        while any(t == tag for t, _ in self.stack) and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        article = not self.inside or any(t in ("article", "main") for t, _ in self.stack)
+        if article and not any(noise for _, noise in self.stack):
+            self.now.append(data)
+
+
+def test_given_pages_as_a_plain_reader_has_them(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    got = {r["page_id"]: r["text"] for r in site_style.op9_site_style(spark, folder).collect()}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    assert got.keys() == pages.keys()
+    assert {i: "\n".join(Plain(p or "").blocks) for i, p in pages.items()} == got
