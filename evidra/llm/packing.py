@@ -1,12 +1,12 @@
 """Best-fit packing of token sequences, with a swap-based local search.
 
 Documents become pieces of at most ``capacity`` tokens. Full pieces are sequences of their own. The rest are dealt into
-shards of bounded size. In each shard, items go into the bin where they leave least room, by size classes and in order of arrival within
-a class. That leaves more bins than needed; the local search then empties the emptiest ones: it moves items into other underfull
-bins, or exchanges one for one, two for one or one for two, always the exchange that takes most tokens out and so raises the sum
-of squared fills, until the lower bound is met or none of the bins that are too many can be improved. All underfull bins of the
-shard may receive. Above the bound, all bins are taken apart once, items move into bins
-anew, larger ones first, and the search goes on from there. The emptiest bins of all shards are dealt again, into far fewer shards, until one shard is left.
+shards of bounded size. In each shard, items go into the bin where they leave least room, larger ones first. Where that leaves more bins
+than the lower bound, the local search empties the emptiest ones: it moves items into other underfull bins, or exchanges one for
+one, two for one or one for two, always the exchange that takes most tokens out and so raises the sum of squared fills, until the
+bound is met or none of the bins that are too many can be improved. All underfull bins of the shard may receive. If that ends above
+the bound, it is tried from another first state too (size classes in order of arrival), and the state with fewer bins stays. The emptiest
+bins of all shards are dealt again, into far fewer shards, until one shard is left.
 
 Null text is an empty text; an empty text is one piece (its closing id). Repeated rows are packed once each, told apart by
 their ids' checksum only: give ``id_col`` unique values where pieces must be traced back. An empty table gives no rows.
@@ -43,7 +43,7 @@ class Bins:
         self.size, self.capacity, self.steps = np.asarray(sizes, np.int64), capacity, 0
         self.own = np.full(len(sizes), -1, np.int64)
         self.fill = np.zeros(0, np.int64)
-        self._place(np.argsort(-np.frexp(self.size)[1], kind="stable"))  # by size class, then by arrival
+        self._place(np.argsort(-self.size, kind="stable"))
 
     def _place(self, items: np.ndarray) -> None:
         """Best fit in this order: the bin with the smallest room that is enough, or else a new one."""
@@ -76,16 +76,15 @@ class Bins:
         return int((self.fill > 0).sum())
 
     def improve(self) -> None:
-        """Search; where that ends above the bound, take all bins apart, let the items move into bins anew, larger ones first, and
-        search again. The second state stays unless it has more bins."""
+        """Search from the first state, and from another one where that ends above the bound; the state with fewer bins stays."""
         self._search()
-        if (found := self.used()) > self.least():
-            own, fill = self.own, self.fill
-            self.own, self.fill = np.full(len(own), -1, np.int64), fill[:0]
-            self._place(np.argsort(-self.size, kind="stable"))
+        if self.used() > self.least():
+            kept = self.own, self.fill, self.steps
+            self.own, self.steps = np.full(len(self.own), -1, np.int64), 0
+            self._place(np.argsort(-np.frexp(self.size)[1], kind="stable"))  # by size class, then by arrival
             self._search()
-            if self.used() > found:
-                self.own, self.fill = own, fill
+            if self.used() >= int((kept[1] > 0).sum()):
+                self.own, self.fill, self.steps = kept
 
     def _search(self) -> None:
         """Empty the emptiest bins into others. Every step raises the sum of squared fills, so it ends."""
