@@ -1,6 +1,7 @@
 """Workbooks, listings and sinks on files."""
 
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,7 +160,42 @@ def test_a_failed_write_changes_nothing(spark, tmp_path):
         assert not isinstance(problem, AssertionError)
     assert [tables.read_table(spark, root, n, "k").first()["a"] for n in ("files", "sheets")] == [1, 1]
     tables.write_tables({"files": two, "sheets": two}, root, "k")
-    assert tables.read_table(spark, root, "sheets", "k").first()["a"] == 2 and len(list((tmp_path / "db/_versions/k").glob("0*"))) == 1
+    assert tables.read_table(spark, root, "sheets", "k").first()["a"] == 2 and [n for n, *_ in tables.snapshots(spark, root, "k")] == [1, 2]
+
+
+def test_readers_keep_what_they_opened(spark, tmp_path):
+    root = str(tmp_path / "db")
+    one = lambda x: {"files": spark.createDataFrame([(x,)], "a int")}
+    assert tables.write_tables(one(1), root, "k") == 1
+    opened = tables.read_table(spark, root, "files", "k")
+    assert tables.write_tables(one(2), root, "k") == 2
+    assert [r["a"] for r in opened.collect()] == [1]
+    assert [tables.read_table(spark, root, "files", "k", n).first()["a"] for n in (None, 1, 2)] == [2, 1, 2]
+    assert tables.write_tables(one(3), root, "k", retention=0) == 3  # what was replaced goes at once
+    assert [n for n, *_ in tables.snapshots(spark, root, "k")] == [3] and len(list((tmp_path / "db/_versions/k").glob("data-*"))) == 1
+    with pytest.raises(ValueError, match="no snapshot 1"):
+        tables.read_table(spark, root, "files", "k", 1)
+
+
+def test_two_writers(spark, tmp_path):
+    """All commit, under numbers of their own, and none is lost."""
+    root = str(tmp_path / "db")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda x: tables.write_tables({"files": spark.createDataFrame([(x,)], "a int")}, root, "k"), range(6)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    assert [tables.read_table(spark, root, "files", "k", n).first()["a"] for n in numbers] == list(range(6))
+    assert tables._create(spark, f"{root}/_versions/k/_log/0000000003", "{}") is False
+
+
+def test_folders_of_lost_writers_go(spark, tmp_path):
+    root = str(tmp_path / "db")
+    df = {"files": spark.createDataFrame([(1,)], "a int")}
+    tables.write_tables(df, root, "k")
+    (tmp_path / "db/_versions/k/data-lost/files").mkdir(parents=True)
+    tables.write_tables(df, root, "k")
+    assert (tmp_path / "db/_versions/k/data-lost").exists()  # it may still be written
+    tables.expire(spark, root, "k", 0)
+    assert not (tmp_path / "db/_versions/k/data-lost").exists() and tables.read_table(spark, root, "files", "k").count() == 1
 
 
 def test_sinks(spark, tmp_path):
