@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.ranges import numbered, running_sum
+from evidra.functions.unicode import casefold
 
 STAMP = 12
+MOST_CANDIDATE_FILES = 5
 
 
 def paired_moves(differing: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -70,16 +72,22 @@ def suggestable(name: Column) -> Column:
     return F.length(c).between(2, 30) & ~c.startswith("_") & ~c.rlike(r"^[\d\W_&&[^가-힣]]+$|^\d+\s*(월|분기|주|일|년)$")
 
 
-def new_columns(current: DataFrame, known: DataFrame) -> DataFrame:
-    """Names (name) never seen before that may become terms."""
-    return current.select("name").distinct().join(known, "name", "left_anti").where(suggestable(F.col("name")))
+def new_columns(current: DataFrame, known: DataFrame, by: str = "company") -> DataFrame:
+    """(by, name): names of a company's columns (by, name) never seen before that may become terms. A company of which nothing is known is
+    scanned for the first time: nothing of it is new."""
+    scanned = current.join(known.select(by).distinct(), by, "left_semi").select(by, "name").distinct()
+    return scanned.join(known, [by, "name"], "left_anti").where(suggestable(F.col("name")))
 
 
-def glossary_candidates(fresh: DataFrame, dismissed: DataFrame, covered: DataFrame, present: DataFrame) -> DataFrame:
-    """New names less those dismissed, covered by the glossary, or no longer there; with up to five files that have them."""
-    left = fresh.join(dismissed, "name", "left_anti").join(covered, "name", "left_anti")
-    files = present.groupBy("name").agg(F.array_sort(F.collect_set("path")).alias("p"))
-    return left.join(files, "name").select("name", F.array_join(F.slice("p", 1, 5), ";").alias("files"))
+def glossary_candidates(fresh: DataFrame, dismissed: DataFrame, covered: DataFrame, present: DataFrame, by: str = "company") -> DataFrame:
+    """(by, name, files, place): new names (by, name, first_seen) less those dismissed (by, name), covered by the glossary (by, name; cases folded), or in no
+    file any more (present: by, name, path); with up to five files that have them. ``place`` counts from the newest, per company."""
+    words = covered.select(by, casefold(F.col("name")).alias("_word")).distinct()
+    left = fresh.join(dismissed.select(by, "name"), [by, "name"], "left_anti").withColumn("_word", casefold(F.col("name"))).join(words, [by, "_word"], "left_anti")
+    some = present.select(by, "name", "path").distinct().withColumn("k", F.row_number().over(Window.partitionBy(by, "name").orderBy("path"))).where(F.col("k") <= MOST_CANDIDATE_FILES)
+    files = some.groupBy(by, "name").agg(F.array_join(F.array_sort(F.collect_list("path")), ";").alias("files"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("first_seen"), "name")).cast("long")
+    return left.join(files, [by, "name"]).withColumn("place", place).select(by, "name", "files", "place")
 
 
 def upsert_latest(rows: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:

@@ -37,6 +37,9 @@ def _(t):
 
 KIND = "concat(p_type, ' ', CAST(p_size AS VARCHAR(9)))"
 NAMES = f"CASE WHEN p_partkey % 5 = 0 THEN concat('_', p_type) WHEN p_partkey % 7 = 0 THEN '12월' WHEN p_partkey % 11 = 0 THEN '2024' ELSE {KIND} END"
+#: Columns of each company's files; of the first two companies some are known, the others are scanned for the first time.
+NAMED = f"nd AS (SELECT p_partkey % 3 AS company, {NAMES} AS name, p_brand AS path, p_size % 10 AS day FROM part), kn AS (SELECT DISTINCT p_partkey % 3 AS company, {KIND} AS name FROM part WHERE p_size % 4 = 1 AND p_partkey % 3 < 2)"
+NEW = f"{NAMED}, nw AS (SELECT DISTINCT company, name FROM nd WHERE company < 2 AND length(name) BETWEEN 2 AND 30 AND NOT starts_with(name, '_') AND name NOT IN ('12월', '2024') AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.company = nd.company AND kn.name = nd.name))"
 
 
 def kind_of():
@@ -45,22 +48,25 @@ def kind_of():
 
 def _named(t):
     k = F.col("p_partkey")
-    return t("part").select(F.when(k % 5 == 0, F.concat(F.lit("_"), "p_type")).when(k % 7 == 0, "12월").when(k % 11 == 0, "2024").otherwise(kind_of()).alias("name"), F.col("p_brand").alias("path"))
+    name = F.when(k % 5 == 0, F.concat(F.lit("_"), "p_type")).when(k % 7 == 0, "12월").when(k % 11 == 0, "2024").otherwise(kind_of())
+    return t("part").select((k % 3).alias("company"), name.alias("name"), F.col("p_brand").alias("path"), (F.col("p_size") % 10).alias("day"))
 
 
-NEW = f"nw AS (SELECT DISTINCT name FROM (SELECT {NAMES} AS name FROM part) x WHERE length(name) BETWEEN 2 AND 30 AND NOT starts_with(name, '_') AND name NOT IN ('12월', '2024') AND name NOT IN (SELECT {KIND} FROM part WHERE p_size % 4 = 1))"
+def _known(t):
+    return t("part").where("p_size % 4 = 1 and p_partkey % 3 < 2").select((F.col("p_partkey") % 3).alias("company"), kind_of().alias("name")).distinct()
 
 
-@query("new_columns", "", f"WITH {NEW} SELECT name FROM nw")
+@query("new_columns", "", f"WITH {NEW} SELECT company, name FROM nw")
 def _(t):
-    return Y.new_columns(_named(t), t("part").where("p_size % 4 = 1").select(kind_of().alias("name")).distinct())
+    return Y.new_columns(_named(t), _known(t))
 
 
-@query("glossary_candidates", "", f"WITH {NEW} SELECT nw.name, array_to_string(list_sort(list(DISTINCT p_brand))[1:5], ';') AS files FROM nw JOIN (SELECT {NAMES} AS name, p_brand FROM part) p ON p.name = nw.name WHERE nw.name NOT LIKE '%A%' AND nw.name NOT LIKE 'S%' GROUP BY nw.name")
+@query("glossary_candidates", "", f"WITH {NEW}, c AS (SELECT nw.company, nw.name, max(day) AS seen, array_to_string(list_sort(list(DISTINCT path))[1:5], ';') AS files FROM nw JOIN nd ON nd.company = nw.company AND nd.name = nw.name GROUP BY ALL) SELECT company, name, files, row_number() OVER (PARTITION BY company ORDER BY seen DESC, name) AS place FROM c WHERE NOT (name LIKE '%A%' AND company = 1) AND name NOT LIKE 'S%'")
 def _(t):
-    known = t("part").where("p_size % 4 = 1").select(kind_of().alias("name")).distinct()
-    types = t("part").select(kind_of().alias("name")).distinct()
-    return Y.glossary_candidates(Y.new_columns(_named(t), known), types.where("name like '%A%'"), types.where("name like 'S%'"), _named(t))
+    seen = _named(t).groupBy("company", "name").agg(F.max("day").alias("first_seen"))
+    fresh = Y.new_columns(_named(t), _known(t)).join(seen, ["company", "name"])
+    names = _named(t).select("company", "name").distinct()
+    return Y.glossary_candidates(fresh, names.where("name like '%A%' and company = 1"), names.where("name like 'S%'").withColumn("name", F.lower("name")), _named(t))
 
 
 @query("upsert_latest", "", "SELECT user_id, arg_max(value, [epoch_us(ts), event_id]) AS value, min(ts) AS created_at FROM (SELECT user_id, ts, event_id, value FROM events) e GROUP BY user_id", dates="created_at")

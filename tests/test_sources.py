@@ -1,5 +1,6 @@
 """Workbooks, listings and sinks on files."""
 
+import unicodedata
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
@@ -148,6 +149,18 @@ def test_links_and_many_files(spark, tmp_path):
     assert got == {"f0.xlsx": None, "f1.xlsx": None, "f2.xlsx": None, "f3.xlsx": "too_many", "f4.xlsx": "too_many", "link.xlsx": "symlink"}
 
 
+def test_names_are_composed_and_unreadable_files_told(spark, tmp_path):
+    folder = tmp_path / unicodedata.normalize("NFD", "영업팀")
+    folder.mkdir()
+    (folder / unicodedata.normalize("NFD", "실적 보고.xlsx")).write_bytes(b"x")
+    row = listing.list_files(spark, str(tmp_path)).first()
+    assert (row["name"], row["rel"], row["folder"].rsplit("/", 1)[1]) == ("실적 보고.xlsx", "영업팀/실적 보고.xlsx", "영업팀")
+    assert spark.read.format("binaryFile").load(row["path"]).count() == 1
+    gone = spark.createDataFrame([(f"file:{tmp_path}/gone.xlsx", 5, None), ("s3://store/a.xlsx", 5, None)], "path string, size long, mtime timestamp")
+    told = listing.looked_at(gone).withColumn("reason", listing.skip_reason(F.lit("a.xlsx"), F.col("size"), F.col("link"), F.col("readable")))
+    assert [r["reason"] for r in told.collect()] == ["unreadable", None]
+
+
 def test_a_failed_write_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "db")
     one, two = (spark.createDataFrame([(x,)], "a int") for x in (1, 2))
