@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -24,7 +25,6 @@ MARK = r"\{(?:사업자번호|전화|이메일)_\d+\}|(?<![0-9A-Za-z가-힣{])(?
 #: Values of which one automaton is made.
 MOST_ENTRIES = 100_000
 FORBIDDEN = ("raw_rows", "raw", "cells", "records")
-STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive, so that long strings need no stack
 MOST_ITEMS, MOST_CHARS, SENT_CHARS, MOST_RECENT = 60, 120_000, 20_000, 500
 BLOCKED = "[차단됨]"
 
@@ -143,18 +143,22 @@ def redact_injection(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, INJECTION, BLOCKED), F.size(F.regexp_extract_all(text, F.lit(INJECTION), F.lit(0)))
 
 
-def egress_guard(payload: Column) -> Column:
-    """Verdict on a JSON payload: forbidden field (a key at any depth, also if written with escapes), list too long (at any depth),
-    too large, or ok. A list is measured once all that is in it has been folded to one sign, level by level from the innermost."""
-    keys = F.transform(F.filter(F.regexp_extract_all(payload, F.lit(STRING + r"\s*:?"), F.lit(0)), lambda s: s.endswith(":")), lambda s: F.from_json(F.concat(F.lit("["), F.regexp_extract(s, STRING, 0), F.lit("]")), "array<string>")[0])
-    plain = F.regexp_replace(F.regexp_replace(payload, STRING, "0"), r"[^\[\]{},]+", "0")
-    level = lambda s, x: F.struct((s["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("most"))
-    depth = F.aggregate(F.regexp_extract_all(plain, F.lit(r"[\[\]{}]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), level)["most"]
-    items = lambda x: F.when(x == "[]", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) + 1)
-    longest = lambda t: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"\[[0,]*\]"), F.lit(0)), items)), F.lit(0))
-    fold = lambda s, _: F.struct(F.regexp_replace(F.regexp_replace(s["text"], r"\[[0,]*\]|\{[0,]*\}", "0"), "0+", "0").alias("text"), F.greatest(s["most"], longest(s["text"])).alias("most"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.struct(plain.alias("text"), F.lit(0).alias("most")), fold)
-    return F.when(F.arrays_overlap(keys, F.array(*map(F.lit, FORBIDDEN))), "forbidden_field").when(folded["most"] > MOST_ITEMS, "list_too_long").when(F.length(payload) > MOST_CHARS, "too_large").otherwise("ok")
+def egress_guard(payloads: DataFrame) -> DataFrame:
+    """(id, verdict) of JSON payloads (id, payload): ``malformed``, ``forbidden_field`` (a key at any depth, however it is written), ``list_too_long`` (at any
+    depth), ``too_large``, or ``ok``. A payload is parsed once; each level's objects and lists are opened in one step and only what is nested in
+    them goes on to the next, so the work follows the payload's size. A key that an object has twice is malformed."""
+    parsed = payloads.select("id", F.length("payload").alias("_n"), F.try_parse_json("payload").alias("v"))
+    level, found = stored(parsed.where("v is not null").select("id", "v")), []
+    while not level.isEmpty():
+        items = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("id", "pos", "key", "value")
+        seen = stored(items.select("id", F.col("key").isin(*FORBIDDEN).alias("bad"), F.when(F.col("key").isNull(), F.col("pos") + 1).alias("size"), F.when(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<"), F.col("value")).alias("v")))
+        found.append(seen.groupBy("id").agg(F.bool_or("bad").alias("bad"), F.max("size").alias("size")))
+        level = seen.where("v is not null").select("id", "v")
+    if not found:
+        found = [payloads.limit(0).select("id", F.lit(False).alias("bad"), F.lit(0).alias("size"))]
+    facts = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.bool_or("bad").alias("bad"), F.max("size").alias("size"))
+    verdict = F.when(~F.col("_ok"), "malformed").when(F.col("bad"), "forbidden_field").when(F.col("size") > MOST_ITEMS, "list_too_long").when(F.col("_n") > MOST_CHARS, "too_large").otherwise("ok")
+    return parsed.select("id", "_n", F.col("v").isNotNull().alias("_ok")).join(facts, "id", "left").select("id", verdict.alias("verdict"))
 
 
 def audit_log(sent: DataFrame) -> DataFrame:

@@ -45,14 +45,21 @@ def _(t):
     return t("fx_texts").select("id", redacted.alias("redacted"), blocked.alias("blocked"))
 
 
-@query("egress_guard", "", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'forbidden_field' WHEN event_id % 90 > 60 THEN 'list_too_long' WHEN event_id % 500 = 1 THEN 'too_large' ELSE 'ok' END AS verdict FROM events")
+#: Payloads with a key at some depth (written plainly or with escapes), lists of many lengths, nested ones, long texts, and broken ones.
+ONE = "CASE WHEN event_id % 2 = 0 THEN CAST(i AS VARCHAR(9)) ELSE '{\"a\":[1,[2]],\"b\":\"],[\"}' END"
+KEY = "CASE event_id % 13 WHEN 0 THEN '\"raw_rows\":0,' WHEN 1 THEN '\"x\":[{\"y\":{\"\\u0072aw\":[]}}],' WHEN 2 THEN '\"raw2\":\"raw\",' ELSE '' END"
+PAYLOAD = f"concat('{{', {KEY}, '\"v\":[', array_to_string(list_transform(range(1, greatest(event_id % 90, 1) + 1), lambda i: {ONE}), ','), '],\"t\":\"', CASE WHEN event_id % 500 = 1 THEN repeat('x', 120001) ELSE '' END, CASE WHEN event_id % 17 = 3 THEN '' ELSE '\"}}' END)"
+
+
+@query("egress_guard", "", f"WITH p AS (SELECT event_id, {PAYLOAD} AS payload FROM events), k AS (SELECT event_id, bool_or(t.key IN ('raw_rows', 'raw', 'cells', 'records')) AS bad, max(CASE WHEN t.type = 'ARRAY' THEN json_array_length(t.value) END) AS size FROM (SELECT * FROM p WHERE json_valid(payload)) p, json_tree(payload) t GROUP BY event_id) SELECT p.event_id, CASE WHEN NOT json_valid(payload) THEN 'malformed' WHEN bad THEN 'forbidden_field' WHEN size > 60 THEN 'list_too_long' WHEN length(payload) > 120000 THEN 'too_large' ELSE 'ok' END AS verdict FROM p LEFT JOIN k ON k.event_id = p.event_id")
 def _(t):
     k = F.col("event_id")
     one = lambda i: F.when(k % 2 == 0, i.cast("string")).otherwise(F.concat(F.lit('{"a":[1,[2]],"b":"],["}')))
     items = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(k % 90, F.lit(1))), one), ",")
-    key = F.when(k % 13 == 0, '"raw_rows":0,').otherwise("")
-    pad = F.when(k % 500 == 1, F.repeat(F.lit("x"), 120_001)).otherwise("")
-    return t("events").select("event_id", P.egress_guard(F.concat(F.lit("{"), key, F.lit('"v":['), items, F.lit('],"t":"'), pad, F.lit('"}'))).alias("verdict"))
+    key = F.when(k % 13 == 0, '"raw_rows":0,').when(k % 13 == 1, '"x":[{"y":{"\\u0072aw":[]}}],').when(k % 13 == 2, '"raw2":"raw",').otherwise("")
+    pad, end = F.when(k % 500 == 1, F.repeat(F.lit("x"), 120_001)).otherwise(""), F.when(k % 17 == 3, "").otherwise('"}')
+    payload = F.concat(F.lit("{"), key, F.lit('"v":['), items, F.lit('],"t":"'), pad, end)
+    return P.egress_guard(t("events").select(k.alias("id"), payload.alias("payload"))).withColumnRenamed("id", "event_id")
 
 
 @query("audit_recent", "", "SELECT event_id AS id, ts AS at, substr(props, 1, 20000) AS sent FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", dates="at")
