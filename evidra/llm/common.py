@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows as a table of its own below the checkpoint folder, and where it is; ``dropped`` deletes it once nothing reads it any more."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/rows-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Shares of rows from which a key counts as heavy: at most so many keys can hold more than one in so many of all rows.
 HEAVY = 512
 

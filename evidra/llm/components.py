@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import checkpointed
+from evidra.llm.common import dropped, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs larger neighbours, then smaller ones, under the smallest; rounds grow with the logarithm of the longest
     path. Minima are taken by partial aggregation and rejoined, so a hub of any degree is never collected; each round is
-    written to the checkpoint folder. Self-loops and repeated edges don't matter; no edges give no rows."""
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    written to the checkpoint folder, and the round before it is deleted. Self-loops and repeated edges don't matter; no edges give no rows."""
+    now, place = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        now = checkpointed(small)
+        (now, place), before = written(small), place
+        dropped(now.sparkSession, before)
         if (then := _state(now)) == state:
             break
         state = then

@@ -41,7 +41,7 @@ CHUNK_SHINGLES, LEAF, FAN, BITS, CHUNK_BITS = 1_500_000, 16, 8, 1024, 1 << 16
 #: Bins of a sketch; sizes of groups that are compared in one step; shares of a sketch's codes that differ: in linked sets at most, and
 #: in a leader's followers at most; part keys that a task looks through at once for followers, and how often.
 BINS, ALL_PAIRS = 128, 64
-FAR, FOLLOWS = 0.5, 0.12
+FAR, FOLLOWS, DEVIATIONS = 0.5, 0.12, 8.0
 COMBINED, TURNS = 1_500_000, 3
 _WORD = np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,11 +193,17 @@ class Leaders:
         self.numbers = np.concatenate((self.numbers[stay], np.zeros((room, 4))))
 
 
+def far_share(t: float) -> float:
+    """Share of a sketch's codes that may differ in sets of similarity ``t`` or more: the expected one and ``DEVIATIONS`` standard deviations of a
+    sketch's ``BINS`` draws, so that a link is missed with a chance below 1e-15 whatever the similarity; ``FAR`` at least."""
+    return max(FAR, 1 - t + DEVIATIONS * (t * (1 - t) / BINS) ** 0.5)
+
+
 def near(far: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """Which of the sets a (columns: filled codes, reach, least and largest size) may be tied to those of b, ``far`` codes away."""
     reach = a[..., 1] + b[..., 1]
     most = np.maximum(a[..., 0] + a[..., 1], b[..., 0] + b[..., 1])
-    return (far <= reach + FAR * most) & (a[..., 2] * t <= b[..., 3] * (1 + 1e-9)) & (b[..., 2] * t <= a[..., 3] * (1 + 1e-9))
+    return (far <= reach + far_share(t) * most) & (a[..., 2] * t <= b[..., 3] * (1 + 1e-9)) & (b[..., 2] * t <= a[..., 3] * (1 + 1e-9))
 
 
 def tie_group(nodes: np.ndarray, sizes: np.ndarray, codes: np.ndarray, reach: np.ndarray, percent: int) -> list[tuple[int, int]]:

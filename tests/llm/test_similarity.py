@@ -250,3 +250,55 @@ def test_blocks_are_pruned_on_sparse_vectors():
     exact = vectors[:100] @ vectors.T
     exact[np.arange(100), np.arange(100)] = -1
     assert (np.sort(exact, 1)[:, :-6:-1] == score).all() and done < 100 * 16 / 4
+
+
+@pytest.mark.parametrize("percent", [90, 80, 70, 60, 50])
+def test_links_at_the_threshold_pass_the_sketches(percent):
+    """Pairs of 2000 shingles that link exactly: the sketches drop none, whatever the threshold."""
+    rng = np.random.default_rng(percent)
+    shared = 2000 * percent // 100
+    apart = (2000 - shared) // 2
+    lost = 0
+    for _ in range(150):
+        all_ = rng.integers(0, 2**63, 2000, np.int64).view(np.uint64)
+        a, b = np.sort(all_[: shared + apart]), np.sort(np.concatenate((all_[:shared], all_[shared + apart :])))
+        codes = nd.sketches([a, b])
+        n, full = len(a), nd.filled(codes)
+        numbers = np.array([[full[0], 0, n, n], [full[1], 0, len(b), len(b)]], float)
+        lost += not nd.near(nd.differing(codes[0], codes[1]), numbers[0], numbers[1], percent / 100)
+    assert lost == 0
+
+
+def test_recall_on_a_larger_table(spark):
+    """Over 10 000 documents with copies edited to every degree: exact links by an inverted index of all shingles, at 90 and 80."""
+    rng = random.Random(12)
+    docs, vocabulary = [], [f"{w}{k}" for w in WORDS for k in range(60)]
+    while len(docs) < 10_200:
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([8, 20, 45, 90]))]
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 6])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            docs.append(" ".join(copy))
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    for n, percent in ((3, 90), (5, 80)):
+        sets = {i: shingles(t, n) for i, t in docs}
+        holders, up = {}, {i: i for i in sets}
+        for i, s in sets.items():
+            for x in s:
+                holders.setdefault(x, []).append(i)
+
+        def root(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        links = {(a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+        links = [(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        for a, b in links:
+            r, s = root(a), root(b)
+            up[max(r, s)] = min(r, s)
+        got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df, n, percent).collect()}
+        assert len(links) > 1000 and got == {i: root(i) for i in sets}
