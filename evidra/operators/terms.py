@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.joins import contains_join
+from evidra.functions.storage import stored
+from evidra.functions.suffixes import common_beginnings
 from evidra.functions.unicode import casefold, squeezed
 
 # The glossary (term, its columns, its synonyms), and words that decide on scope.
@@ -93,16 +95,20 @@ def pre_lookup(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def mentioned_files(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, files) of questions that name files; see ``pre_lookup``."""
-    lengths = lambda least, most: F.explode(F.sequence(F.lit(least), most))
-    runs = names.select("name").distinct().where(F.length("name") >= SHORTEST_NAMED).select("name", lengths(1, F.length("name") - (SHORTEST_NAMED - 1)).alias("i")).select("name", "i", lengths(SHORTEST_NAMED, F.length("name") - F.col("i") + 1).alias("n")).select("name", F.expr("substr(name, i, n)").alias("run")).distinct()
-    # Three names are enough for a run; this limit is pushed below the shuffle.
-    few = runs.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("name"))).where(F.col("k") <= NAMES_A_WORD)
+    """(id, files) of questions that name files; see ``pre_lookup``.
+
+    Names are laid out by their suffixes, in order: a name holds a word's beginning where one of its suffixes begins with it, and these suffixes stand
+    together. Each word looks at its two neighbours in that order, which have the longest beginning in common with it, and then at
+    the suffixes that begin with what is found. Letters of names give one row each; the order is cut into ranges (``functions.ranges``)."""
+    suffixes = names.select("name").distinct().where(F.length("name") >= SHORTEST_NAMED).select("name", F.explode(F.sequence(F.lit(1), F.length("name") - (SHORTEST_NAMED - 1))).alias("i")).select("name", F.expr("substr(name, i)").alias("text"))
     words = questions.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[가-힣A-Za-z0-9_]{%d,}" % SHORTEST_NAMED), F.lit(0))).alias("pos", "w"))
-    begun = words.select("id", "pos", "w", lengths(SHORTEST_NAMED, F.length("w")).alias("n")).select("id", "pos", "n", F.expr("left(w, n)").alias("run"))
-    hits = begun.join(few, "run")
-    longest = hits.groupBy("id", "pos").agg(F.max("n").alias("n"))
-    each = hits.join(longest, ["id", "pos", "n"]).groupBy("id", "name").agg(F.min(F.struct("pos", "k")).alias("o"))
+    begins = stored(common_beginnings(stored(words.select("w").distinct()), "w", stored(suffixes.select("text").distinct()), "text").where(F.col("n") >= SHORTEST_NAMED).withColumn("run", F.expr("left(w, n)")))
+    # Suffixes that begin with what was found: by an equi-join on as many letters as the shortest word has, then compared.
+    head = lambda c: F.left(c, F.lit(SHORTEST_NAMED))
+    met = begins.select("run").distinct().withColumn("head", head(F.col("run"))).join(suffixes.withColumn("head", head(F.col("text"))), "head").where(F.col("text").startswith(F.col("run"))).select("run", "name").distinct()
+    few = met.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("name"))).where(F.col("k") <= NAMES_A_WORD)
+    hits = words.join(begins.select("w", "run"), "w").join(few, "run")
+    each = hits.groupBy("id", "name").agg(F.min(F.struct("pos", "k")).alias("o"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("k") <= MOST_MENTIONED, F.struct("o", "name"))))
     ranked = each.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("o")))
     return ranked.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ",").alias("files"))
