@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of a gram; tasks among which a gram's postings are split; folders of postings and values.
-GRAM, SPLITS, BUCKETS = 3, 8, 16
+#: Characters of a gram, and tasks among which a gram's postings are split.
+GRAM, SPLITS = 3, 8
 POSTINGS = "gram string, split int, vid long, positions array<int>, bucket int"
 
 
@@ -34,9 +34,11 @@ def _folder(gram: str, split: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram, split), F.lit(buckets)).cast("int")
 
 
-def write_index(rows: DataFrame, text: str, folder: str, splits: int = SPLITS, buckets: int = BUCKETS) -> None:
-    """Index ``text`` of ``rows`` (all columns are kept) into a new folder. Null and empty texts hold nothing and aren't found."""
+def write_index(rows: DataFrame, text: str, folder: str, splits: int = SPLITS, buckets: int | None = None) -> None:
+    """Index ``text`` of ``rows`` (all columns are kept) into a new folder, in ``buckets`` parts (by default as many as shuffles have). Null and
+    empty texts hold nothing and aren't found."""
     spark = rows.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vid = F.xxhash64(text)
     known = rows.where(F.length(text) > 0).withColumn("vid", vid).withColumn("vid_bucket", F.pmod("vid", F.lit(buckets)).cast("int"))
     known.repartition(buckets, "vid_bucket").write.partitionBy("vid_bucket").parquet(f"{folder}/values")
@@ -56,7 +58,7 @@ def read_index(spark: SparkSession, folder: str) -> GramIndex:
     values = spark.read.schema(spark.read.parquet(f"{folder}/shape").schema).parquet(f"{folder}/values")
     postings, grams = spark.read.schema(POSTINGS).parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/grams")
     about = grams.first()
-    return GramIndex(values, postings, grams.select("gram", "texts"), *((about["text"], about["splits"], about["buckets"]) if about else (values.columns[0], SPLITS, BUCKETS)))
+    return GramIndex(values, postings, grams.select("gram", "texts"), *((about["text"], about["splits"], about["buckets"]) if about else (values.columns[0], SPLITS, 1)))
 
 
 def matches(index: GramIndex, needles: DataFrame, needle: str) -> DataFrame:
