@@ -262,7 +262,7 @@ def test_empty_pipeline(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_held_out_is_crc32(spark):
