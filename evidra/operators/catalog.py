@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.joins import contains_join
-from evidra.functions.unicode import nfc
 
 # Departments and the label of the rest, suffixes of versions, marks of copies, labels of base dates.
 DEPARTMENTS = ("영업팀", "경영지원팀", "회계팀", "물류팀", "구매팀", "공용")
@@ -21,31 +20,28 @@ SAME_DATA = 0.005
 MOST_EXCLUDED, MOST_FOUND, MOST_CLOSEST, MOST_COLUMNS = 10, 12, 5, 50
 
 
-def _once(x: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once however often it is named."""
-    return F.transform(F.array(x), use)[0]
-
-
 def classify_department(path: Column, labels: tuple[str, ...] = DEPARTMENTS) -> Column:
-    """First known label among the folders, else the first label (in list order) within the file name; names may be written decomposed."""
-    known = F.array(*map(F.lit, labels))
-
-    def label(parts: Column) -> Column:
-        folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
-        by_folder = F.try_element_at(F.filter(folders, lambda p: F.array_contains(known, p)), F.lit(1))
-        by_name = F.try_element_at(F.filter(known, lambda d: name.contains(d)), F.lit(1))
-        return F.coalesce(by_folder, by_name, F.lit(UNCLASSIFIED))
-
-    return _once(F.split(nfc(path), "/"), label)
+    """First known label among the folders, else the first label (in list order) within the file name; paths may be written composed or with syllables
+    taken apart (labels are looked for in both forms)."""
+    forms = {form: d for d in labels for form in (d, unicodedata.normalize("NFD", d))}
+    named = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    known = F.array(*(F.struct(F.lit(d).alias("label"), F.lit(unicodedata.normalize("NFD", d)).alias("apart")) for d in labels))
+    parts = F.split(path, "/")
+    folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+    by_folder = F.try_element_at(named, F.try_element_at(F.filter(folders, lambda p: p.isin(*forms)), F.lit(1)))
+    by_name = F.try_element_at(F.filter(known, lambda d: name.contains(d["label"]) | name.contains(d["apart"])), F.lit(1))["label"]
+    return F.coalesce(by_folder, by_name, F.lit(UNCLASSIFIED))
 
 
 def top_folder(path: Column) -> Column:
-    return _once(F.split(nfc(path), "/"), lambda parts: F.when(F.size(parts) > 1, parts[0]).otherwise(""))
+    """First folder of a composed path (as ``list_files`` gives them in ``rel``), or empty."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, parts[0]).otherwise("")
 
 
 def family_stem(name: Column) -> Column:
     """File name without extension and version marks; a day after a year tag goes too."""
-    stem = F.regexp_replace(F.trim(F.regexp_replace(nfc(name), r"\.[^.]+$", "")), SUFFIXES, "")
+    stem = F.regexp_replace(F.trim(F.regexp_replace(name, r"\.[^.]+$", "")), SUFFIXES, "")
     stem = F.regexp_replace(stem, r"(_\d{4})_\d{4}$", "$1")
     return F.trim(F.regexp_replace(stem, SUFFIXES, ""))
 

@@ -1,5 +1,7 @@
 """Small hand-made rows with known results."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,8 @@ def test_base_date(spark):
 def test_departments(spark):
     df = column(spark, ["x/물류팀/a.xlsx", "x/회계팀 표.xlsx", "a.xlsx"])
     assert values(df.select("i", B.classify_department(F.col("v")))) == ["물류팀", "회계팀", "미분류"]
+    apart = column(spark, [unicodedata.normalize("NFD", x) for x in ("a/물류팀/x.xlsx", "b/회계팀 보고.xlsx", "c/x.xlsx")])
+    assert values(apart.select("i", B.classify_department(F.col("v")))) == ["물류팀", "회계팀", "미분류"]
 
 
 def test_refusals(spark):
