@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.joins import contains_join
+from evidra.functions.joins import contains_join, small
 from evidra.functions.storage import stored
 from evidra.functions.suffixes import common_beginnings
 from evidra.functions.unicode import casefold, squeezed
@@ -54,17 +54,30 @@ def match_terms(terms: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 
 def guess_columns(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Up to six columns (name) that hold a term or lie within it."""
-    names = columns.select("name").distinct()
-    both = contains_join(names, "name", terms, "term").select("term_id", "name").unionByName(contains_join(terms, "term", names, "name").select("term_id", "name"))
-    found = both.groupBy("term_id").agg(F.array_sort(F.collect_set("name")).alias("c"))
+    names, distinct = columns.select("name").distinct(), terms.select("term").distinct()
+    both = contains_join(names, "name", distinct, "term").select("term", "name").unionByName(contains_join(distinct, "term", names, "name").select("term", "name"))
+    found = terms.join(both.distinct(), "term").groupBy("term_id").agg(F.array_sort(F.collect_set("name")).alias("c"))
     return found.select("term_id", F.array_join(F.slice("c", 1, MOST_GUESSES), ",").alias("guesses"))
 
 
 def term_fallback(unmatched: DataFrame, index: DataFrame, names: DataFrame) -> DataFrame:
-    """What an unregistered term is: a value of the data, part of a department's, file's or sheet's name (names: name), or unknown."""
-    value = unmatched.join(index.select(F.col("value_norm").alias("v")), casefold(squeezed(F.col("term"))) == F.col("v"), "left_semi").select("term_id", F.lit(1).alias("is_value"))
-    part = contains_join(names, "name", unmatched, "term").select("term_id").distinct().withColumn("is_name", F.lit(1))
-    return unmatched.join(value, "term_id", "left").join(part, "term_id", "left").select("term_id", "term", F.when(F.col("is_value") == 1, "value").when(F.col("is_name") == 1, "file").otherwise("unknown").alias("found_as"))
+    """What an unregistered term is: a value of the data, part of a department's, file's or sheet's name (names: name), or unknown. Each
+    distinct term is looked for once, however many rows ask for it."""
+    terms = unmatched.select("term").distinct()
+    value = terms.join(index.select(F.col("value_norm").alias("v")).distinct(), casefold(squeezed(F.col("term"))) == F.col("v"), "left_semi").withColumn("_as", F.lit("value"))
+    part = _held(names.select("name").distinct(), stored(terms.join(value, "term", "left_anti"))).withColumn("_as", F.lit("file"))
+    found = value.unionByName(part)
+    return unmatched.join(found, "term", "left").select("term_id", "term", F.coalesce("_as", F.lit("unknown")).alias("found_as"))
+
+
+def _held(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """The terms (term; distinct, not empty) that any name holds. Many terms are looked up among the names' suffixes in order: a name holds a term
+    that one of its suffixes begins with. So no pairs of names and terms are made."""
+    if small(terms):
+        return names.join(F.broadcast(terms.where(F.length("term") > 0)), F.col("name").contains(F.col("term"))).select("term").distinct()
+    suffixes = names.where(F.length("name") > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.expr("name").substr(i, F.length("name")))).alias("text")).distinct()
+    words = terms.where(F.length("term") > 0).select(F.col("term").alias("w"))
+    return common_beginnings(stored(words), "w", stored(suffixes), "text").where(F.col("n") == F.length("w")).select(F.col("w").alias("term"))
 
 
 def parse_period(text: Column, latest_year: Column) -> Column:

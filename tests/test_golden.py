@@ -243,3 +243,23 @@ def test_files_named_in_questions(spark):
     q = spark.createDataFrame([(1, "계약현황에서 2024년 3분기 매출"), (2, "아무것도"), (3, "3월")], "id int, text string")
     got = {r["id"]: (r["words"], r["periods"], r["files"]) for r in T.pre_lookup(q, names).collect()}
     assert got == {1: ("매출", "2024년 3분기", "계약현황_2024.xlsx,계약현황_old.xlsx"), 3: ("", "3월", "")}
+
+
+def test_terms_are_looked_up_once(spark, monkeypatch):
+    """However many rows ask for a term, names are compared with it once; many distinct terms against brute force."""
+    real = T.contains_join
+
+    def once(texts, text, needles, needle):
+        assert needles.count() == needles.select(needle).distinct().count()
+        return real(texts, text, needles, needle)
+
+    monkeypatch.setattr(T, "contains_join", once)
+    names = [f"memo{i}_report.xlsx" for i in range(300)] + ["가나🙂다.xlsx", ""]
+    few = ["memo", "zzz", "Team  A", None, "", "나🙂"]
+    for words in (few, [*few, *(f"o{i}_" for i in range(350)), *(n[3:9] for n in names if len(n) > 20), *names]):
+        asked = [(i, w) for i, w in enumerate(words * 3)]
+        got = T.term_fallback(spark.createDataFrame(asked, "term_id int, term string"), spark.createDataFrame([("team a",), ("team a",)], "value_norm string"), spark.createDataFrame([(n,) for n in names * 2], "name string"))
+        want = {i: "value" if w == "Team  A" else "file" if w and any(w in n for n in names) else "unknown" for i, w in asked}
+        assert {r["term_id"]: r["found_as"] for r in got.collect()} == want and got.count() == len(asked)
+    guessed = T.guess_columns(spark.createDataFrame([(i, ("금액", "팀", "없음")[i % 3]) for i in range(900)], "term_id int, term string"), spark.createDataFrame([("금액 합계",), ("팀",), ("금",)], "name string"))
+    assert {r["term_id"]: r["guesses"] for r in guessed.collect()} == {i: ("금,금액 합계", "팀")[i % 3] for i in range(900) if i % 3 < 2}
