@@ -99,7 +99,8 @@ def trace_difference(rows: DataFrame, date: str, cut: Column, group: str, amount
 
 
 # Dates and identifiers that are no figures, and figures with their units.
-DATES = r"\d{4}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}|\d{1,2}\s*/\s*\d{1,2}|\d{4}\.\d{1,2}"
+# A year with a month is none within a longer number (29374.09) or before a unit (2024.12만원).
+DATES = r"\d{4}\s*[-./]\s*\d{1,2}\s*[-./]\s*\d{1,2}|\d{1,2}\s*/\s*\d{1,2}|(?<!\d)\d{4}\.\d{1,2}(?!\d|\s*(?:[억만원%]|천원))"
 IDS = r"[A-Za-z]+\d[\w-]*|\d{3}-\d{2}-\d{5}"
 FIGURE = r"(\d[\d,]*(?:\.\d+)?)\s*(억원|억|만원|천원|만|원|%)?"
 SHOWN_FIGURE = r"\d[\d,]*(?:\.\d+)?\s*(?:억원|억|만원|천원|만|원|%)"
