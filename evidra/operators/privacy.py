@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.joins import contains_join, small
+from evidra.functions.joins import small
 from evidra.functions.ranges import numbered
 from evidra.functions.storage import stored
 from evidra.operators.audits import INJECTION
@@ -24,6 +24,8 @@ ANY = "|".join(p for _, p in FINDERS)
 MARK = r"\{(?:사업자번호|전화|이메일)_\d+\}|(?<![0-9A-Za-z가-힣{])(?:사업자번호|전화|이메일)_\d+(?![0-9}])"
 #: Values of which one automaton is made.
 MOST_ENTRIES = 100_000
+#: Of more values: lengths of heads to choose from, distinct heads that every task has, and letters of a text's piece.
+HEADS, MOST_HEADS, PIECE = (12, 8, 6, 4, 3, 2), 20_000, 256
 FORBIDDEN = ("raw_rows", "raw", "cells", "records")
 MOST_ITEMS, MOST_CHARS, SENT_CHARS, MOST_RECENT = 60, 120_000, 20_000, 500
 BLOCKED = "[차단됨]"
@@ -67,20 +69,47 @@ def mask_entities(texts: DataFrame, dictionary: DataFrame, most: int = MOST_ENTR
     """Texts (id, text) with known values (value, placeholder) masked wherever they stand, also within words; at each place the longest, from left to
     right, never within a mark. ``n_masked`` counts places; of equal values the first placeholder holds.
 
-    Up to ``most`` values make one automaton that every task has. Of more, a text's own are found by a join on their letters, and
-    one pattern of them, longest first, finds the places."""
+    Up to ``most`` values make one automaton that every task has. More are met by equi-joins (``_places``)."""
     known = dictionary.where(F.length("value") > 0).groupBy("value").agg(F.min("placeholder").alias("mark"))
     if small(known, most):
         entries = [tuple(r) for r in known.collect()]  # no more than ``most``
         kind = texts.schema["id"].dataType.simpleString()
         return texts.select("id", "text").mapInArrow(_masked_by(texts.sparkSession.sparkContext.broadcast(entries)), f"id {kind}, masked string, n_masked int")
-    held = contains_join(texts.select("id", "text"), "text", known, "value").groupBy("id").agg(F.collect_set(F.struct("value", "mark")).alias("e"))
-    longest = F.reverse(F.array_sort(F.transform("e", lambda e: F.struct(F.length(e["value"]).alias("n"), e["value"].alias("value")))))
-    quoted = F.array_join(F.transform(longest, lambda e: F.concat(F.lit("\\Q"), F.replace(e["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|")
-    own = texts.select("id", "text").join(held.select("id", "e", quoted.alias("p")), "id", "left")
-    found = F.regexp_extract_all("text", F.col("p"), F.lit(0))
-    marks = F.transform(found, lambda v: F.element_at(F.map_from_entries("e"), v))
-    return own.select("id", F.when(F.col("p").isNull(), F.col("text")).otherwise(_joined(F.split("text", F.col("p"), -1), marks)).alias("masked"), F.coalesce(F.size(found), F.lit(0)).alias("n_masked"))
+    own = texts.select("id", "text", F.xxhash64("text").alias("_h"))
+    held = _places(own, known).groupBy("id", "_h").agg(F.array_sort(F.collect_set(F.struct("at", F.negate("n").alias("n"), "mark"))).alias("e"))
+
+    def step(s: Column, e: Column) -> Column:
+        """What begins behind the last one taken is taken; of equal beginnings the longest comes first."""
+        return F.when(e["at"] >= s["next"], F.struct((e["at"] - e["n"]).alias("next"), F.array_append(s["took"], e).alias("took"))).otherwise(s)
+
+    begin = F.struct(F.lit(1).alias("next"), F.expr("cast(array() as array<struct<at: int, n: int, mark: string>>)").alias("took"))
+    taken = held.select(F.col("id").alias("_id"), F.col("_h").alias("_of"), F.aggregate("e", begin, step, lambda s: s["took"]).alias("t"))
+    both = own.join(taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left")
+    # A text's gaps lie between the ends of what was taken and the next beginnings.
+    ends = F.concat(F.array(F.lit(1)), F.transform("t", lambda e: e["at"] - e["n"]))
+    begins = F.concat(F.transform("t", lambda e: e["at"]), F.array(F.length("text") + 1))
+    gaps = F.zip_with(ends, begins, lambda a, b: F.col("text").substr(a, b - a))
+    return both.select("id", F.when(F.col("t").isNull(), F.col("text")).otherwise(_joined(gaps, F.transform("t", lambda e: e["mark"]))).alias("masked"), F.coalesce(F.size("t"), F.lit(0)).alias("n_masked"))
+
+
+def _places(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, _h, at, n, mark): all places where texts (id, _h, text) hold one of many values (value, mark; distinct).
+
+    Values have heads, their first letters, as many as leave at most ``MOST_HEADS`` distinct ones. Texts are cut into pieces, and where a head
+    stands, the runs as long as its values are looked up among them by an equi-join: rows follow places, not pairs of texts and values."""
+    longest = known.agg(F.max(F.length("value"))).first()[0]
+    letters = next((k for k in HEADS if small(known.select(F.left("value", F.lit(k)).alias("head")).distinct(), MOST_HEADS)), 1)
+    heads = known.select(F.left("value", F.lit(letters)).alias("head"), F.length("value").alias("n")).distinct()
+    sizes = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # at most ``letters`` numbers
+    lengths = heads.groupBy("head").agg(F.collect_set("n").alias("ns"))
+    start = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(PIECE))).alias("start")
+    pieces = texts.where(F.length("text") > 0).select("id", "_h", "text", start).select("id", "_h", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(PIECE + longest - 1)).alias("piece"))
+    placed = pieces.select("id", "_h", "start", "piece", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE)))).alias("i"))
+    one = lambda k: F.substring(F.col("piece"), F.col("i"), F.lit(k))
+    begun = placed.withColumn("head", one(sizes[0]) if len(sizes) == 1 else F.explode(F.array_distinct(F.array(*map(one, sizes)))))
+    runs = begun.join(F.broadcast(lengths), "head").select("id", "_h", "start", "piece", "i", F.explode("ns").alias("n")).where(F.col("i") + F.col("n") <= F.length("piece") + 1)
+    asked = runs.select("id", "_h", (F.col("start") + F.col("i")).alias("at"), "n", F.substring(F.col("piece"), F.col("i"), F.col("n")).alias("value"))
+    return asked.join(known, "value").select("id", "_h", "at", "n", "mark")
 
 
 def _pieces(text: Column) -> Column:

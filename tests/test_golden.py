@@ -196,6 +196,21 @@ def test_entities_wherever_they_stand(spark, most):
     }
 
 
+def test_entities_of_a_large_dictionary(spark, monkeypatch):
+    """The joins give what the automaton gives, across pieces and whatever the heads; also for texts without an id."""
+    import random
+
+    monkeypatch.setattr(P, "PIECE", 16)
+    monkeypatch.setattr(P, "MOST_HEADS", 40)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab🙂가1{") for _ in range(rng.randint(1, n)))
+    names = [(v, f"<{i}>") for i, v in enumerate(dict.fromkeys([word(7) for _ in range(200)] + [f"Customer#{i:09d}" for i in range(300)] + ["x" * 40, "Customer#"]))]
+    texts = [(i, " ".join(rng.choice((word(20), rng.choice(names)[0], "Customer#0000", "x" * 41)) for _ in range(rng.randint(0, 12)))) for i in range(150)] + [(7, "xCustomer#000000007"), (None, "Customer#000000008 and 가"), (None, None)]
+    rows, known = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(names, "value string, placeholder string")
+    got, want = (sorted(map(str, P.mask_entities(rows, known, most).collect())) for most in (0, 1000))
+    assert got == want and "Row(id=None, masked=None, n_masked=0)" in got
+
+
 def test_contains_join_both_ways(spark):
     from evidra.functions.joins import contains_join
 
