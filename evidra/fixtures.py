@@ -78,16 +78,27 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS scan_id, concat(event_type, '/',
 FROM {events} GROUP BY 1, 2""",
 }
 
+#: The same rows for Spark alone, where a plan would leave work to few tasks: numbers within a year are those within a moment and all before it.
+SPREAD = {
+    "fx_ledger_rows": """
+WITH sales AS (SELECT n_name AS team, CAST(year(l_shipdate) AS BIGINT) AS yr, l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey),
+earlier AS (SELECT l_shipdate AS moment, coalesce(sum(n) OVER (PARTITION BY year(l_shipdate) ORDER BY l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before
+  FROM (SELECT l_shipdate, count(*) AS n FROM sales GROUP BY l_shipdate) c)
+SELECT team, yr, 5 + n_before + row_number() OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS row_no
+FROM sales JOIN earlier ON l_shipdate <=> moment""",
+}
+
 
 def _needs(name: str) -> list[str]:
-    return re.findall(r"\{(\w+)\}", FIXTURES[name])
+    return re.findall(r"\{(\w+)\}", (FIXTURES | SPREAD)[name])
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture (or a given table) as a DataFrame."""
-    if name not in FIXTURES:
+    if name not in FIXTURES and name not in SPREAD:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = FIXTURES[name].replace("@SHA@", "sha2(").replace("@END@", ", 256)")
+    text = (FIXTURES | SPREAD)[name].replace("@SHA@", "sha2(").replace("@END@", ", 256)")
     return spark.sql(text, **{n: fixture(spark, sf_dir, n) for n in dict.fromkeys(_needs(name))})
 
 

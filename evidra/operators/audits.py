@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.storage import stored
 from evidra.operators.aggregate import exact_sum
 
 # Thresholds in days and shares, and words that mark folders and names.
@@ -24,7 +25,7 @@ ROW_RANGES = 6
 def compress_rows(rows: DataFrame, by: list[str], row: str = "row_no") -> DataFrame:
     """Row numbers of each group as ranges, ``6-8, 30-31``; beyond six ranges only their number. Ranges end where a
     neighbour is missing, so no task orders a group's rows."""
-    some = rows.select(*by, F.col(row).alias("_r")).distinct()
+    some = stored(rows.select(*by, F.col(row).alias("_r")).distinct())  # read four times
 
     def ends(step: int) -> DataFrame:
         """Rows whose neighbour on that side is missing."""

@@ -16,7 +16,7 @@ RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(x.repl
 
 @query("compress_rows", "fx_ledger", "WITH d AS (SELECT DISTINCT concat(team, '/', CAST(yr AS VARCHAR(9))) AS team, row_no FROM fx_ledger), i AS (SELECT team, row_no, row_no - row_number() OVER (PARTITION BY team ORDER BY row_no) AS g FROM d), r AS (SELECT team, min(row_no) AS a, max(row_no) AS b FROM i GROUP BY team, g), n AS (SELECT team, CASE WHEN a = b THEN CAST(a AS VARCHAR(9)) ELSE concat(CAST(a AS VARCHAR(9)), '-', CAST(b AS VARCHAR(9))) END AS t, row_number() OVER (PARTITION BY team ORDER BY a) AS n FROM r) SELECT team, concat(string_agg(CASE WHEN n <= 6 THEN t END, ', ' ORDER BY n), CASE WHEN max(n) > 6 THEN concat(' 외 ', CAST(max(n) - 6 AS VARCHAR(9)), '곳') ELSE '' END) AS row_text FROM n GROUP BY team")
 def _(t):
-    return Q.compress_rows(t("fx_ledger").select(F.concat_ws("/", "team", F.col("yr").cast("string")).alias("team"), "row_no"), ["team"])
+    return Q.compress_rows(t("fx_ledger_rows").select(F.concat_ws("/", "team", F.col("yr").cast("string")).alias("team"), "row_no"), ["team"])
 
 
 NULLED = "CASE WHEN o_orderkey % {k} = 0 THEN NULL ELSE o_orderstatus END"

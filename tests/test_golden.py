@@ -141,6 +141,17 @@ def test_injection_and_plain(spark):
     assert values(df.select("i", Q.injection_scan(F.col("v")))) == ["D9", "D9", None, None, None]
 
 
+def test_ledger_rows_are_numbered_apart(spark):
+    """The same numbers as the fixture's, without a window over a whole year."""
+    from evidra.fixtures import fixture
+    from tests.conftest import DATA
+
+    spread, plain = (fixture(spark, DATA, n).select("team", "yr", "row_no") for n in ("fx_ledger_rows", "fx_ledger"))
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, plain.collect()))
+    windows = [line for line in spread._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number()" in line]
+    assert windows and all("windowspecdefinition(l_shipdate" in line for line in windows)
+
+
 def test_addresses(spark):
     df = column(spark, [1, 26, 27, 52, 702, 703, 16384], "long")
     assert values(df.select("i", Q.column_letters(F.col("v")))) == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "XFD"]
