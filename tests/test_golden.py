@@ -252,6 +252,9 @@ def test_payloads(spark):
     df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "id int, payload string")
     assert {r["id"]: r["verdict"] for r in P.egress_guard(df).collect()} == {i: w for i, (_, w) in enumerate(rows)}
     assert P.egress_guard(df.limit(0)).collect() == []
+    # Neither rows by item nor rounds by level: one narrow plan.
+    plan = P.egress_guard(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Join" not in plan
 
 
 def test_period_claims(spark):
