@@ -113,11 +113,17 @@ def _folds() -> tuple[str, str, str, str]:
 
 
 def casefold(x: Column) -> Column:
-    """Full case folding: what compares texts without regard to case (``Straße`` is ``STRASSE``)."""
+    """Full case folding: what compares texts without regard to case (``Straße`` is ``STRASSE``). Runs of plain ASCII are only lowered; tables are
+    for what lies between them. ``x`` is worked out once."""
     before, after, several, entries = _folds()
-    spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike(several), _found(entries, c, 1)).otherwise(c)), "")
-    folded = F.translate(F.when(x.rlike(several), spelled).otherwise(x), before, after)
-    return F.when(x.rlike(r"^\p{ASCII}*$"), F.lower(x)).otherwise(folded)
+
+    def folded(run: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(run, ""), lambda c: F.when(c.rlike(several), _found(entries, c, 1)).otherwise(c)), "")
+        return F.translate(F.when(run.rlike(several), spelled).otherwise(run), before, after)
+
+    runs = lambda y: F.regexp_extract_all(y, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]+"), F.lit(0))
+    whole = lambda y: F.array_join(F.transform(runs(y), lambda r: F.when(F.length(r) == F.octet_length(r), F.lower(r)).otherwise(folded(r))), "")
+    return F.element_at(F.transform(F.array(x), lambda y: F.when(F.length(y) == F.octet_length(y), F.lower(y)).otherwise(whole(y))), 1)
 
 
 def white_space() -> str:

@@ -36,3 +36,11 @@ def test_white_space(spark):
     texts = [" a 　 b\t\n", " x\x1cy\x85", "a​b", "", " "]
     got = run(spark, texts, squeezed)
     assert [got[i][0] for i in range(len(texts))] == [" ".join(t.split()) for t in texts]
+
+
+def test_folding_works_its_text_out_once(spark):
+    """What is folded stands once in the plan, however many cases there are; runs of other letters between ASCII fold as in whole texts."""
+    texts = ["", None, "Straße ΑΣ x ς", "ABC", "a\u0130b", "ﬁN가나Ǆ\u0345🙂Z", "Ꭰꭰ ΣΣ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", casefold(F.regexp_replace("t", "x", "X")).alias("f"))
+    assert {r["i"]: r["f"] for r in df.collect()} == {i: None if t is None else t.replace("x", "X").casefold() for i, t in enumerate(texts)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t") == 1
