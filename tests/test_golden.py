@@ -152,6 +152,17 @@ def test_ledger_rows_are_numbered_apart(spark):
     assert windows and all("windowspecdefinition(l_shipdate" in line for line in windows)
 
 
+def test_few_names_need_no_index(spark, monkeypatch):
+    """Queries that ask a few terms once write nothing."""
+    from evidra import registry
+    from evidra.plans import search
+    from tests.conftest import DATA
+
+    monkeypatch.setattr(search, "write_index", lambda *a: pytest.fail("an index was written"))
+    for name in ("similar_names", "search_locations", "search_relevance"):
+        assert registry.queries()[name](spark, DATA).count()
+
+
 def test_addresses(spark):
     df = column(spark, [1, 26, 27, 52, 702, 703, 16384], "long")
     assert values(df.select("i", Q.column_letters(F.col("v")))) == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "XFD"]
