@@ -140,16 +140,22 @@ def _numbered(hits: DataFrame) -> DataFrame:
     return marks.select("value", F.concat(F.lit("{"), "kind", F.lit("_"), F.col("number").cast("string"), F.lit("}")).alias("mark"))
 
 
-def pattern_dictionary(texts: DataFrame) -> DataFrame:
-    """(value, mark): numbers, phones and addresses found in the texts, numbered within their kind in order; one value has one number."""
-    return _numbered(_hits(stored(_parsed(texts))))
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """Texts (id, text) taken apart, written once to the shared folder, for a dictionary and for masking by it."""
+    return stored(_parsed(texts))
 
 
-def mask_patterns(texts: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def pattern_dictionary(texts: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """(value, mark): numbers, phones and addresses found in the texts (``parsed``: by ``parse_texts``), numbered within their kind in order; one
+    value has one number."""
+    return _numbered(_hits(parse_texts(texts) if parsed is None else parsed))
+
+
+def mask_patterns(texts: DataFrame, dictionary: DataFrame | None = None, parsed: DataFrame | None = None) -> DataFrame:
     """(id, text, masked): texts (id, text; ids are distinct) with identifiers masked where they stand by marks of a dictionary (value, mark;
     by default the texts' own). An equal run of digits within a longer number is left alone. Texts are taken apart once; the pieces of
     those that hold identifiers are written to the shared folder."""
-    parsed = stored(_parsed(texts))
+    parsed = parse_texts(texts) if parsed is None else parsed
     hits = _hits(parsed)
     marks = hits.join(_numbered(hits) if dictionary is None else dictionary, "value", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("mark", "value").alias("text")))).alias("_m"))
     # Pieces and marks in one order by place; a mark stands for the piece of its place.

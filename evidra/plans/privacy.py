@@ -33,9 +33,10 @@ def _(t):
 @query("unmask_roundtrip", "fx_texts", "SELECT id, concat(text, CASE WHEN id % 3 = 0 THEN '' ELSE ' 전화_1000000 코드이메일_1월' END) AS back FROM fx_texts")
 def _(t):
     texts = t("fx_texts")
-    marks = P.pattern_dictionary(texts)
+    parsed = P.parse_texts(texts)
+    marks = P.pattern_dictionary(texts, parsed)
     bare = F.regexp_replace("masked", r"\{((?:사업자번호|전화|이메일)_\d+)\}(?![0-9}])", "$1")
-    sent = P.mask_patterns(texts, marks).select("id", F.when(F.col("id") % 3 == 0, F.col("masked")).otherwise(F.concat(bare, F.lit(" 전화_1000000 코드이메일_1월"))).alias("masked"))
+    sent = P.mask_patterns(texts, marks, parsed).select("id", F.when(F.col("id") % 3 == 0, F.col("masked")).otherwise(F.concat(bare, F.lit(" 전화_1000000 코드이메일_1월"))).alias("masked"))
     return P.unmask_texts(sent, marks)
 
 

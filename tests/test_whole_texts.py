@@ -46,6 +46,14 @@ def test_roundtrip_is_of_whole_texts(run):
     assert {r["id"]: r["back"] for r in run("unmask_roundtrip")} == {i: t + unknown * (i % 3 > 0) for i, t in TEXTS.items()}
 
 
+def test_roundtrip_takes_texts_apart_once(run, monkeypatch):
+    from evidra.operators import privacy
+
+    calls, real = [], privacy._parsed
+    monkeypatch.setattr(privacy, "_parsed", lambda texts: calls.append(1) or real(texts))
+    assert len(run("unmask_roundtrip")) == len(DOCS) and len(calls) == 1
+
+
 def test_late_instructions_are_found_and_blocked(run):
     blocked = {r["id"]: (r["blocked"], r["redacted"]) for r in run("redact_injection")}
     assert {i: n for i, (n, _) in blocked.items()} == {0: 0, 1: 0, 2: 0, 3: 1, 5: 2, 11: 0}
